@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .mixing import MIX_SQL, mix
+from .near_dups import near_duplicates
 from .packing import pack
+from .substrings import remove_repeats
 from .token_counts import token_counts
 
 
+def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -20,14 +26,22 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json", closing_id=1)
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeats(table(spark, sf_dir, "documents"))
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 QUERIES = {
+    "op2_near_dups": op2_near_dups,
     "op3_token_counts": op3_token_counts,
     "op4_packing": op4_packing,
+    "op6_substrings": op6_substrings,
     "op10_mixing": op10_mixing,
 }
 
