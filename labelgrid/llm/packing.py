@@ -29,7 +29,8 @@ OPEN = 16
 LEAST_CUT = 32
 #: leftovers that one task merges
 GROUP = 4096
-CACHE_IDS = 4_000_000
+#: words whose ids a worker keeps, about 30 bytes each
+CACHE_WORDS = 1_500_000
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean"
 
@@ -46,54 +47,79 @@ def tokenizer(name: str):  # noqa: ANN201
 
 
 class Encoder:
-    """Ids of whole texts from a cache of words: the tokenizer drops white space and never looks across it."""
+    """Ids of whole texts from a cache of words: the tokenizer drops white space and never looks across it.
+
+    The cache is sorted arrays (word hashes, places of their ids), shared by the tasks of a worker and emptied at a fixed size.
+    """
 
     def __init__(self, name: str) -> None:
         self.tok = tokenizer(name)
+        self.mark = self.tok.token_to_id(SPECIAL[1])
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.at: list[int] = [0]
-
-    def learn(self, hashes: list[int], items: list[str]) -> None:
-        for h, encoded in zip(hashes, self.tok.encode_batch_fast(items, add_special_tokens=False), strict=True):
-            ids = encoded.ids
-            a, b = self.at[-1], self.at[-1] + len(ids)
-            if b > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-            self.flat[a:b] = ids
-            self.index[h] = len(self.at) - 1
-            self.at.append(b)
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.at, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint16 if self.tok.get_vocab_size() < 1 << 16 else np.uint32)
+
+    def learn(self, hashes: np.ndarray, items: list[str]) -> None:
+        """Encode new words, all in one text with a special token between them."""
+        ids = np.array(self.tok.encode(SPECIAL[1].join(items), add_special_tokens=False).ids, np.int64)
+        cut = np.flatnonzero(ids == self.mark)
+        if len(cut) != len(items) - 1:  # a word holds the special token: such texts are encoded whole, their words do not matter
+            each = [[] if any(x in w for x in SPECIAL) else self.tok.encode(w, add_special_tokens=False).ids for w in items]
+            sizes, ids = np.array([len(e) for e in each]), np.array([i for e in each for i in e], np.int64)
+        else:
+            sizes = np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
+            ids = np.delete(ids, cut)
+        first = len(self.at) - 1
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, ids.astype(self.flat.dtype)])
+        keys = np.concatenate([self.keys, hashes])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.slot = keys[order], np.concatenate([self.slot, np.arange(first, first + len(items), dtype=np.int32)])[order]
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        place = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return place, self.keys[place] == hashes
 
     def __call__(self, column: pa.Array) -> list[np.ndarray]:
         """Ids of each row."""
-        if self.at[-1] > CACHE_IDS:
+        if len(self.keys) > CACHE_WORDS:
             self.clear()
         data, offsets = K.buffer(column)
         starts, ends, first = K.words(data, offsets)
         new, where, back = np.unique(K.span_hash(data, starts, ends), return_index=True, return_inverse=True)
-        keys, index = new.tolist(), self.index
-        todo = [i for i, k in enumerate(keys) if k not in index]
-        if todo:
-            blob, spans = data.tobytes(), where[todo]
-            self.learn([keys[i] for i in todo], [blob[a:b].decode("utf-8", "replace") for a, b in zip(starts[spans].tolist(), ends[spans].tolist(), strict=True)])
-        at = np.array(self.at, np.int64)
-        entry = np.fromiter((index[k] for k in keys), np.int64, len(keys))[back] if keys else np.zeros(0, np.int64)
-        sizes = at[entry + 1] - at[entry]
+        place, known = self.find(new)
+        if not known.all():
+            blob, spans = data.tobytes(), where[~known]
+            self.learn(new[~known], [blob[a:b].decode("utf-8", "replace") for a, b in zip(starts[spans].tolist(), ends[spans].tolist(), strict=True)])
+            place, _ = self.find(new)
+        entry = self.slot[place][back] if len(new) else np.zeros(0, np.int64)
+        sizes = (self.at[1:] - self.at[:-1])[entry]
         ends_of = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(at[entry] - ends_of[:-1], sizes) + np.arange(ends_of[-1])]
+        ids = self.flat[np.repeat(self.at[entry] - ends_of[:-1], sizes) + np.arange(ends_of[-1])].astype(np.uint32)
         bounds = ends_of[first]
         out = [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        if (data == 124).any():
-            for i in range(len(column)):
+        if (data == 124).any():  # the special strings hold a bar
+            for i in np.unique(np.searchsorted(offsets, np.flatnonzero(data == 124), "right") - 1).tolist():
                 text = column[i].as_py()
-                if text and any(s in text for s in SPECIAL):
+                if any(s in text for s in SPECIAL):
                     out[i] = np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(name: str) -> Encoder:
+    """The encoder of this worker process."""
+    if name not in _encoders:
+        _encoders[name] = Encoder(name)
+    return _encoders[name]
+
+
 class Packer:
     """The open windows of a partition. A window is ``[fill, sequence, pieces]``; a piece is ``(row, start, ids, doc_tokens)``."""
 
@@ -202,7 +228,7 @@ def pack(docs: DataFrame, name: str = "word_bpe_49k.json", closing_id: int = 1,
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, packer = Encoder(name), Packer(TaskContext.get().partitionId())
+        encode, packer = encoder(name), Packer(TaskContext.get().partitionId())
         last = np.array([closing_id], np.uint32)
         key_type = None
 
