@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,39 +41,25 @@ def keep(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: bits of an id filter: 4 MB on the driver and on each executor, whatever the size of the input
+#: bits of an id filter: 4 MB on each executor, whatever the size of the input
 FILTER_BITS = 1 << 25
 
 
-def id_filter(df: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of fixed size (``FILTER_BITS``) with a bit set for each value of a long column.
+def id_filter(df: DataFrame, column: str) -> DataFrame:
+    """A bitmap of fixed size (``FILTER_BITS``) with a bit set for each value of a column, as rows of 4 KB.
 
     It only saves work: a value whose bit is not set is certainly absent; the others still go through an exact join.
     """
     bit = F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))
-    rows = (
-        df.where(F.col(column).isNotNull())
-        .select(bit.alias("bit"))
-        .groupBy(F.expr("bit div 32768").alias("part"))
-        .agg(F.expr("bitmap_construct_agg(bit % 32768)").alias("bits"))
-        .collect()
-    )
-    out = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
-    for row in rows:
-        out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
-    return out.reshape(-1)
-
-
-def might_hold(df: DataFrame, bits: np.ndarray, column: str) -> DataFrame:
-    """Rows of ``df`` whose ``column`` may be in the filter, decided before any shuffle."""
-    held = df.sparkSession.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def hit(position):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        at = position.to_numpy()
-        return pd.Series((held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
-
-    place = F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))
-    return df.where(F.col(column).isNotNull()).where(hit(place))
+    rows = df.where(F.col(column).isNotNull()).select(bit.alias("bit"))
+    return rows.groupBy(F.expr("bit div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(bit % 32768)").alias("bits"))
+
+
+def split_by(df: DataFrame, bits: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose ``column`` may be in the filter, and those where it is not; decided before any shuffle."""
+    named = df.columns
+    marked = df.withColumn("__bit", F.when(F.col(column).isNotNull(), F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast((__bit % 32768) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = (F.expr("__bit div 32768") == F.col("part")) & (byte.bitwiseAND(F.expr("shiftleft(1, cast(__bit % 8 as int))")) != 0)
+    small = F.broadcast(bits)  # FILTER_BITS / 8 bytes at most
+    return marked.join(small, hit, "left_semi").select(*named), marked.join(small, hit, "left_anti").select(*named)

@@ -47,7 +47,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose text together stays near ``limit`` bytes; a longer single row stays whole."""
     if not batch.num_rows:
         return

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import id_filter, keep, might_hold
+from .common import id_filter, keep, split_by
 from .components import components
 
 WORDS = 5
@@ -97,7 +97,7 @@ class _Search:
         needed = keep(self.lists.select(F.col("cls").alias("id")).distinct())
         self.empty = needed.isEmpty()
         if not self.empty:
-            near = might_hold(docs, id_filter(needed, "id"), "id")
+            near, _ = split_by(docs, id_filter(needed, "id"), "id")
             self.sets = keep(near.join(needed, "id", "left_semi").mapInArrow(full_sets, "id long, hashes array<long>"), "lz4")
 
     def pairs(self, lists: DataFrame, salt: int) -> DataFrame:

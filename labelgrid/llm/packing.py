@@ -31,6 +31,8 @@ LEAST_CUT = 32
 GROUP = 4096
 #: words whose ids a worker keeps, about 30 bytes each
 CACHE_WORDS = 1_500_000
+#: new words that are encoded as one text
+JOINED = 500
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean"
 
@@ -62,8 +64,10 @@ class Encoder:
         self.at, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint16 if self.tok.get_vocab_size() < 1 << 16 else np.uint32)
 
     def learn(self, hashes: np.ndarray, items: list[str]) -> None:
-        """Encode new words, all in one text with a special token between them."""
-        ids = np.array(self.tok.encode(SPECIAL[1].join(items), add_special_tokens=False).ids, np.int64)
+        """Encode new words, many in one text with a special token between them."""
+        texts = [SPECIAL[1].join(items[i : i + JOINED]) + SPECIAL[1] * (i + JOINED < len(items)) for i in range(0, len(items), JOINED)]
+        encoded = [np.array(e.ids, np.int64) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate(encoded)
         cut = np.flatnonzero(ids == self.mark)
         if len(cut) != len(items) - 1:  # a word holds the special token: such texts are encoded whole, their words do not matter
             each = [[] if any(x in w for x in SPECIAL) else self.tok.encode(w, add_special_tokens=False).ids for w in items]

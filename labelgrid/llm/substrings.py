@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import id_filter, keep, might_hold
+from .common import id_filter, keep, split_by
 
 WINDOW = 50
 GRAM = 16
@@ -216,8 +216,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     each = listed.select("id", "th", F.explode("anchors").alias("anchor"))
     shared = each.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
     wanted = keep(each.join(shared, "anchor").groupBy("id", "th").agg(F.collect_set("anchor").alias("anchors")))
-    near = might_hold(plain, id_filter(wanted, "id"), "id").dropDuplicates(["id", "th"])
-    found = keep(near.join(wanted, ["id", "th"]).select("id", "th", "text", "anchors").mapInArrow(segments, SEGMENTS))
+    near, _ = split_by(plain, id_filter(wanted, "id"), "id")
+    found = keep(near.dropDuplicates(["id", "th"]).join(wanted, ["id", "th"]).select("id", "th", "text", "anchors").mapInArrow(segments, SEGMENTS))
     first = keep(found.groupBy("anchor", "segment").agg(F.min("id").alias("low")))
     rivals = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("rivals")).where("rivals > 1")
     first = first.join(rivals, "anchor", "left")
@@ -264,9 +264,7 @@ def cut(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "tex
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(first)), pa.array(removed, pa.int64())], [*named, "n_words", "n_removed"])
 
     marked = docs.withColumn("__id", F.col(key).cast("long")).withColumn("__th", F.xxhash64(text))
-    bits = id_filter(spans, "id")
-    maybe = might_hold(marked, bits, "__id")
-    never = might_hold(marked, ~bits, "__id").unionByName(marked.where("__id IS NULL"))
+    maybe, never = split_by(marked, id_filter(spans, "id"), "__id")
     small = spans.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
     joined = maybe.join(small, ["__id", "__th"], "left").select(*named, "__spans")
     return joined.mapInArrow(apply, schema).unionByName(never.select(*named).mapInArrow(apply, schema))
