@@ -14,6 +14,7 @@ columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 #: rows from which the frequent pre-tokens are learned; it decides which tier answers, never what is answered
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 2000
+SAMPLE_BYTES = 1 << 15
 FREQUENT = 1 << 16
 SLOTS = 1 << 18
 PROBES = 8
@@ -111,7 +113,7 @@ def look_up(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> tuple[n
     return out, np.flatnonzero(out == 0)
 
 
-class Counter:
+class TwoTiers:
     """Both tiers in one worker."""
 
     def __init__(self, name: str, table: tuple[np.ndarray, np.ndarray]) -> None:
@@ -149,21 +151,19 @@ class Counter:
 
 
 def frequent(docs: DataFrame, text: str, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """The first tier, from at most ``SAMPLE_ROWS`` rows; at most ``FREQUENT`` pre-tokens reach the driver."""
-
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in K.slices(batch, "text"):
-                data, starts, ends, _ = pretokens(*K.buffer(part.column("text")))
-                if len(starts):
-                    new, where, n = np.unique(K.span_hash(data, starts, ends), return_index=True, return_counts=True)
-                    blob = data.tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), pa.array([blob[starts[i] : ends[i]] for i in where.tolist()], pa.binary()), pa.array(n)], ["h", "token", "n"])
-
-    rows = docs.select(F.col(text).alias("text")).limit(SAMPLE_ROWS).mapInArrow(seen, "h long, token binary, n long").groupBy("h").agg(F.min("token").alias("token"), F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    sp = model(name)
-    keys = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
-    return build_table(keys, np.array(lengths(sp, [bytes(r["token"]) for r in rows]) if rows else [], np.int64))
+    """The first tier, from at most ``SAMPLE_ROWS`` rows of at most ``SAMPLE_BYTES`` each; no row is shuffled for it."""
+    rows = docs.select(F.col(text).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).take(SAMPLE_ROWS)
+    seen: Counter = Counter()
+    spelled: dict[int, bytes] = {}
+    for part in K.slices(pa.RecordBatch.from_arrays([pa.array([r["text"] for r in rows], pa.string())], ["text"]), "text"):
+        data, starts, ends, _ = pretokens(*K.buffer(part.column("text")))
+        blob = data.tobytes()
+        for h, at, n in zip(*(x.tolist() for x in np.unique(K.span_hash(data, starts, ends), return_index=True, return_counts=True)), strict=True):
+            seen[h] += n
+            if h not in spelled:
+                spelled[h] = blob[starts[at] : ends[at]]
+    keys = [h for h, _ in seen.most_common(FREQUENT)]
+    return build_table(np.array(keys, np.uint64), np.array(lengths(model(name), [spelled[h] for h in keys]), np.int64))
 
 
 def token_counts(docs: DataFrame, name: str = "piece_bpe_32k.model", *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,7 +171,7 @@ def token_counts(docs: DataFrame, name: str = "piece_bpe_32k.model", *, key: str
     held = docs.sparkSession.sparkContext.broadcast(frequent(docs, text, name))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(name, held.value)
+        counter = TwoTiers(name, held.value)
         for batch in batches:
             for part in K.slices(batch, "text"):
                 _, offsets = K.buffer(part.column("text"))
