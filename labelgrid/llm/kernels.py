@@ -92,15 +92,24 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return runs(data, offsets, ~WHITE[data])
 
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span, from one prefix sum over the buffer."""
+def byte_sums(data: np.ndarray) -> np.ndarray:
+    """Prefix sums from which the hash of any span of the buffer follows."""
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * _power("up", n)[:n], out=sums[1:])
-    value = (sums[ends] - sums[starts]) * _power("down", n)[starts]
+    return sums
+
+
+def hash_at(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    value = (sums[ends] - sums[starts]) * _power("down", len(sums))[starts]
     return mix(value + (ends - starts).astype(np.uint64) * _STEP)
 
 
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each span."""
+    return hash_at(byte_sums(data), starts, ends)
+
+
 def gram_hash(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of each ``n`` consecutive word hashes (rows are not minded: the caller keeps windows inside a row)."""
     m = len(hashes) - n + 1

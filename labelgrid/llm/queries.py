@@ -11,6 +11,14 @@ from .near_dups import near_duplicates
 from .packing import pack
 from .substrings import remove_repeats
 from .token_counts import token_counts
+from .toxicity import learn, score
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, learn(docs, table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"))
 
 
 def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +46,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_near_dups": op2_near_dups,
     "op3_token_counts": op3_token_counts,
     "op4_packing": op4_packing,
