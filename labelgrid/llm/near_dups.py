@@ -3,11 +3,13 @@
 1. A document's set holds its distinct shingles of five words. Documents with the same set are one class (its smallest id).
 2. The ``K_VALUES`` smallest hashes of a set are its sketch. Inverted lists of retained values generate candidates. Two sets as
    alike as the threshold share at least half of their retained values (but for one pair in some millions), so it is enough to
-   list each class under its rarest values, half of them and one: values that many unlike documents share list nobody.
+   list each class under its rarest values, half of them and one: values that many unlike documents share list nobody. Classes
+   that have company in no list have no link. The others are listed anew by the same rule on their full sets, where it is exact:
+   a class with more shingles of its own than the threshold allows drops out, so copies that differ too much make no pairs.
 3. From a list, linearly many pairs are formed: each class with the smallest of the list and of a salted part of it. The union
    sketch estimates each pair; each class has its best pair verified on the full sets. Verified links give components.
-4. This is repeated with other salts for classes still apart. In the end all pairs of a list that are in different components
-   are estimated and verified, so no link between different texts that could join two components is lost.
+4. This is repeated with other salts for classes still apart. In the end all pairs of a list that are in different components,
+   and that sizes and positions let pass, are estimated and verified, so no link between different texts that could join two components is lost.
 
 Null or empty text, or text without words, has an empty set and is linked with nothing. Fewer than five words make one shingle.
 Rows that repeat a doc_id with the same text are one node; with other texts each row goes with its own set. A null doc_id has a
@@ -30,7 +32,7 @@ from .components import components
 WORDS = 5
 LIKE = 85
 K_VALUES = 32
-ROUNDS = 3
+ROUNDS = 2
 #: classes in a salted part of a list
 PART = 16
 _HALF = K.U64(1)
@@ -81,6 +83,13 @@ def _alike(x: str, y: str) -> Column:
     return 2 * F.size(F.array_intersect(union, F.array_intersect(x, y))) >= F.size(union)
 
 
+def _reach(na: str, ra: str, nb: str, rb: str) -> Column:
+    """Whether two classes of ``n`` shingles, with ``rest`` of them from a common one on, may share enough for a link if it is
+    the first that they have in common. It holds in some list of any linked pair."""
+    n = F.col(na) + F.col(nb)
+    return ((100 + LIKE) * F.least(ra, rb) >= LIKE * n) & (100 * F.least(na, nb) >= LIKE * F.greatest(na, nb))
+
+
 class _Search:
     """Candidates, estimates and verified links over the classes of one input."""
 
@@ -93,20 +102,29 @@ class _Search:
         prefix = held.select("cls", F.expr("slice(held, 1, greatest(0, (s div 2) + 1 - (s - size(held))))").alias("held"))
         listed = prefix.select("cls", F.explode("held.v").alias("v"))
         sizes = listed.groupBy("v").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        self.lists = keep(listed.join(sizes, "v"))
-        needed = keep(self.lists.select(F.col("cls").alias("id")).distinct())
+        needed = keep(listed.join(sizes, "v").select(F.col("cls").alias("id")).distinct())
         self.empty = needed.isEmpty()
-        if not self.empty:
-            near, _ = split_by(docs, id_filter(needed, "id"), "id")
-            self.sets = keep(near.join(needed, "id", "left_semi").mapInArrow(full_sets, "id long, hashes array<long>"), "lz4")
+        if self.empty:
+            return
+        near, _ = split_by(docs, id_filter(needed, "id"), "id")
+        self.sets = keep(near.join(needed, "id", "left_semi").mapInArrow(full_sets, "id long, hashes array<long>"), "lz4")
+        # the same on the full sets of the classes left, where it is exact: most of a near copy's rarest shingles are its own
+        each = self.sets.select(F.col("id").alias("cls"), F.size("hashes").alias("n"), F.explode("hashes").alias("v"))
+        shared = each.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        held = each.join(shared, "v").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("held"))
+        prefix = held.select("cls", "n", F.size("held").alias("c"), F.expr(f"slice(held, 1, greatest(0, size(held) - ({LIKE} * n + 99) div 100 + 1))").alias("held"))
+        listed = keep(prefix.select("cls", "n", "c", F.posexplode("held.v").alias("at", "v")).select("v", "cls", "n", (F.col("c") - F.col("at")).alias("rest")))
+        sizes = listed.groupBy("v").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        self.lists = keep(listed.join(sizes, "v"))
+        self.empty = self.lists.isEmpty()
 
     def pairs(self, lists: DataFrame, salt: int) -> DataFrame:
         """Each class with the smallest of each of its lists and of its salted part, where they are in different components."""
         part = F.pmod(F.xxhash64("cls", F.lit(salt)), F.ceil(F.col("m") / PART))
         out = None
         for keyed, keys in ((lists, ["v"]), (lists.withColumn("part", part), ["v", "part"])):
-            centre = keyed.groupBy(*keys).agg(F.min(F.struct(F.col("cls").alias("a"), F.col("comp").alias("c"))).alias("x"))
-            found = keyed.join(centre, keys).where("comp <> x.c").select(F.col("x.a").alias("a"), F.col("cls").alias("b"))
+            centre = keyed.groupBy(*keys).agg(F.min(F.struct(F.col("cls").alias("a"), F.col("comp").alias("c"), "n", "rest")).alias("x"))
+            found = keyed.join(centre, keys).where((F.col("comp") != F.col("x.c")) & _reach("n", "rest", "x.n", "x.rest")).select(F.col("x.a").alias("a"), F.col("cls").alias("b"))
             out = found if out is None else out.unionByName(found)
         return out.distinct()
 
@@ -148,8 +166,8 @@ class _Search:
         # the rest: every pair across components. The largest component of a list needs no pairs inside.
         lists = keep(self.apart(found))
         sizes = lists.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("v").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-        strays = lists.join(sizes, "v").where("comp <> main").select("v", F.col("cls").alias("x"), F.col("comp").alias("xc"))
-        rest = strays.join(lists, "v").where("xc <> comp").select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct()
+        strays = lists.join(sizes, "v").where("comp <> main").select("v", F.col("cls").alias("x"), F.col("comp").alias("xc"), F.col("n").alias("xn"), F.col("rest").alias("xrest"))
+        rest = strays.join(lists, "v").where((F.col("xc") != F.col("comp")) & _reach("n", "rest", "xn", "xrest")).select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct()
         new = keep(self.verified(self.estimated(rest)))
         if not new.isEmpty():
             found = components(new if links is None else links.unionByName(new))
