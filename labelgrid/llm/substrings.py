@@ -33,7 +33,7 @@ WINDOW = 50
 GRAM = 16
 #: words that the automaton of one shard holds at most, about; and segments of one anchor that may share a shard
 SHARD_WORDS = 30_000
-SHARD_SEGMENTS = 200
+SHARD_SEGMENTS = 8192
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -173,8 +173,19 @@ class Automaton:
         return out
 
 
+def _spans(windows: list[int]) -> list[dict]:
+    """The maximal spans that ascending windows cover."""
+    out: list[dict] = []
+    for w in windows:
+        if out and w <= out[-1]["b"]:
+            out[-1]["b"] = w + WINDOW
+        else:
+            out.append({"a": w, "b": w + WINDOW})
+    return out
+
+
 def resolve_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (``anchor``, ``segment``, ``id``, ``words``) sorted by anchor: for each segment the windows that an earlier id has."""
+    """Rows (``anchor``, ``segment``, ``id``, ``words``) sorted by anchor: for each segment the spans that an earlier id has."""
 
     def solve(shard: list[tuple]) -> pa.RecordBatch:
         auto = Automaton()
@@ -182,9 +193,10 @@ def resolve_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for (_, _, owner, _), symbols in zip(shard, texts, strict=True):
             auto.add(symbols, owner)
         auto.close()
-        found = [(a, s, w) for (a, s, owner, _), symbols in zip(shard, texts, strict=True) for w in [auto.earlier(symbols, owner, WINDOW)] if w]
-        a, s, w = zip(*found, strict=True) if found else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(s, pa.int64()), pa.array(w, pa.list_(pa.int32()))], ["anchor", "segment", "windows"])
+        found = [(a, s, _spans(w)) for (a, s, owner, _), symbols in zip(shard, texts, strict=True) for w in [auto.earlier(symbols, owner, WINDOW)] if w]
+        a, s, spans = zip(*found, strict=True) if found else ((), (), ())
+        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(s, pa.int64()), pa.array(spans, kind)], ["anchor", "segment", "found"])
 
     shard: list[tuple] = []
     size = 0
@@ -228,13 +240,13 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     chosen = found.join(first.where("rivals > 1"), ["anchor", "segment"]).where("id = low")
     open_ = keep(chosen.dropDuplicates(["anchor", "segment"]).select("anchor", "segment", "id", "words", "rivals"))
     few = open_.where(F.col("rivals") <= SHARD_SEGMENTS).drop("rivals")
-    by_shard = few.repartition("anchor").sortWithinPartitions("anchor", "segment").mapInArrow(resolve_shards, "anchor long, segment long, windows array<int>")
+    by_shard = few.repartition("anchor").sortWithinPartitions("anchor", "segment").mapInArrow(resolve_shards, "anchor long, segment long, found array<struct<a:int,b:int>>")
     windows = open_.where(F.col("rivals") > SHARD_SEGMENTS).drop("rivals").mapInArrow(window_hashes, "anchor long, segment long, id long, window long, at int")
     lows = windows.groupBy("anchor", "window").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high")
-    by_join = windows.join(lows, ["anchor", "window"]).where("low < id").groupBy("anchor", "segment").agg(F.collect_list("at").alias("windows"))
+    by_join = windows.join(lows, ["anchor", "window"]).where("low < id").groupBy("anchor", "segment").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + WINDOW).alias("b"))).alias("found"))
     some = by_shard.unionByName(by_join)
-    partial = same.where("low = id AND rivals > 1").join(some, ["anchor", "segment"]).select("id", "th", "start", F.explode("windows").alias("w"))
-    spans = spans.unionByName(partial.select("id", "th", (F.col("start") + F.col("w")).alias("start"), (F.col("start") + F.col("w") + WINDOW).alias("end")))
+    partial = same.where("low = id AND rivals > 1").join(some, ["anchor", "segment"]).select("id", "th", "start", F.explode("found").alias("x"))
+    spans = spans.unionByName(partial.select("id", "th", (F.col("start") + F.col("x.a")).alias("start"), (F.col("start") + F.col("x.b")).alias("end")))
     return keep(spans.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")))
 
 
