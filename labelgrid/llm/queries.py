@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .fingerprints import fingerprint_edits
 from .mixing import MIX_SQL, mix
 from .near_dups import near_duplicates
 from .packing import pack
@@ -34,6 +35,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json", closing_id=1)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = remove_repeats(table(spark, sf_dir, "documents"))
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
@@ -50,6 +55,7 @@ QUERIES = {
     "op2_near_dups": op2_near_dups,
     "op3_token_counts": op3_token_counts,
     "op4_packing": op4_packing,
+    "op5_fingerprints": op5_fingerprints,
     "op6_substrings": op6_substrings,
     "op10_mixing": op10_mixing,
 }
