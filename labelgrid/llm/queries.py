@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .fingerprints import fingerprint_edits
+from .media import read_back, resolve, sequences, store_texts, text_pages
 from .mixing import MIX_SQL, mix
 from .near_dups import near_duplicates
 from .packing import pack
@@ -45,6 +46,13 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    pages = sequences(text_pages(docs), key="doc_id", carry=("n_bytes",))
+    resolved = resolve(pages, read_back(store_texts(docs)), key="doc_id")
+    return resolved.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -57,6 +65,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_fingerprints": op5_fingerprints,
     "op6_substrings": op6_substrings,
+    "op9_media": op9_media,
     "op10_mixing": op10_mixing,
 }
 
