@@ -27,14 +27,30 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().get()
 
 
-def keep(df: DataFrame, codec: str = "zstd") -> DataFrame:
+#: bytes of input for which an intermediate table gets one file, and tasks per core that it gets at least
+FILE_BYTES = 32 << 20
+TASKS_PER_CORE = 2
+
+
+def files_for(df: DataFrame) -> int | None:
+    """Into how many files the tables made from ``df`` are written: in proportion to its size, not to shuffle partitions.
+
+    None where the size is not known.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 1 << 60:
+        return None
+    return max(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
+
+
+def keep(df: DataFrame, files: int | None = None, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: lineage is cut, lost executors cost no recomputation.
 
     The files go when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/labelgrid/{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    (df.coalesce(files) if files else df).write.option("compression", codec).parquet(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)

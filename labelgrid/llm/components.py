@@ -16,20 +16,20 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0])
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", files: int | None = None) -> DataFrame:
     """``node``, ``component`` (its smallest node) for every node with a link; links to itself and repeated links are allowed.
 
     Every round hangs all neighbours of a node on the smallest of them, so the number of rounds grows with the logarithm of the
     largest component. Links stay distributed; a node with many links is split by the skew join, its minimum is pre-aggregated.
     """
-    edges = keep(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
+    edges = keep(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), files)
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _least(both).select("u", F.least("m", "u").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.join(_least(large), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = keep(small.unionByName(_least(large).select("u", F.col("m").alias("v"))).distinct())
+        edges = keep(small.unionByName(_least(large).select("u", F.col("m").alias("v"))).distinct(), files)
         state, old = _state(edges), state
         if state == old:
             break

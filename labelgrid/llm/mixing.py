@@ -7,7 +7,7 @@ one large document of the target.
 
 The prefix sum needs no task that sees a whole source: ranks inside a source come from a histogram over (source, size class,
 bucket of ids), whose size is bounded by classes and buckets, plus a row number inside one bucket. The number of buckets
-follows the number of rows.
+follows the square root of the number of rows, so neither the histogram of a source nor a bucket grows as fast as the rows.
 
 Null text has size 0. A source without words has target 0 and nothing is taken. A null source is a source of its own, last in
 order. An empty table gives an empty result. Rows that repeat a doc_id are sampled each, in a fixed order of their sizes.
@@ -15,18 +15,18 @@ order. An empty table gives an empty result. Rows that repeat a doc_id are sampl
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, keep
+from .common import WORD, files_for, keep
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
 SEED = 17
-#: rows that one bucket of a (source, size class) holds, about
-BUCKET_ROWS = 200_000
 
 
 def size_of(text: Column) -> Column:
@@ -60,9 +60,9 @@ def targets(sizes: DataFrame, source: str, *, weights: tuple = WEIGHTS, share: f
 def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, **rule) -> DataFrame:  # noqa: ANN003
     """``key``, ``source``, ``size``, ``source_size``, ``target`` and ``copies`` of every document."""
     narrow = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"))
-    sizes = keep(narrow.withColumn("class", F.when(F.col("size") > 0, F.floor(8 * F.log2(F.col("size").cast("double")))).otherwise(-1).cast("long")))
+    sizes = keep(narrow.withColumn("class", F.when(F.col("size") > 0, F.floor(8 * F.log2(F.col("size").cast("double")))).otherwise(-1).cast("long")), files_for(docs))
     rates = targets(sizes, "source", **rule).select(F.col("source").alias("s"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
-    buckets = max(1, -(-sizes.count() // BUCKET_ROWS))
+    buckets = max(1, math.ceil(math.sqrt(sizes.count()) / 8))
     bucketed = sizes.withColumn("bucket", F.coalesce(hash32(F.col("id").cast("string")), F.lit(0)) % buckets)
     cells = bucketed.groupBy("source", "class", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("source").orderBy("class", "bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -90,7 +90,7 @@ leveled AS (
     / sum(w) OVER (ORDER BY most / w, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
 held AS (SELECT arg_min(level, most / w) AS t FROM leveled WHERE most > w * level),
 targets AS (SELECT source, source_size, CASE WHEN most <= w * level THEN most ELSE w * t END::DOUBLE AS target FROM leveled LEFT JOIN held ON true),
-buckets AS (SELECT greatest(1, (count(*) + 199999) // 200000) AS b FROM sized),
+buckets AS (SELECT greatest(1, ceil(sqrt(count(*)) / 8)::BIGINT) AS b FROM sized),
 placed AS (
   SELECT s.*, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN size > 0 THEN floor(8 * log2(size::DOUBLE)) ELSE -1 END,
     coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT, 0) % b, doc_id NULLS LAST, size)::DOUBLE AS last FROM sized s, buckets),

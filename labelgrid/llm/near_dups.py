@@ -26,13 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import id_filter, keep, split_by
+from .common import files_for, id_filter, keep, split_by
 from .components import components
 
 WORDS = 5
 LIKE = 85
 K_VALUES = 32
-ROUNDS = 2
 #: classes in a salted part of a list
 PART = 16
 _HALF = K.U64(1)
@@ -93,7 +92,8 @@ def _reach(na: str, ra: str, nb: str, rb: str) -> Column:
 class _Search:
     """Candidates, estimates and verified links over the classes of one input."""
 
-    def __init__(self, classes: DataFrame, docs: DataFrame) -> None:
+    def __init__(self, classes: DataFrame, docs: DataFrame, files: int | None) -> None:
+        self.files = files
         self.classes = classes
         entries = classes.select("cls", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
         shared = entries.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -102,85 +102,81 @@ class _Search:
         prefix = held.select("cls", F.expr("slice(held, 1, greatest(0, (s div 2) + 1 - (s - size(held))))").alias("held"))
         listed = prefix.select("cls", F.explode("held.v").alias("v"))
         sizes = listed.groupBy("v").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        needed = keep(listed.join(sizes, "v").select(F.col("cls").alias("id")).distinct())
+        needed = keep(listed.join(sizes, "v").select(F.col("cls").alias("id")).distinct(), files)
         self.empty = needed.isEmpty()
         if self.empty:
             return
         near, _ = split_by(docs, id_filter(needed, "id"), "id")
-        self.sets = keep(near.join(needed, "id", "left_semi").mapInArrow(full_sets, "id long, hashes array<long>"), "lz4")
+        self.sets = keep(near.join(needed, "id", "left_semi").mapInArrow(full_sets, "id long, hashes array<long>"), files, "lz4")
         # the same on the full sets of the classes left, where it is exact: most of a near copy's rarest shingles are its own
         each = self.sets.select(F.col("id").alias("cls"), F.size("hashes").alias("n"), F.explode("hashes").alias("v"))
         shared = each.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
         held = each.join(shared, "v").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("held"))
         prefix = held.select("cls", "n", F.size("held").alias("c"), F.expr(f"slice(held, 1, greatest(0, size(held) - ({LIKE} * n + 99) div 100 + 1))").alias("held"))
-        listed = keep(prefix.select("cls", "n", "c", F.posexplode("held.v").alias("at", "v")).select("v", "cls", "n", (F.col("c") - F.col("at")).alias("rest")))
+        listed = keep(prefix.select("cls", "n", "c", F.posexplode("held.v").alias("at", "v")).select("v", "cls", "n", (F.col("c") - F.col("at")).alias("rest")), files)
         sizes = listed.groupBy("v").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        self.lists = keep(listed.join(sizes, "v"))
+        self.lists = keep(listed.join(sizes, "v"), files)
         self.empty = self.lists.isEmpty()
 
-    def pairs(self, lists: DataFrame, salt: int) -> DataFrame:
-        """Each class with the smallest of each of its lists and of its salted part, where they are in different components."""
-        part = F.pmod(F.xxhash64("cls", F.lit(salt)), F.ceil(F.col("m") / PART))
-        out = None
-        for keyed, keys in ((lists, ["v"]), (lists.withColumn("part", part), ["v", "part"])):
-            centre = keyed.groupBy(*keys).agg(F.min(F.struct(F.col("cls").alias("a"), F.col("comp").alias("c"), "n", "rest")).alias("x"))
-            found = keyed.join(centre, keys).where((F.col("comp") != F.col("x.c")) & _reach("n", "rest", "x.n", "x.rest")).select(F.col("x.a").alias("a"), F.col("cls").alias("b"))
-            out = found if out is None else out.unionByName(found)
-        return out.distinct()
-
-    def estimated(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that the sizes and the union sketch let pass."""
-        side = lambda x: self.classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        sized = both.where(100 * F.least("na", "nb") >= LIKE * F.greatest("na", "nb"))
-        return sized.where(_alike("sa", "sb")).select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("share"))
+    def best_pairs(self) -> DataFrame:
+        """For each class the smaller class that it meets most often as the smallest of a list, or of a salted part of one."""
+        part = F.pmod(F.xxhash64("cls"), F.ceil(F.col("m") / PART))
+        met = None
+        for keyed, keys in ((self.lists, ["v"]), (self.lists.withColumn("part", part), ["v", "part"])):
+            centre = keyed.groupBy(*keys).agg(F.min(F.struct(F.col("cls").alias("a"), "n", "rest")).alias("x"))
+            found = keyed.join(centre, keys).where((F.col("cls") != F.col("x.a")) & _reach("n", "rest", "x.n", "x.rest")).select(F.col("x.a").alias("a"), F.col("cls").alias("b"))
+            met = found if met is None else met.unionByName(found)
+        counted = met.groupBy("b", "a").agg(F.count(F.lit(1)).alias("times"))
+        return counted.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets reach the threshold."""
+        """The pairs that the union sketch lets pass and whose full sets reach the threshold."""
         side = lambda x: self.sets.select(F.col("id").alias(x), F.col("hashes").alias(f"h{x}"))
         both = F.size(F.array_intersect("ha", "hb"))
         union = F.size("ha") + F.size("hb") - both
-        return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(100 * both >= LIKE * union).select("a", "b")
-
-    def apart(self, found: DataFrame | None) -> DataFrame:
-        """The lists that still hold more than one component, with each class's component."""
-        if found is None:
-            return self.lists.withColumn("comp", F.col("cls"))
-        placed = self.lists.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-        mixed = placed.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("v")
-        return placed.join(mixed, "v")
+        return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(_alike("ha", "hb")).where(100 * both >= LIKE * union).select("a", "b")
+
+    def roots(self, parents: DataFrame) -> DataFrame:
+        """``node``, ``component`` from links in which each class has one smaller parent, by pointer jumping."""
+        at = parents.select(F.col("b").alias("node"), F.col("a").alias("component"))
+        while True:
+            up = at.select(F.col("node").alias("n"), F.col("component").alias("c"))
+            new = keep(at.join(up, F.col("component") == F.col("n"), "left").select("node", F.coalesce("c", "component").alias("component"), F.col("c").isNotNull().alias("moved")), self.files)
+            if new.where("moved").isEmpty():
+                return new.drop("moved")
+            at = new.drop("moved")
 
     def run(self) -> DataFrame | None:
         """``node``, ``component`` of the classes with a link; None where no list has two classes."""
         if self.empty:
             return None
-        links = found = None
-        for salt in range(ROUNDS):
-            lists = keep(self.apart(found))
-            best = self.estimated(self.pairs(lists, salt)).groupBy("b").agg(F.max_by("a", F.struct("share", -F.col("a"))).alias("a"))
-            new = keep(self.verified(best))
-            if new.isEmpty():
-                break
-            links = new if links is None else links.unionByName(new)
-            found = keep(components(links))
+        found = self.roots(keep(self.verified(self.best_pairs()), self.files))
         # the rest: every pair across components. The largest component of a list needs no pairs inside.
-        lists = keep(self.apart(found))
-        sizes = lists.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("v").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-        strays = lists.join(sizes, "v").where("comp <> main").select("v", F.col("cls").alias("x"), F.col("comp").alias("xc"), F.col("n").alias("xn"), F.col("rest").alias("xrest"))
-        rest = strays.join(lists, "v").where((F.col("xc") != F.col("comp")) & _reach("n", "rest", "xn", "xrest")).select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct()
-        new = keep(self.verified(self.estimated(rest)))
-        if not new.isEmpty():
-            found = components(new if links is None else links.unionByName(new))
-        return found
+        placed = self.lists.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+        sizes = placed.groupBy("v", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("v").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
+        lists = keep(placed.join(sizes.where("comps > 1"), "v"), self.files)
+        strays = lists.where("comp <> main").select("v", F.col("cls").alias("x"), F.col("comp").alias("xc"), F.col("n").alias("xn"), F.col("rest").alias("xrest"))
+        met = strays.join(lists, "v").where((F.col("xc") != F.col("comp")) & _reach("n", "rest", "xn", "xrest"))
+        rest = met.select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct()
+        new = keep(self.verified(rest), self.files)
+        if new.isEmpty():
+            return found
+        to = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+        between = new.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        merged = components(between, files=self.files)
+        moved = found.join(merged.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left")
+        # classes that were alone until now, and roots, are nodes of ``merged`` themselves
+        return moved.select("node", F.coalesce("whole", "component").alias("component")).unionByName(merged.join(found.select("node"), "node", "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_shingles``, ``component_id`` and ``kept`` of every row."""
     plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    members = keep(plain.mapInArrow(sketch, "id long, n long, s1 long, s2 long, sketch array<long>"))
+    files = files_for(docs)
+    members = keep(plain.mapInArrow(sketch, "id long, n long, s1 long, s2 long, sketch array<long>"), files)
     classes = members.where("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("id").alias("cls"), F.first("sketch").alias("sketch"))
-    classes = keep(classes)
-    found = _Search(classes, plain).run()
+    classes = keep(classes, files)
+    found = _Search(classes, plain, files).run()
     placed = members.drop("sketch").join(classes.select("n", "s1", "s2", "cls"), ["n", "s1", "s2"], "left")
     if found is not None:
         placed = placed.join(found.withColumnRenamed("node", "cls"), "cls", "left")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import keep
+from .common import files_for, keep
 
 LENGTH = 2048
 OPEN = 16
@@ -252,7 +252,7 @@ def pack(docs: DataFrame, name: str = "word_bpe_49k.json", closing_id: int = 1,
         if packer.rows:
             yield rows()
 
-    pieces = keep(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(place, schema))
+    pieces = keep(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(place, schema), files_for(docs))
     left = pieces.where("open")
     filled = left.groupBy("sequence_id").agg(F.sum("length").alias("filled"))
     groups = max(1, -(-filled.count() // GROUP))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import id_filter, keep, split_by
+from .common import files_for, id_filter, keep, split_by
 
 WINDOW = 50
 GRAM = 16
@@ -224,13 +224,14 @@ def window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, ``th`` (hash of the text) and ``spans`` (arrays of first word and end) of the documents from which words go."""
     plain = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    listed = keep(plain.mapInArrow(anchors, "id long, th long, anchors array<long>"))
+    files = files_for(docs)
+    listed = keep(plain.mapInArrow(anchors, "id long, th long, anchors array<long>"), files)
     each = listed.select("id", "th", F.explode("anchors").alias("anchor"))
     shared = each.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
-    wanted = keep(each.join(shared, "anchor").groupBy("id", "th").agg(F.collect_set("anchor").alias("anchors")))
+    wanted = keep(each.join(shared, "anchor").groupBy("id", "th").agg(F.collect_set("anchor").alias("anchors")), files)
     near, _ = split_by(plain, id_filter(wanted, "id"), "id")
-    found = keep(near.dropDuplicates(["id", "th"]).join(wanted, ["id", "th"]).select("id", "th", "text", "anchors").mapInArrow(segments, SEGMENTS))
-    first = keep(found.groupBy("anchor", "segment").agg(F.min("id").alias("low")))
+    found = keep(near.dropDuplicates(["id", "th"]).join(wanted, ["id", "th"]).select("id", "th", "text", "anchors").mapInArrow(segments, SEGMENTS), files)
+    first = keep(found.groupBy("anchor", "segment").agg(F.min("id").alias("low")), files)
     rivals = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("rivals")).where("rivals > 1")
     first = first.join(rivals, "anchor", "left")
     # segments that an earlier document has whole
@@ -238,7 +239,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spans = same.where("low < id").select("id", "th", "start", (F.col("start") + F.col("n") + WINDOW - 1).alias("end"))
     # first occurrences of segments that share their anchor with others
     chosen = found.join(first.where("rivals > 1"), ["anchor", "segment"]).where("id = low")
-    open_ = keep(chosen.dropDuplicates(["anchor", "segment"]).select("anchor", "segment", "id", "words", "rivals"))
+    open_ = keep(chosen.dropDuplicates(["anchor", "segment"]).select("anchor", "segment", "id", "words", "rivals"), files)
     few = open_.where(F.col("rivals") <= SHARD_SEGMENTS).drop("rivals")
     by_shard = few.repartition("anchor").sortWithinPartitions("anchor", "segment").mapInArrow(resolve_shards, "anchor long, segment long, found array<struct<a:int,b:int>>")
     windows = open_.where(F.col("rivals") > SHARD_SEGMENTS).drop("rivals").mapInArrow(window_hashes, "anchor long, segment long, id long, window long, at int")
@@ -247,7 +248,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     some = by_shard.unionByName(by_join)
     partial = same.where("low = id AND rivals > 1").join(some, ["anchor", "segment"]).select("id", "th", "start", F.explode("found").alias("x"))
     spans = spans.unionByName(partial.select("id", "th", (F.col("start") + F.col("x.a")).alias("start"), (F.col("start") + F.col("x.b")).alias("end")))
-    return keep(spans.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")))
+    return keep(spans.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")), files)
 
 
 def cut(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
