@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import chat
 from .common import table
 from .fingerprints import fingerprint_edits
+from .html_text import main_text
 from .media import read_back, resolve, sequences, store_texts, text_pages
 from .mixing import MIX_SQL, mix
 from .near_dups import near_duplicates
@@ -54,6 +55,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(told.unionByName(added)))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pages = sequences(text_pages(docs), key="doc_id", carry=("n_bytes",))
@@ -74,6 +79,7 @@ QUERIES = {
     "op5_fingerprints": op5_fingerprints,
     "op6_substrings": op6_substrings,
     "op7_chat": op7_chat,
+    "op8_html_text": op8_html_text,
     "op9_media": op9_media,
     "op10_mixing": op10_mixing,
 }
