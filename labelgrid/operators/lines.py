@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from labelgrid.functions import geometry as G
 from labelgrid.functions import text as T
 from labelgrid.functions import vocab as V
+from labelgrid.plans.stage import stage
 
 PAGE = ["image_id"]
 
@@ -26,9 +27,10 @@ def enrich(items: DataFrame) -> DataFrame:
     )
 
 
-def median_height(lines: DataFrame, keys: list[str] = PAGE, default: float = 20.0, name: str = "med") -> DataFrame:
-    """Median of the positive heights of each page."""
-    return lines.groupBy(*keys).agg(F.coalesce(F.median(F.when(F.col("height") > 0, F.col("height"))), F.lit(default)).alias(name))
+def with_median(lines: DataFrame, keys: list[str] = PAGE, default: float = 20.0, name: str = "med") -> DataFrame:
+    """``lines`` with the median of the positive heights of their page."""
+    median = F.median(F.when(F.col("height") > 0, F.col("height"))).over(W.partitionBy(*keys))
+    return lines.withColumn(name, F.coalesce(median, F.lit(default)))
 
 
 def numbered(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
@@ -42,6 +44,7 @@ def components(nodes: DataFrame, near: Column, keys: list[str], columns: list[st
     ``near`` speaks of two rows as ``a`` and ``b``. Pairs are an equi-join on the keys with ``near`` as its condition; the
     links of a page are folded over an array of labels, which stays in the JVM.
     """
+    nodes = stage(nodes)
     slim = nodes.select(*keys, "i", *columns)
     a, b = slim.alias("a"), slim.alias("b")
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
@@ -88,19 +91,18 @@ def assemble(members: DataFrame, keys: list[str]) -> DataFrame:
 
 def reconstruct(items: DataFrame) -> DataFrame:
     """Lines of each page in reading order, with ``line_index``. ``items`` as from ``enrich``."""
-    med = median_height(items, default=15.0)
-    nodes = numbered(items, PAGE, "seq").join(med, PAGE)
+    nodes = with_median(numbered(items, PAGE, "seq"), default=15.0)
     grouped = components(nodes, same_line(F.col("a.med")), PAGE, ["x1", "y1", "x2", "y2", "cy", "height", "med"])
     lines = assemble(grouped, ["image_id", "root"]).drop("root")
-    band = lines.groupBy("image_id").agg(F.greatest(F.median("height") * 0.5, F.lit(5.0)).alias("band"))
+    banded = lines.withColumn("band", F.greatest(F.median("height").over(W.partitionBy("image_id")) * 0.5, F.lit(5.0)))
     order = W.partitionBy("image_id").orderBy(F.bround(F.col("y1") / F.col("band")), "x1", "first_seq")
-    return lines.join(band, PAGE).withColumn("line_index", F.row_number().over(order) - 1).drop("band")
+    return banded.withColumn("line_index", F.row_number().over(order) - 1).drop("band")
 
 
 def group_boxes(items: DataFrame, images: DataFrame) -> DataFrame:
     """Simpler lines: boxes that overlap vertically and stand close, in (y, x) order."""
-    med = median_height(items).join(images.select("image_id", "img_w"), PAGE)
-    nodes = numbered(items, PAGE, "seq").join(med.withColumn("gap", F.least(F.col("med") * V.GROUP_H, F.col("img_w") * V.GROUP_WIDTH)), PAGE)
+    nodes = with_median(numbered(items, PAGE, "seq")).join(images.select("image_id", "img_w"), PAGE)
+    nodes = nodes.withColumn("gap", F.least(F.col("med") * V.GROUP_H, F.col("img_w") * V.GROUP_WIDTH))
     near = (G.vertical_overlap_ratio(_pair("a"), _pair("b")) >= V.LINE_OVERLAP) & (G.horizontal_distance(_pair("a"), _pair("b")) <= F.col("a.gap"))
     lines = assemble(components(nodes, near, PAGE, ["x1", "y1", "x2", "y2", "gap"]), ["image_id", "root"]).drop("root")
     return lines.withColumn("line_index", F.row_number().over(W.partitionBy("image_id").orderBy("y1", "x1", "first_seq")) - 1)
@@ -108,7 +110,7 @@ def group_boxes(items: DataFrame, images: DataFrame) -> DataFrame:
 
 def cluster_near(lines: DataFrame, order: str = "line_index") -> DataFrame:
     """``lines`` with ``cluster``: centres within three median heights (15 px at least) hang together."""
-    nodes = numbered(lines, PAGE, order).join(median_height(lines), PAGE)
+    nodes = with_median(numbered(lines, PAGE, order))
     near = G.center_distance(_pair("a"), _pair("b")) <= F.greatest(F.col("a.med") * V.TABLE_DISTANCE, F.lit(15.0))
     return components(nodes, near, PAGE, ["x1", "y1", "x2", "y2", "med"]).withColumnRenamed("root", "cluster").drop("i", "med")
 
@@ -122,9 +124,9 @@ def gap_parts(members: DataFrame, keys: list[str], limit: Column) -> DataFrame:
 
 def split_wide(lines: DataFrame, images: DataFrame) -> DataFrame:
     """Lines cut at wide gaps. Only the parts of a cut line have ``confidence``; ``line_id`` is the new order."""
-    med = median_height(lines).join(images.select("image_id", "img_w"), PAGE)
+    measured = with_median(lines).join(images.select("image_id", "img_w"), PAGE)
     limit = F.greatest(F.lit(25.0), F.least(F.col("img_w") * 0.05, F.col("med") * 1.2))
-    boxes = lines.select("image_id", "line_index", F.inline("items")).join(med, PAGE)
+    boxes = measured.select("image_id", "line_index", "med", "img_w", F.inline("items"))
     parts = gap_parts(boxes, ["image_id", "line_index"], limit)
     out = assemble(parts, ["image_id", "line_index", "part"])
     cut = F.max("part").over(W.partitionBy("image_id", "line_index")) > 0

@@ -1,0 +1,33 @@
+"""Stage tables: a step's result, written once as Parquet where driver and executors share a folder, and read by what follows.
+
+A layout joins its own intermediate results many times over; without stages the plan doubles with every self-join, and a lost
+executor costs the whole chain.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, or a folder set here where it is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="labelgrid-"))
+    return context.getCheckpointDir().get()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """``df`` written and read again; the files go when the session's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/labelgrid/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
