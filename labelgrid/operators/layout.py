@@ -48,7 +48,7 @@ def _close(gap: Column, band: Column, overlap: float) -> Column:
     return (G.vertical_distance(a, b) <= gap) & ((F.abs(a[0] - b[0]) <= band) | (G.horizontal_overlap_ratio(a, b) >= overlap))
 
 
-CARRIED = ["place", "line_id", "text", "x1", "y1", "x2", "y2", "height", "confidence", *C.SCORES, "other_score", "predicted_class", "hits", "unit", "has_term"]
+CARRIED = ["place", "line_id", "text", "x1", "y1", "x2", "y2", "height", "confidence", *C.SCORES, "other_score", "predicted_class", "hits", "unit", "has_term", "ing_head", "nut_head"]
 LINE = "struct(y1, x1, " + ", ".join(c for c in CARRIED if c not in ("x1", "y1")) + ")"
 
 
@@ -172,7 +172,7 @@ class Layout:
         self.items = L.enrich(items)
         self.unsplit = stage(L.reconstruct(self.items))
         self.lines = stage(L.split_wide(self.unsplit, images))
-        described = C.describe(self.lines, vocabulary).withColumns({"hits": F.col("row.hits"), "unit": F.col("row.number_unit")})
+        described = C.describe(self.lines, vocabulary).withColumns({"hits": F.col("row.hits"), "unit": F.col("row.number_unit"), "ing_head": F.col("ing_anchor.score") >= V.ANCHOR_SCORE, "nut_head": F.col("nut_anchor.score") >= V.ANCHOR_SCORE})
         self.classified = stage(columns(described, images))
         self.blocks = blocks(self.classified, vocabulary)
         self.clusters = clusters(self.classified)

@@ -42,7 +42,7 @@ def _template() -> list[tuple]:
 
     def table(layout: int, x: int, y: int, heading: bool = True) -> None:
         for i, cells in enumerate(_ROWS if heading else _ROWS[1:]):
-            for cell, (dx, w) in zip(cells, ((0, 190), (230, 90), (360, 110)), strict=True):
+            for cell, (dx, w) in zip(cells, ((0, 190), (250, 90), (400, 110)), strict=True):
                 put(layout, x + dx, y + 28 * i, w, 20, cell)
 
     for layout in range(4):
@@ -94,7 +94,7 @@ SELECT p_partkey AS image_id, seq, {_TEXT} AS text,
 FROM part JOIN (SELECT * FROM (VALUES {_values(_template())}) AS v(layout, seq, tx, ty, tw, th, tt)) AS template ON p_partkey % 4 = layout
 """
 
-IMAGES = "SELECT p_partkey AS image_id, CAST(940 + p_partkey % 40 AS INT) AS img_w, CAST(700 + p_partkey % 30 AS INT) AS img_h FROM part"
+IMAGES = "SELECT p_partkey AS image_id, CAST(1080 + p_partkey % 40 AS INT) AS img_w, CAST(700 + p_partkey % 30 AS INT) AS img_h FROM part"
 
 #: terms of the food vocabulary in order: names and alternates
 TERMS = [

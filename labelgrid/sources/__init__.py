@@ -1,0 +1 @@
+"""Tables from files: images, readings of an OCR engine, knowledge bases, labelled boxes."""

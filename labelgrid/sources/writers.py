@@ -1,0 +1,43 @@
+"""Result documents: one JSON object, and one readable text, per page."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def documents(reconciled: DataFrame, domains: DataFrame, ingredients: DataFrame, nutrients: DataFrame) -> DataFrame:
+    """Nested result rows: domain, both regions, the ingredient list, the nutrient map.
+
+    ``nutrition_region`` is null for personal care, where nutrition is skipped.
+    """
+    listed = ingredients.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("pos", "phrase", "matched_name", "confidence"))).alias("ingredients"))
+    named = nutrients.groupBy("image_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("nutrient", F.struct("value", "unit"))))).alias("nutrition"))
+    page = domains.select("image_id", "domain").join(reconciled, "image_id", "left").join(listed, "image_id", "left").join(named, "image_id", "left")
+    region = lambda n: F.struct(F.col(f"{n}.box").alias("bbox"), F.col(f"{n}.confidence").alias("confidence"))
+    food = F.col("domain") == "food"
+    return page.select("image_id", "domain", region("ing").alias("ingredients_region"), F.when(food, region("nut")).alias("nutrition_region"), "ingredients", F.when(food, F.col("nutrition")).alias("nutrition"))
+
+
+def as_json(docs: DataFrame) -> DataFrame:
+    return docs.select("image_id", F.to_json(F.struct(*docs.columns)).alias("value"))
+
+
+def as_text(docs: DataFrame) -> DataFrame:
+    """A few readable lines per page."""
+    def box(name: str):  # noqa: ANN202
+        b = F.col(f"{name}.bbox")
+        return F.when(b.isNull(), F.lit("none")).otherwise(F.concat_ws(", ", *(F.round(b[c], 1).cast("string") for c in ("x1", "y1", "x2", "y2"))))
+
+    names = F.transform(F.coalesce("ingredients", F.expr("cast(array() AS array<struct<pos:int,phrase:string,matched_name:string,confidence:double>>)")), lambda x: F.coalesce(x["matched_name"], x["phrase"]))
+    facts = F.transform(F.map_entries(F.coalesce("nutrition", F.expr("cast(map() AS map<string,struct<value:double,unit:string>>)"))), lambda x: F.concat_ws(" ", x["key"], x["value"]["value"].cast("string"), x["value"]["unit"]))
+    lines = F.concat_ws("\n", F.concat(F.lit("domain: "), "domain"), F.concat(F.lit("ingredients region: "), box("ingredients_region")), F.concat(F.lit("nutrition region: "), box("nutrition_region")), F.concat(F.lit("ingredients: "), F.array_join(names, ", ")), F.concat(F.lit("nutrition: "), F.array_join(facts, ", ")))
+    return docs.select("image_id", lines.alias("value"))
+
+
+def write_json(docs: DataFrame, path: str) -> None:
+    as_json(docs).select("value").write.text(path)
+
+
+def write_text(docs: DataFrame, path: str) -> None:
+    as_text(docs).select("value").write.option("lineSep", "\n\n").text(path)
