@@ -30,7 +30,7 @@ LEAST_CUT = 32
 #: leftovers that one task merges
 GROUP = 4096
 #: words whose ids a worker keeps, about 30 bytes each
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 400_000
 #: new words that are encoded as one text
 JOINED = 500
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
