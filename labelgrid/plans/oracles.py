@@ -1 +1,256 @@
-SQL = {}
+"""The layout queries in DuckDB SQL, written on their own: joins, recursive closures and windows instead of the folds used here.
+
+Only the synthetic input (``pages``) and the word lists are shared.
+"""
+
+from __future__ import annotations
+
+from labelgrid.functions import vocab as V
+
+from . import pages as P
+
+SQL: dict[str, str] = {}
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(_q(w) for w in words) + "]"
+
+
+def _any(t: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({t}, {_q(w)})" for w in words) + ")"
+
+
+def _count(t: str, words: list[str]) -> str:
+    return "(" + " + ".join(f"contains({t}, {_q(w)})::INT" for w in words) + ")"
+
+
+def _norm(t: str) -> str:
+    return f"trim(regexp_replace(replace(lower({t}), '|', 'l'), '\\s+', ' ', 'g'))"
+
+
+def _milli(x: str, unit: int = 1000) -> str:
+    return f"round(({x}) * {unit})::BIGINT"
+
+
+ITEMS = f"items AS ({P.ITEMS}), images AS ({P.IMAGES})"
+H_DIST = "greatest(b.x1 - a.x2, a.x1 - b.x2, 0)"
+V_DIST = "greatest(b.y1 - a.y2, a.y1 - b.y2, 0)"
+V_OVER = "(CASE WHEN least(a.y2 - a.y1, b.y2 - b.y1) <= 0 THEN 0 ELSE greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) / least(a.y2 - a.y1, b.y2 - b.y1) END)"
+H_OVER = "(CASE WHEN least(a.x2 - a.x1, b.x2 - b.x1) <= 0 THEN 0 ELSE greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) / least(a.x2 - a.x1, b.x2 - b.x1) END)"
+CENTERS = "sqrt(((a.x1 + a.x2) / 2 - (b.x1 + b.x2) / 2) ** 2 + ((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2) ** 2)"
+
+
+def _closure(name: str, nodes: str, keys: list[str], node: str, near: str) -> str:
+    """``name``: ``nodes`` with ``root``, the least ``node`` that is reachable over pairs for which ``near`` holds."""
+    same = " AND ".join(f"a.{k} = b.{k}" for k in keys)
+    cols = ", ".join(f"a.{k}" for k in keys)
+    plain = ", ".join(keys)
+    joined = " AND ".join(f"r.{k} = e.{k}" for k in keys)
+    back = " AND ".join(f"n.{k} = c.{k}" for k in keys)
+    return f"""{name}_links AS (SELECT {cols}, a.{node} AS u, b.{node} AS v FROM {nodes} a JOIN {nodes} b ON {same} AND a.{node} <> b.{node} WHERE {near}),
+{name}_reach AS (SELECT {plain}, {node} AS u, {node} AS v FROM {nodes} UNION SELECT {', '.join('r.' + k for k in keys)}, r.u, e.v FROM {name}_reach r JOIN {name}_links e ON {joined} AND r.v = e.u),
+{name} AS (SELECT n.*, c.root FROM {nodes} n JOIN (SELECT {plain}, u, min(v) AS root FROM {name}_reach GROUP BY ALL) c ON {back} AND n.{node} = c.u)"""
+
+
+SQL["o15_o16_rect_measures"] = f"WITH {ITEMS} SELECT image_id, seq, x1, y1, x2, y2, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, x2 - x1 AS width, y2 - y1 AS height FROM items"
+SQL["o17_o19_pair_distances"] = f"WITH {ITEMS} SELECT a.image_id, a.seq, {V_DIST} AS v_dist, {H_DIST} AS h_dist, {_milli(V_OVER)} AS v_overlap, {_milli(H_OVER)} AS h_overlap, {_milli(CENTERS)} AS centers FROM items a JOIN items b ON a.image_id = b.image_id AND b.seq = a.seq + 1"
+_IOU = "CASE WHEN shared > 0 AND area_a + area_b - shared > 0 THEN shared / (area_a + area_b - shared) ELSE 0 END"
+SQL["o20_o21_iou"] = f"""WITH {ITEMS},
+p AS (SELECT a.image_id, a.seq, a.image_id % 5 <> 0 AS ha, a.image_id % 10 <> 0 AS hb, a.x1, a.y1, a.x2, a.y2, b.x1 AS u1, b.y1 - 30 AS v1, b.x2 AS u2, b.y2 - 30 AS v2 FROM items a JOIN items b ON a.image_id = b.image_id AND b.seq = a.seq + 1),
+s AS (SELECT *, CASE WHEN ha THEN (x2 - x1) * (y2 - y1) ELSE 0 END AS area_a, CASE WHEN hb THEN (u2 - u1) * (v2 - v1) ELSE 0 END AS area_b,
+  CASE WHEN ha AND hb AND least(x2, u2) > greatest(x1, u1) AND least(y2, v2) > greatest(y1, v1) THEN (least(x2, u2) - greatest(x1, u1)) * (least(y2, v2) - greatest(y1, v1)) ELSE 0 END AS shared FROM p)
+SELECT image_id, seq, area_a, shared, {_milli(_IOU, 10**6)} AS iou, {_milli('CASE WHEN NOT ha AND NOT hb THEN 1 ELSE ' + _IOU + ' END', 10**6)} AS evaluation_iou FROM s"""
+
+
+def _clipped(prefix: str, x1: str, y1: str, x2: str, y2: str, test: str = "") -> str:
+    a, b = f"greatest(0, least({x1}, img_w - 1))", f"greatest(0, least({y1}, img_h - 1))"
+    c, d = f"greatest(0, least({x2}, img_w))", f"greatest(0, least({y2}, img_h))"
+    c, d = f"CASE WHEN {c} <= {a} THEN least(img_w, {a} + 1) ELSE {c} END", f"CASE WHEN {d} <= {b} THEN least(img_h, {b} + 1) ELSE {d} END"
+    good = f"(({c}) - {a} >= {test} AND ({d}) - {b} >= {test})" if test else "true"
+    return ", ".join(f"CASE WHEN {good} THEN ({v})::DOUBLE END AS {prefix}_{n}" for v, n in ((a, "x1"), (b, "y1"), (c, "x2"), (d, "y2")))
+
+
+_ROUNDED = [f"round_even({c}, 0)" for c in ("x1", "y1", "x2", "y2")]
+_PX, _PY = "round_even(img_w * 0.015::DOUBLE, 0)", "round_even(img_h * 0.015::DOUBLE, 0)"
+_WIDE = [f"x1 - {_PX}", f"y1 - {_PY}", f"x2 + {_PX}", f"y2 + {_PY}"]
+SQL["o22_o25_clip_pad_crop"] = f"""WITH {ITEMS}, m AS (SELECT i.image_id, seq, x1 - 60.25::DOUBLE AS x1, y1 - 30.75::DOUBLE AS y1, x2 + 700.25::DOUBLE AS x2, y2 + 250.75::DOUBLE AS y2, img_w, img_h FROM items i JOIN images g ON i.image_id = g.image_id)
+SELECT image_id, seq, {_clipped('clip', 'x1', 'y1', 'x2', 'y2')}, {_clipped('round', *_ROUNDED)}, {_clipped('valid', 'x1', 'y1', 'x2', 'y2', '700')}, {_clipped('margin', *_WIDE)}, {_clipped('pad', *[f'round_even({w}, 0)' for w in _WIDE])}, {_clipped('crop', *_ROUNDED, '2')} FROM m"""
+SQL["o26_outside_text"] = f"WITH {ITEMS} SELECT image_id, seq, text FROM items WHERE NOT ((x1 + x2) / 2 BETWEEN 30 AND 480 AND (y1 + y2) / 2 BETWEEN 60 AND 180)"
+SQL["o27_o29_enrich_normalize"] = f"WITH {ITEMS} SELECT image_id, seq, {_norm('CASE seq % 4 WHEN 0 THEN concat(chr(32), chr(32), text, ' + _q(' | x') + ') WHEN 1 THEN upper(text) WHEN 2 THEN replace(text, ' + _q(' ') + ', ' + _q('   ') + ') ELSE text END')} AS norm_text, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, x2 - x1 AS width, y2 - y1 AS height FROM items"
+SQL["o30_domain"] = f"WITH {ITEMS}, p AS (SELECT image_id, string_agg({_norm('text')}, ' ' ORDER BY seq) AS t FROM items GROUP BY image_id), h AS (SELECT image_id, {_count('t', V.FOOD_SIGNALS)} AS food_hits, {_count('t', V.PERSONAL_CARE_SIGNALS)} AS care_hits FROM p) SELECT image_id, food_hits, care_hits, CASE WHEN care_hits > food_hits THEN 'personal_care' ELSE 'food' END AS domain FROM h"
+
+_MORE = ["protein 8 g", "100% wheat", "5%x", "- sodium", "energy value of this snack is far from the 450 kcal", "contains added flavour", "allergen awice", "nutrltion facts", "stor age"]
+TEXTS = f"{ITEMS}, texts AS (SELECT DISTINCT {_norm('text')} AS n FROM items UNION SELECT unnest({_list(_MORE)}))"
+_UNIT = r"\d+(\.\d+)?\s*(kcal|kj|mcg|µg|mg|ml|g|%)\b"
+_HAS_UNIT = f"regexp_matches(n, {_q(_UNIT)})"
+_MARKED = f"regexp_replace(n, {_q('(' + _UNIT + ')')}, chr(1) || '\\1', 'g')"
+_NEAR = " OR ".join(f"regexp_matches({_MARKED}, '{k}[^' || chr(1) || ']{{0,15}}' || chr(1))" for k in V.NUTRIENT_KEYWORDS)
+_LEAD = f"regexp_matches(n, {_q('^[-' + chr(92) + 's:]*(' + '|'.join(V.NUTRIENT_KEYWORDS) + ')' + chr(92) + 'b')})"
+SQL["o31_nutrition_rows"] = f"WITH {TEXTS}, h AS (SELECT n, {_count('n', V.NUTRIENT_KEYWORDS)} AS hits, {_HAS_UNIT} AS number_unit FROM texts) SELECT n, hits::BIGINT AS hits, number_unit, CASE WHEN hits = 0 THEN false WHEN number_unit THEN ({_NEAR}) ELSE length(n) <= 24 AND {_LEAD} END AS strong FROM h"
+_TERMS = [t.lower() for t in P.VOCABULARY if len(t) >= 4]
+_COMMAS = "(length({0}) - length(replace({0}, ',', '')))"
+SQL["o32_ingredient_lines"] = f"WITH {TEXTS}, h AS (SELECT n, {_COMMAS.format('n')} AS commas, {_count('n', _TERMS)} AS hits FROM texts) SELECT n, commas::BIGINT AS commas, hits::BIGINT AS vocabulary_hits, commas >= 2 OR hits >= 2 AS strong FROM h"
+
+
+def _ratio(a: str, b: str) -> str:
+    return f"(CASE WHEN {a} = {b} THEN 100.0::DOUBLE WHEN {a} = '' OR {b} = '' THEN 0 ELSE 100.0::DOUBLE * (1.0::DOUBLE - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b}))) END)"
+
+
+def _matches(name: str, texts: str, anchors: list[str]) -> str:
+    """``name``: for each text its best anchor and score, windows of the longer text as rows."""
+    words = ", ".join(f"({i}, {_q(a)})" for i, a in enumerate(a for a in anchors if a.isascii()))
+    return f"""{name}_pairs AS (SELECT n, i, a, CASE WHEN length(n) <= length(a) THEN n ELSE a END AS s, CASE WHEN length(n) <= length(a) THEN a ELSE n END AS l FROM {texts}, (VALUES {words}) AS w(i, a)),
+{name}_wins AS (SELECT n, i, max({_ratio('s', 'substr(l, (k + 1)::BIGINT, length(s))')}) AS part FROM (SELECT *, unnest(range(0, length(l) - length(s) + 1, greatest(1, length(s) // 4))) AS k FROM {name}_pairs WHERE length(s) < length(l) AND s <> '') GROUP BY n, i),
+{name}_scores AS (SELECT p.n, p.i, p.a, CASE WHEN contains(p.n, p.a) OR contains(p.a, p.n) THEN 100 ELSE greatest({_ratio('p.n', 'p.a')}, coalesce(w.part, 0)) END AS score FROM {name}_pairs p LEFT JOIN {name}_wins w ON p.n = w.n AND p.i = w.i),
+{name} AS (SELECT n, max(score)::DOUBLE AS score, CASE WHEN max(score) > 0 THEN arg_min(a, (-score) * 1000 + i) END AS anchor FROM {name}_scores GROUP BY n)"""
+
+
+def _best(name: str, texts: str, anchors: list[str]) -> str:
+    """As ``_matches``, the first anchor among equals by rank."""
+    body = _matches(name, texts, anchors).rsplit(f"{name} AS (", 1)[0]
+    return body + f"{name}_ranked AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, i) AS r FROM {name}_scores), {name} AS (SELECT n, score::DOUBLE AS score, CASE WHEN score > 0 THEN a END AS anchor FROM {name}_ranked WHERE r = 1)"
+
+
+SQL["o36_o38_anchor_matches"] = f"""WITH {TEXTS}, {_best('ing', 'texts', V.ALL_INGREDIENT_ANCHORS)}, {_best('nut', 'texts', V.NUTRITION_ANCHORS)}, {_matches('one', 'texts', ['ingredients'])}
+SELECT ing.n, ing.anchor AS ing_anchor, {_milli('ing.score')} AS ing_score, nut.anchor AS nut_anchor, {_milli('nut.score')} AS nut_score, {_milli(_ratio('ing.n', "'ingredients'"))} AS plain_ratio,
+  {_milli('coalesce((SELECT part FROM one_wins w WHERE w.n = ing.n), ' + _ratio('ing.n', "'ingredients'") + ')')} AS partial FROM ing JOIN nut ON ing.n = nut.n"""
+SQL["o33_section_boundaries"] = f"""WITH {TEXTS}, {_best('stop', 'texts', V.SECTION_STOP_WORDS)},
+r AS (SELECT n, score, anchor, CASE WHEN score < 78 OR anchor IS NULL THEN 'no_match' WHEN anchor = 'contains' THEN CASE WHEN {_any('n', V.ALLERGEN_CONTEXT_WORDS)} THEN 'contains_with_allergen_context' ELSE 'contains_without_allergen_context' END
+  WHEN score >= 92 THEN 'high_confidence_stop' WHEN length(n) <= 40 THEN 'contextual_stop_short_heading' ELSE 'contextual_stop_rejected_long_line' END AS reason FROM stop)
+SELECT n, reason IN ('contains_with_allergen_context', 'high_confidence_stop', 'contextual_stop_short_heading') AS is_stop, CASE WHEN reason <> 'no_match' THEN anchor END AS stop, {_milli('score')} AS score, reason FROM r"""
+
+_SAME_LINE = f"(abs((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2) <= a.med * 0.45 OR {V_OVER} >= 0.35) AND abs((a.y2 - a.y1) - (b.y2 - b.y1)) / greatest(a.y2 - a.y1, b.y2 - b.y1, 1e-6) <= 0.3 AND {H_DIST} <= a.med * 4"
+LINES = f"""{ITEMS}, sized AS (SELECT i.*, m.med FROM items i JOIN (SELECT image_id, median(y2 - y1) AS med FROM items WHERE y2 > y1 GROUP BY image_id) m ON i.image_id = m.image_id),
+{_closure('joined', 'sized', ['image_id'], 'seq', _SAME_LINE)},
+merged AS (SELECT image_id, root, string_agg(text, ' ' ORDER BY x1, seq) AS text, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS boxes, avg(confidence) AS mean_confidence FROM joined GROUP BY image_id, root),
+banded AS (SELECT m.*, greatest(b.h * 0.5, 5) AS band FROM merged m JOIN (SELECT image_id, median(y2 - y1) AS h FROM merged GROUP BY image_id) b ON m.image_id = b.image_id),
+lines AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round_even(y1 / band, 0), x1, root) - 1 AS line_index FROM banded)"""
+SQL["o41_o58_lines"] = f"WITH RECURSIVE {LINES} SELECT image_id, line_index, text, x1, y1, x2, y2, boxes, {_milli('mean_confidence', 10**6)} AS mean_confidence, 4 * boxes AS corners FROM lines"
+SPLIT = f"""{LINES}, limits AS (SELECT l.image_id, greatest(25, least(any_value(g.img_w) * 0.05, median(l.y2 - l.y1) FILTER (WHERE l.y2 > l.y1) * 1.2)) AS cut FROM lines l JOIN images g ON l.image_id = g.image_id GROUP BY l.image_id),
+gaps AS (SELECT j.image_id, l.line_index, j.seq, j.text, j.confidence, j.x1, j.y1, j.x2, j.y2, coalesce(j.x1 - lag(j.x2) OVER w > c.cut, false)::INT AS wide FROM joined j JOIN lines l ON j.image_id = l.image_id AND j.root = l.root JOIN limits c ON j.image_id = c.image_id WINDOW w AS (PARTITION BY j.image_id, l.line_index ORDER BY j.x1, j.seq)),
+parts AS (SELECT *, sum(wide) OVER (PARTITION BY image_id, line_index ORDER BY x1, seq) AS part, sum(wide) OVER (PARTITION BY image_id, line_index) AS cuts FROM gaps),
+pieces AS (SELECT image_id, line_index, part, string_agg(text, ' ' ORDER BY x1, seq) AS text, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, CASE WHEN any_value(cuts) > 0 THEN avg(confidence) END AS confidence FROM parts GROUP BY image_id, line_index, part),
+cutlines AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY line_index, part) - 1 AS line_id FROM pieces)"""
+SQL["o70_split_lines"] = f"WITH RECURSIVE {SPLIT} SELECT image_id, line_id, line_index, text, x1, y1, x2, y2, {_milli('confidence', 10**6)} AS confidence FROM cutlines"
+COLUMNS = f"""{SPLIT}, white AS (SELECT l.image_id, any_value(g.img_w) * least(0.12, median(l.y2 - l.y1) * 0.8 / any_value(g.img_w)) AS gap FROM cutlines l JOIN images g ON l.image_id = g.image_id GROUP BY l.image_id),
+begun AS (SELECT l.*, coalesce(l.x1 - max(l.x2) OVER (PARTITION BY l.image_id ORDER BY l.x1, l.line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > w.gap, false)::INT AS begins FROM cutlines l JOIN white w ON l.image_id = w.image_id),
+islands AS (SELECT *, sum(begins) OVER (PARTITION BY image_id ORDER BY x1, line_id)::BIGINT AS column_id FROM begun),
+bands AS (SELECT image_id, column_id, greatest(median(y2 - y1) * 0.6, 5) AS band, median(y2 - y1) AS med FROM islands GROUP BY ALL),
+placed AS (SELECT i.*, b.med, row_number() OVER (PARTITION BY i.image_id, i.column_id ORDER BY round_even(i.y1 / b.band, 0), i.x1, i.line_id) - 1 AS place FROM islands i JOIN bands b ON i.image_id = b.image_id AND i.column_id = b.column_id)"""
+SQL["o69_o73_columns"] = f"WITH RECURSIVE {COLUMNS} SELECT image_id, line_id, column_id, place FROM placed"
+_UNIT_N = "regexp_matches(n, " + _q(_UNIT) + ")"
+_TYPE = f"""CASE WHEN ({_any('n', V.NUTRITION_ANCHORS)} AND {_count('n', V.NUTRIENT_KEYWORDS)} >= 1) OR ({_count('n', V.NUTRIENT_KEYWORDS)} >= 3 AND {_UNIT_N}) THEN 'NUTRITION_TABLE_BLOCK'
+ WHEN {_any('n', [a for a in V.ALL_INGREDIENT_ANCHORS if a != 'contains'])} OR {_COMMAS.format('text')} >= 5 OR {_count('n', _TERMS)} >= 5 THEN 'INGREDIENT_BLOCK'
+ WHEN {_any('n', V.BLOCK_ALLERGEN)} OR (contains(n, 'contains') AND {_any('n', V.ALLERGEN_CONTEXT_WORDS)}) THEN 'ALLERGEN_BLOCK' WHEN {_any('n', V.BLOCK_STORAGE)} THEN 'STORAGE_BLOCK'
+ WHEN {_any('n', V.BLOCK_MANUFACTURER)} THEN 'MANUFACTURER_BLOCK' WHEN {_any('n', V.BLOCK_INSTRUCTION)} THEN 'INSTRUCTION_BLOCK' WHEN {_any('n', V.BLOCK_CONTACT)} THEN 'CONTACT_BLOCK'
+ WHEN {_any('n', V.BLOCK_MRP)} THEN 'MRP_BLOCK' ELSE 'OTHER_BLOCK' END"""
+_BLOCK_NEAR = f"{V_DIST} <= a.med * 2.5 AND (abs(a.x1 - b.x1) <= a.med * 3 OR {H_OVER} >= 0.2)"
+SQL["o42_o59_o35_blocks"] = f"""WITH RECURSIVE {COLUMNS}, {_closure('blocked', 'placed', ['image_id', 'column_id'], 'place', _BLOCK_NEAR)},
+b AS (SELECT image_id, column_id, root, string_agg(text, ' ' ORDER BY y1, x1, place) AS text, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS lines FROM blocked GROUP BY ALL),
+t AS (SELECT *, {_norm('text')} AS n FROM b)
+SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY column_id, y1, x1, root) - 1 AS block_id, {_TYPE} AS type, text, x1, y1, x2, y2, lines FROM t"""
+SQL["o44_grouped_boxes"] = f"""WITH RECURSIVE {ITEMS}, sized AS (SELECT i.*, least(m.med * 6, g.img_w * 0.05) AS gap FROM items i JOIN (SELECT image_id, median(y2 - y1) AS med FROM items WHERE y2 > y1 GROUP BY image_id) m ON i.image_id = m.image_id JOIN images g ON i.image_id = g.image_id),
+{_closure('joined', 'sized', ['image_id'], 'seq', f'{V_OVER} >= 0.35 AND {H_DIST} <= a.gap')},
+m AS (SELECT image_id, root, string_agg(text, ' ' ORDER BY x1, seq) AS text, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM joined GROUP BY ALL)
+SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY y1, x1, root) - 1 AS line_index, text, x1, y1, x2, y2 FROM m"""
+SQL["o45_near_clusters"] = f"""WITH RECURSIVE {ITEMS}, sized AS (SELECT i.*, greatest(m.med * 3, 15) AS far FROM items i JOIN (SELECT image_id, median(y2 - y1) AS med FROM items WHERE y2 > y1 GROUP BY image_id) m ON i.image_id = m.image_id),
+{_closure('near', 'sized', ['image_id'], 'seq', f'{CENTERS} <= a.far')} SELECT image_id, count(*) AS boxes, min(seq) AS first_seq FROM near GROUP BY image_id, root"""
+
+
+def _scored() -> str:
+    """The ten scores of every distinct line text, as ``scored``."""
+    lists = {"ingredients": V.ALL_INGREDIENT_ANCHORS, "nutrition": V.NUTRITION_ANCHORS, **V.CLASS_WORDS, "heading": V.OTHER_HEADINGS}
+    parts = [_best(f"m_{k}", "texts", v) for k, v in lists.items()]
+    got = lambda k, w: f"{w} * (CASE WHEN m_{k}.score >= 78 THEN m_{k}.score ELSE 0 END) / 100"
+    numbers = r"len(regexp_extract_all(t.n, '\b\d+(?:\.\d+)?\b'))"
+    commas = _COMMAS.format("t.n")
+    clip = lambda e: f"least(1, greatest(0, {e}))"
+    market = f"CASE WHEN {_any('t.n', V.MARKETING_WORDS)} THEN 0.3 ELSE 0 END"
+    cols = {
+        "ingredients": f"{got('ingredients', 0.85)} + CASE WHEN {commas} >= 2 THEN least(0.4, 0.15 * {commas}) ELSE 0 END + CASE WHEN regexp_matches(t.n, '\\(.*?\\)') THEN 0.15 ELSE 0 END + CASE WHEN regexp_matches(t.n, '\\b\\d+(?:\\.\\d+)?\\s*(?:%|percent)\\b') THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(t.n, {_q(V.INS_NUMBER)}) THEN 0.3 ELSE 0 END + least(0.35, 0.1 * {_count('t.n', _TERMS)})",
+        "nutrition": f"{got('nutrition', 0.9)} + least(0.45, 0.15 * {_count('t.n', V.NUTRIENT_KEYWORDS)}) + CASE WHEN regexp_matches(t.n, {_q(_UNIT)}) THEN 0.35 ELSE 0 END + CASE WHEN {_any('t.n', V.SERVING_WORDS)} THEN 0.25 ELSE 0 END + CASE WHEN {numbers} >= 2 THEN least(0.2, 0.08 * {numbers}) ELSE 0 END",
+        **{k: f"{got(k, 0.8)} + CASE WHEN {_any('t.n', w)} THEN 0.3 ELSE 0 END" for k, w in V.CLASS_WORDS.items()},
+        "other": market,
+    }
+    exprs = ", ".join(f"round(({clip(e)}) * 1000)::BIGINT AS s_{k}" for k, e in cols.items())
+    joins = " ".join(f"JOIN m_{k} ON t.n = m_{k}.n" for k in lists)
+    heading = f"round(({clip(got('heading', 0.8) + ' + ' + market)}) * 1000)::BIGINT AS other_score"
+    return f"texts AS (SELECT DISTINCT {_norm('text')} AS n FROM cutlines), {', '.join(parts)}, scored AS (SELECT t.n, {exprs}, {heading} FROM texts t {joins})"
+
+
+_S = [f"s_{c}" for c in V.CLASSES]
+_TOP = f"greatest({', '.join(_S)})"
+SQL["o34_line_classes"] = f"""WITH RECURSIVE {SPLIT}, {_scored()} SELECT image_id, line_id, text, {', '.join(_S)}, other_score, CASE WHEN {_TOP} = 0 THEN 'other' {' '.join(f"WHEN {s} = {_TOP} THEN '{s[2:]}'" for s in _S)} END AS predicted_class
+FROM cutlines c JOIN scored s ON {_norm('c.text')} = s.n"""
+SQL["o46_o78_anchors"] = f"""WITH RECURSIVE {SPLIT}, texts AS (SELECT DISTINCT {_norm('text')} AS n FROM cutlines), {_best('nut', 'texts', V.NUTRITION_ANCHORS)},
+r AS (SELECT c.image_id, row_number() OVER (PARTITION BY c.image_id ORDER BY nut.score DESC, c.line_id) - 1 AS anchor_no, c.line_id, nut.anchor, {_milli('nut.score')} AS score FROM cutlines c JOIN nut ON {_norm('c.text')} = nut.n WHERE nut.score >= 78 AND length(nut.n) >= 2)
+SELECT * FROM r WHERE anchor_no < 3"""
+SQL["o48_o65_terms_per_page"] = f"""WITH RECURSIVE {SPLIT}, k AS (SELECT unnest({_list(V.NUTRIENT_KEYWORDS)}) AS w), h AS (SELECT c.image_id, c.line_id, k.w FROM cutlines c JOIN k ON contains({_norm('c.text')}, k.w))
+SELECT image_id, string_agg(DISTINCT w, ',' ORDER BY w) AS terms, count(DISTINCT line_id) AS lines FROM h GROUP BY image_id"""
+SQL["o53_o54_kb_matches"] = f"""WITH {ITEMS}, kb AS ({P.TERMS_SQL}), food AS (SELECT ord, canonical, lower(searchable) AS s FROM kb WHERE domain = 'food'),
+tok AS (SELECT DISTINCT trim(p) AS q FROM (SELECT unnest(regexp_split_to_array(lower(text), '[,;:]')) AS p FROM items) WHERE trim(p) <> ''),
+hit AS (SELECT q, ord, canonical, q = s AS same, 100.0 * length(s) / length(q) > 85 AS long FROM tok JOIN food ON q = s OR (length(s) > 3 AND (contains(q, s) OR contains(s, q)))),
+best AS (SELECT q, arg_min(canonical, ord) FILTER (WHERE same) AS e, arg_max(canonical, ord) FILTER (WHERE long AND NOT same) AS l, arg_min(canonical, ord) FILTER (WHERE NOT same) AS f FROM hit GROUP BY q)
+SELECT tok.q AS phrase, coalesce(e, l, f) AS matched_name, CASE WHEN e IS NOT NULL THEN 100000 WHEN f IS NOT NULL THEN 85000 ELSE 0 END::BIGINT AS similarity FROM tok LEFT JOIN best ON tok.q = best.q"""
+SQL["o55_o56_union_median"] = f"WITH {ITEMS} SELECT image_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, median(y2 - y1) AS median_height FROM items GROUP BY image_id"
+SQL["o74_o76_orders"] = f"""WITH {ITEMS}, b AS (SELECT image_id, greatest(median(y2 - y1) * 0.6, 5) AS band FROM items GROUP BY image_id)
+SELECT i.image_id, seq, row_number() OVER (PARTITION BY i.image_id ORDER BY round_even(y1 / band, 0), x1, seq) - 1 AS reading_place, row_number() OVER (PARTITION BY i.image_id ORDER BY y1, x1, seq) - 1 AS plain_place FROM items i JOIN b ON i.image_id = b.image_id"""
+SQL["o91_nutrient_keys"] = f"WITH {TEXTS} SELECT n, CASE {' '.join(f'WHEN regexp_matches(n, {_q(chr(92) + chr(98) + chr(40) + chr(63) + chr(58) + p + chr(41) + chr(92) + chr(98))}) THEN {_q(k)}' for k, ps in V.NUTRIENT_KEYS for p in ps)} END AS nutrient FROM texts"
+
+_READ = f"""{ITEMS}, variants AS (SELECT unnest(['original', 'clahe', 'sharpened', 'adaptive_threshold', 'denoised_clahe', 'sharpened_threshold']) AS variant),
+readings AS (SELECT image_id, CASE image_id % 3 WHEN 0 THEN 'ingredient' WHEN 1 THEN 'nutrition' ELSE 'other' END AS section, variant, seq,
+  CASE WHEN variant = 'clahe' AND seq % 3 = 0 THEN replace(text, 'a', '#') WHEN variant = 'sharpened' AND seq % 5 = 0 THEN concat(text, ', salt 2 g') ELSE text END AS text,
+  confidence + CASE variant WHEN 'original' THEN (image_id % 3) / 8 WHEN 'clahe' THEN (image_id % 5) / 16 ELSE 0 END AS confidence FROM items, variants),
+joined AS (SELECT image_id, section, variant, string_agg(text, ' ' ORDER BY seq) AS t, avg(confidence) AS confidence, count(*) FILTER (WHERE regexp_matches(text, '[0-9]')) AS numbered FROM readings GROUP BY ALL),
+scores AS (SELECT image_id, section, variant, confidence, confidence * 2 - 1.5 * len(regexp_extract_all(t, '[^a-zA-Z0-9%.,:;()\\-\\s]'))::DOUBLE / length(t) + CASE section
+  WHEN 'ingredient' THEN len(regexp_extract_all(t, '[A-Za-z]{{2,}}')) * 0.05 + {_count('lower(t)', V.INGREDIENT_ANCHORS)} * 0.3 + least({_COMMAS.format('t')}, 10) * 0.05
+  WHEN 'nutrition' THEN {_count('lower(t)', V.NUTRIENT_KEYWORDS)} * 0.35 + {_count('lower(t)', V.NUTRIENT_UNITS)} * 0.15 + least(len(regexp_extract_all(t, '\\d+(\\.\\d+)?')), 20) * 0.05 + numbered * 0.1
+  ELSE len(regexp_extract_all(t, '[A-Za-z]{{2,}}')) * 0.05 END AS score FROM joined)"""
+SQL["o39_o40_reading_scores"] = f"WITH {_READ} SELECT image_id, section, variant, {_milli('score', 10**6)} AS score, {_milli('confidence', 10**6)} AS confidence FROM scores"
+_TRIED = "CASE WHEN s.own >= 0.88 THEN ['original'] WHEN s.image_id % 7 = 0 THEN ['original', 'sharpened', 'sharpened_threshold'] WHEN s.image_id % 4 = 0 OR 30 + s.image_id % 40 < 45 THEN ['original', 'clahe', 'adaptive_threshold', 'denoised_clahe'] ELSE ['original', 'clahe', 'sharpened', 'adaptive_threshold'] END"
+SQL["o79_best_readings"] = f"""WITH {_READ}, s AS (SELECT x.*, max(confidence) FILTER (WHERE variant = 'original') OVER (PARTITION BY image_id) AS own FROM scores x),
+turns AS (SELECT s.*, list_position({_TRIED}, variant) AS turn FROM s), ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id, section ORDER BY score DESC, turn) AS r FROM turns WHERE turn > 0)
+SELECT image_id, section, variant, {_milli('score', 10**6)} AS score FROM ranked WHERE r = 1"""
+SQL["o104_full_page_readings"] = f"""WITH {_READ}, m AS (SELECT image_id, avg(confidence) FILTER (WHERE variant = 'original') AS own, avg(confidence) FILTER (WHERE variant = 'clahe') AS other, count(*) FILTER (WHERE variant = 'original') AS boxes FROM readings GROUP BY image_id)
+SELECT image_id, CASE WHEN own < 0.82 AND (image_id % 4 = 0 OR 30 + image_id % 40 < 35) AND other > own THEN 'clahe' ELSE 'original' END AS variant, boxes FROM m"""
+
+_TRUTH = ", ".join(f"({_q(k)}, {[float(x) for x in a]}, {'NULL' if b is None else [float(x) for x in b]})" for k, (a, b) in V.GROUND_TRUTH.items())
+
+
+def _iou(f: str, t: str) -> str:
+    w, h = f"greatest(0, least({f}[3], {t}[3]) - greatest({f}[1], {t}[1]))", f"greatest(0, least({f}[4], {t}[4]) - greatest({f}[2], {t}[2]))"
+    areas = f"(({f}[3] - {f}[1]) * ({f}[4] - {f}[2]) + ({t}[3] - {t}[1]) * ({t}[4] - {t}[2]) - {w} * {h})"
+    return f"CASE WHEN {f} IS NULL AND {t} IS NULL THEN 1 WHEN {f} IS NULL OR {t} IS NULL THEN 0 ELSE {w} * {h} / {areas} END"
+
+
+_EVAL = f"""t AS (SELECT * FROM (VALUES {_TRUTH}) AS v(image, ti, tn)),
+f AS (SELECT concat(image, '#', p_partkey) AS image, ti, tn, list_transform(ti, lambda x: x + p_partkey % 50) AS fi, CASE WHEN p_partkey % 4 <> 0 THEN list_transform(tn, lambda x: x - p_partkey % 30) END AS fn FROM part, t),
+e AS (SELECT image, {_iou('fi', 'ti')} AS a, {_iou('fn', 'tn')} AS b FROM f)"""
+SQL["o52_evaluation"] = f"WITH {_EVAL} SELECT image, {_milli('a', 10**6)} AS ingredients_iou, {_milli('b', 10**6)} AS nutrition_iou FROM e"
+SQL["o66_evaluation_means"] = f"WITH {_EVAL} SELECT count(*) AS images, {_milli('avg(a)', 10**6)} AS ingredients_iou, {_milli('avg(b)', 10**6)} AS nutrition_iou, {_milli('(avg(a) + avg(b)) / 2', 10**6)} AS overall_iou FROM e"
+SQL["o06_o07_readings"] = f"WITH {ITEMS} SELECT image_id, seq::BIGINT AS seq, text, CASE WHEN image_id % 2 = 1 THEN 1.0::DOUBLE WHEN seq = 2 THEN 0 ELSE confidence END AS confidence, x1, y1, x2, y2 FROM items WHERE image_id % 2 = 1 OR seq <> 3"
+SQL["o13_detector_boxes"] = f"WITH {ITEMS}, d AS (SELECT image_id, (seq % 2)::VARCHAR AS class, seq AS ord, confidence - 0.3 AS conf FROM items WHERE confidence - 0.3::DOUBLE >= 0.35::DOUBLE), r AS (SELECT *, row_number() OVER (PARTITION BY image_id, class ORDER BY conf DESC, ord) AS r FROM d) SELECT image_id, class, ord, {_milli('conf')} AS conf FROM r WHERE r = 1"
+SQL["o80_packets"] = f"WITH {ITEMS}, c AS (SELECT image_id, seq AS ord, (20 + (image_id * 3 + seq * 11) % 60) AS area, 10 * (8 + seq % 4) AS box FROM items), s AS (SELECT image_id, ord, area / 100 * 0.7::DOUBLE + area / box * 0.3::DOUBLE AS score FROM c WHERE area >= 15), r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, ord) AS r FROM s) SELECT image_id, ord, {_milli('score', 10**6)} AS score FROM r WHERE r = 1"
+SQL["p1_working_sizes"] = """WITH p AS (SELECT p_partkey, (400 + p_partkey * 37 % 4000)::DOUBLE AS w, (300 + p_partkey * 53 % 4100)::DOUBLE AS h FROM part),
+u AS (SELECT p_partkey, CASE WHEN h < 1000 THEN round_even(w * (1000 / h), 0) ELSE w END AS w, CASE WHEN h < 1000 THEN round_even(h * (1000 / h), 0) ELSE h END AS h FROM p)
+SELECT p_partkey, CASE WHEN greatest(w, h) > 2800 THEN round_even(w * (2800 / greatest(w, h)), 0) ELSE w END::INT AS work_w, CASE WHEN greatest(w, h) > 2800 THEN round_even(h * (2800 / greatest(w, h)), 0) ELSE h END::INT AS work_h FROM u"""
+SQL["o67_quality"] = f"""WITH px AS (SELECT p_partkey AS image_id, i // 8 AS y, i % 8 AS x, ((p_partkey * 7 + (i // 8) * 31 * (p_partkey % 3) + (i % 8) * 17) % 256)::INT AS v FROM part, (SELECT unnest(range(64)) AS i)),
+l AS (SELECT a.image_id, a.v, a.y, a.x, u.v + d.v + le.v + r.v - 4 * a.v AS lap FROM px a JOIN px u ON u.image_id = a.image_id AND u.x = a.x AND u.y = abs(a.y - 1) JOIN px d ON d.image_id = a.image_id AND d.x = a.x AND d.y = 7 - abs(6 - a.y)
+  JOIN px le ON le.image_id = a.image_id AND le.y = a.y AND le.x = abs(a.x - 1) JOIN px r ON r.image_id = a.image_id AND r.y = a.y AND r.x = 7 - abs(6 - a.x)),
+b AS (SELECT image_id, stddev_pop(m) AS shadow FROM (SELECT image_id, avg(v) AS m FROM px GROUP BY image_id, y // 2, x // 2) GROUP BY image_id),
+q AS (SELECT image_id, var_pop(lap) AS lv, avg(v) AS bm, stddev_pop(v) AS cs, avg((v > 250)::INT) AS gr FROM l GROUP BY image_id)
+SELECT q.image_id, {_milli('lv')} AS laplacian_variance, {_milli('bm')} AS brightness_mean, {_milli('cs')} AS contrast_std, {_milli('gr')} AS glare_ratio, {_milli('shadow')} AS shadow_std, lv < 60 AS is_blurry, bm < 40 AS is_too_dark, bm > 235 AS is_too_bright FROM q JOIN b ON q.image_id = b.image_id"""
+SQL["o68_p4_skew"] = f"""WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey % 21 - 10 END AS ha, (p_partkey % 9) / 8 AS hc, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % 17 - 8 END AS ra, (p_partkey % 5) / 4 AS rc FROM part),
+w AS (SELECT p_partkey, ha, ra, CASE WHEN ha IS NULL THEN 0 ELSE hc END AS a, CASE WHEN ra IS NULL THEN 0 ELSE rc * 0.6 END AS b FROM p),
+o AS (SELECT p_partkey, (coalesce(ha, 0) * a + coalesce(ra, 0) * b) / CASE WHEN a + b = 0 THEN 1e-6 ELSE a + b END AS angle, least(1, a + b) AS c FROM w)
+SELECT p_partkey, {_milli('angle', 10**6)} AS angle, {_milli('c', 10**6)} AS confidence, c >= 0.35 AND abs(angle) >= 0.5 AND abs(angle) <= 15 AS rotate FROM o"""
+SQL["p5_corners"] = """WITH p AS (SELECT p_partkey, 10 + p_partkey % 13 AS ax, 12 + p_partkey % 7 AS ay, 200 + p_partkey % 5 AS bx, 11 + p_partkey % 17 AS by_, 205 - p_partkey % 3 AS cx, 150 + p_partkey % 11 AS cy, 8 + p_partkey % 4 AS dx, 155 AS dy FROM part)
+SELECT p_partkey, ax::DOUBLE AS tl_x, by_::DOUBLE AS tr_y, cx::DOUBLE AS br_x, dy::DOUBLE AS bl_y, greatest(abs(ay - by_), abs(dy - cy), abs(ax - dx), abs(bx - cx)) >= 8 AS warp FROM p"""
+SQL["o82_o85_sets"] = f"""WITH RECURSIVE {COLUMNS}, texts AS (SELECT DISTINCT {_norm('text')} AS n FROM cutlines), {_best('nut', 'texts', V.NUTRITION_ANCHORS)}, {_closure('blocked', 'placed', ['image_id', 'column_id'], 'place', _BLOCK_NEAR)},
+b AS (SELECT image_id, string_agg(text, ' ' ORDER BY y1, x1, place) AS text FROM blocked GROUP BY image_id, column_id, root),
+u AS (SELECT image_id, text, min(src) AS src FROM (SELECT image_id, text, 1 AS src FROM b UNION ALL SELECT image_id, text, 0 FROM cutlines) GROUP BY image_id, text)
+SELECT image_id, text, src::BIGINT AS src FROM u WHERE NOT EXISTS (SELECT 1 FROM cutlines c JOIN nut ON {_norm('c.text')} = nut.n WHERE nut.score >= 78 AND c.image_id = u.image_id AND c.text = u.text)"""
