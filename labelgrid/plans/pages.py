@@ -20,7 +20,7 @@ _ROWS = [
     ("Carbohydrate", "64 g", "19.2 g"),
     ("Sodium", "320 mg", "96 mg"),
 ]
-_CARE = ["Shampoo for soft hair", "Key Ingredients: Aqua, Glycerin,", "Sodium Laureth Sulfate, Parfum"]
+_CARE = ["Shampoo, conditioner and serum for soft hair", "Key Ingredients: Aqua, Glycerin,", "Sodium Laureth Sulfate, Parfum"]
 _TAIL = ["Storage: keep in a cool and dry place", "Manufactured by Good Foods Limited", "Contains: Wheat, Milk"]
 
 #: knowledge base: domain, name, alternates

@@ -76,7 +76,7 @@ def vocabulary(table: DataFrame, domain: str) -> DataFrame:
     kept = table.withColumn("__id", F.monotonically_increasing_id()).withColumn("canonical", canonical).where("canonical <> '' AND lower(canonical) <> 'nan'")
     others = F.split(F.col(f"`{alternate}`").cast("string"), "[;,/|]") if alternate else F.array().cast("array<string>")
     given = F.when(F.lower(F.col(f"`{alternate}`").cast("string")) != "nan", others) if alternate else others
-    terms = F.concat(F.array("canonical"), F.filter(F.transform(F.coalesce(given, F.array().cast("array<string>")), F.trim), lambda x: x != ""))
+    terms = F.concat(F.array("canonical"), F.filter(F.transform(F.coalesce(given, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""))
     flat = kept.select("__id", "canonical", F.posexplode(terms).alias("p", "searchable"))
     return flat.select(F.lit(domain).alias("domain"), (F.col("__id") * 1000 + F.col("p")).alias("ord"), "canonical", "searchable")
 
