@@ -222,7 +222,7 @@ class _Grammar:
 
     def top(self) -> Node:
         tag = self.r.choice(["header", "header", "div"])
-        parts = [self.node(self.r.choice(["div", "h2", "p"]), BOILER, self.text(BOILER, 1, 6, "", self.r.choice([0.0, 1.0])))]
+        parts = [self.node(self.r.choice(["div", "h1", "h1", "h2", "p"]), BOILER, self.text(BOILER, 1, 6, "", self.r.choice([0.0, 1.0])))]
         return self.node(tag, BOILER, *parts, *self.maybe(0.6, self.menu), words=self.name(_HEAD, 0.4 if tag == "header" else 1))
 
     def foot(self) -> Node:

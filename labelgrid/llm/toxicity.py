@@ -213,7 +213,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     summed = fold.mapInArrow(count, "h long, y long, x long").groupBy("h").agg(F.sum("y").alias("y"), F.sum("x").alias("x")).where("y > 1")
     y, x = F.col("y"), F.col("x")
     alpha = PRIOR * (y + x)
-    odds = F.log((y + alpha) / (n1 + prior - y - alpha)) - F.log((x + alpha) / (n0 + prior - x - alpha))
+    odds = F.log((y + alpha) / (n1 + prior - y - alpha + 0.5)) - F.log((x + alpha) / (n0 + prior - x - alpha + 0.5))
     z = odds / F.sqrt(1 / (y + alpha) + 1 / (x + alpha))
     best = summed.select("h", odds.alias("odds"), z.alias("z")).where((F.col("z") >= min(Z_GRID)) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("z"), "h").limit(FEATURES).collect()
     if not best:
