@@ -10,8 +10,9 @@ from .common import table
 from .fingerprints import fingerprint_edits
 from .html_text import main_text
 from .media import read_back, resolve, sequences, store_texts, text_pages
-from .mixing import MIX_SQL, mix
+from .mixing import mix
 from .near_dups import near_duplicates
+from .oracles import SQL
 from .packing import pack
 from .substrings import remove_repeats
 from .token_counts import token_counts
@@ -71,6 +72,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+__all__ = ["QUERIES", "SQL"]
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dups": op2_near_dups,
@@ -83,7 +86,3 @@ QUERIES = {
     "op9_media": op9_media,
     "op10_mixing": op10_mixing,
 }
-
-SQL = {
-    "op10_mixing": "WITH " + MIX_SQL.format(docs="documents") + " SELECT doc_id, size, source_size, target, copies * size AS taken FROM mixed",
-}
