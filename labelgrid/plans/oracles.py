@@ -204,7 +204,7 @@ SQL["o91_nutrient_keys"] = f"WITH {TEXTS} SELECT n, CASE {' '.join(f'WHEN regexp
 _READ = f"""{ITEMS}, variants AS (SELECT unnest(['original', 'clahe', 'sharpened', 'adaptive_threshold', 'denoised_clahe', 'sharpened_threshold']) AS variant),
 readings AS (SELECT image_id, CASE image_id % 3 WHEN 0 THEN 'ingredient' WHEN 1 THEN 'nutrition' ELSE 'other' END AS section, variant, seq,
   CASE WHEN variant = 'clahe' AND seq % 3 = 0 THEN replace(text, 'a', '#') WHEN variant = 'sharpened' AND seq % 5 = 0 THEN concat(text, ', salt 2 g') ELSE text END AS text,
-  confidence + CASE variant WHEN 'original' THEN (image_id % 3) / 8 WHEN 'clahe' THEN (image_id % 5) / 16 ELSE 0 END AS confidence FROM items, variants),
+  confidence + 0.00037::DOUBLE + CASE variant WHEN 'original' THEN (image_id % 3) / 8 WHEN 'clahe' THEN (image_id % 5) / 16 ELSE 0 END AS confidence FROM items, variants),
 joined AS (SELECT image_id, section, variant, string_agg(text, ' ' ORDER BY seq) AS t, avg(confidence) AS confidence, count(*) FILTER (WHERE regexp_matches(text, '[0-9]')) AS numbered FROM readings GROUP BY ALL),
 scores AS (SELECT image_id, section, variant, confidence, confidence * 2 - 1.5 * len(regexp_extract_all(t, '[^a-zA-Z0-9%.,:;()\\-\\s]'))::DOUBLE / length(t) + CASE section
   WHEN 'ingredient' THEN len(regexp_extract_all(t, '[A-Za-z]{{2,}}')) * 0.05 + {_count('lower(t)', V.INGREDIENT_ANCHORS)} * 0.3 + least({_COMMAS.format('t')}, 10) * 0.05
@@ -254,3 +254,86 @@ SQL["o82_o85_sets"] = f"""WITH RECURSIVE {COLUMNS}, texts AS (SELECT DISTINCT {_
 b AS (SELECT image_id, string_agg(text, ' ' ORDER BY y1, x1, place) AS text FROM blocked GROUP BY image_id, column_id, root),
 u AS (SELECT image_id, text, min(src) AS src FROM (SELECT image_id, text, 1 AS src FROM b UNION ALL SELECT image_id, text, 0 FROM cutlines) GROUP BY image_id, text)
 SELECT image_id, text, src::BIGINT AS src FROM u WHERE NOT EXISTS (SELECT 1 FROM cutlines c JOIN nut ON {_norm('c.text')} = nut.n WHERE nut.score >= 78 AND c.image_id = u.image_id AND c.text = u.text)"""
+
+
+def _layout() -> str:
+    """Everything up to ``described``: placed lines with scores in thousandths, heading scores, words, units, terms."""
+    return f"""{COLUMNS}, {_scored()},
+heads AS (SELECT i.n, CASE WHEN i.score >= 78 THEN i.score ELSE 0 END AS ing_head, CASE WHEN u.score >= 78 THEN u.score ELSE 0 END AS nut_head FROM m_ingredients i JOIN m_nutrition u ON i.n = u.n),
+meds AS (SELECT image_id, median(y2 - y1) AS page_med FROM cutlines WHERE y2 > y1 GROUP BY image_id),
+described AS (SELECT p.*, s.* EXCLUDE (n), h.ing_head, h.nut_head, m.page_med, {_count('h.n', V.NUTRIENT_KEYWORDS)} > 0 AS has_word, regexp_matches(h.n, {_q(_UNIT)}) AS has_unit, {_any('h.n', _TERMS)} AS has_term, h.n
+  FROM placed p JOIN heads h ON {_norm('p.text')} = h.n JOIN scored s ON s.n = h.n JOIN meds m ON m.image_id = p.image_id),
+{_closure('blocked', 'described', ['image_id', 'column_id'], 'place', _BLOCK_NEAR)}"""
+
+
+_CLUSTER_NEAR = f"{V_DIST} <= a.page_med * 2.6 AND (abs(a.x1 - b.x1) <= a.page_med * 3 OR {H_OVER} >= 0.25)"
+_LONG = " UNION ALL ".join(f"SELECT image_id, column_id, place, x1, y1, x2, y2, page_med, '{c}' AS class, {i} AS rank FROM described WHERE s_{c} >= 200" for i, c in enumerate(V.CLUSTERED))
+_OWN = "CASE f.class " + " ".join(f"WHEN '{c}' THEN f.s_{c}" for c in V.CLUSTERED) + " END"
+CLUSTERS = f"""{_layout()}, long AS ({_LONG}), {_closure('linked', 'long', ['image_id', 'column_id', 'class'], 'place', _CLUSTER_NEAR)},
+lowest AS (SELECT *, row_number() OVER (PARTITION BY image_id, column_id, class, root ORDER BY y1 DESC, x1 DESC, place DESC) AS r FROM linked),
+spans AS (SELECT image_id, column_id, class, any_value(rank) AS rank, root, min(y1) AS top, max(y2) FILTER (WHERE r = 1) AS bottom FROM lowest GROUP BY image_id, column_id, class, root),
+filled AS (SELECT s.class, s.rank, s.root, d.* FROM spans s JOIN described d ON d.image_id = s.image_id AND d.column_id = s.column_id AND (d.y1 + d.y2) / 2 BETWEEN s.top - 2 AND s.bottom + 2),
+boxes AS (SELECT f.image_id, f.column_id, f.class, any_value(f.rank) AS rank, f.root, min(f.x1) AS x1, min(f.y1) AS y1, max(f.x2) AS x2, max(f.y2) AS y2, count(*) AS lines, avg({_OWN}) / 1000 AS semantic,
+  greatest(0, 1 - stddev_pop(f.y2 - f.y1) / greatest(avg(f.y2 - f.y1), 1e-6)) AS coherence, any_value(f.page_med) AS page_med, avg(CASE WHEN f.has_term THEN 1.0::DOUBLE ELSE 0 END) AS term_share, avg(CASE WHEN f.has_word THEN 1.0::DOUBLE ELSE 0 END) AS word_share,
+  avg(CASE WHEN f.has_unit THEN 1.0::DOUBLE ELSE 0 END) AS unit_share, avg(coalesce(f.confidence, 0)) AS ocr, sum((f.x2 - f.x1) * (f.y2 - f.y1)) AS filled_area,
+  sum(CASE WHEN f.class = 'ingredients' THEN (CASE WHEN f.s_nutrition > 500 THEN 0.2 ELSE 0 END) + (CASE WHEN f.s_other > 600 THEN 0.1 ELSE 0 END) ELSE CASE WHEN f.s_ingredients > 500 THEN 0.2 ELSE 0 END END)::DOUBLE AS dirt
+  FROM filled f GROUP BY f.image_id, f.column_id, f.class, f.root),
+headed AS (SELECT b.image_id, b.column_id, b.class, b.root, max(CASE WHEN b.class = 'ingredients' THEN d.ing_head ELSE d.nut_head END) / 100 AS heading FROM boxes b JOIN described d ON d.image_id = b.image_id AND d.column_id = b.column_id
+  WHERE (d.y1 < b.y1 AND b.y1 - d.y2 <= b.page_med * 2.6) OR EXISTS (SELECT 1 FROM filled f WHERE f.image_id = b.image_id AND f.column_id = b.column_id AND f.class = b.class AND f.root = b.root AND f.x1 = d.x1 AND f.y1 = d.y1 AND f.x2 = d.x2 AND f.y2 = d.y2) GROUP BY ALL),
+clusters AS (SELECT b.*, coalesce(h.heading, 0) AS heading, row_number() OVER (PARTITION BY b.image_id ORDER BY b.column_id, b.rank, b.root) - 1 AS no FROM boxes b LEFT JOIN headed h USING (image_id, column_id, class, root))"""
+SQL["o43_o60_clusters"] = f"WITH RECURSIVE {CLUSTERS} SELECT image_id, concat('cluster_', class, '_', no) AS cluster_id, class, x1, y1, x2, y2, lines, {_milli('semantic', 10**6)} AS semantic, {_milli('coherence', 10**6)} AS coherence, {_milli('heading', 10**6)} AS heading FROM clusters"
+_SHARE = ", ".join(f"avg(CASE WHEN {c} THEN 1.0::DOUBLE ELSE 0 END) AS {n}" for c, n in (("has_term", "term_share"), ("has_word", "word_share"), ("has_unit", "unit_share")))
+BLOCKS = f"""tb AS (SELECT image_id, column_id, root, string_agg(text, ' ' ORDER BY y1, x1, place) AS text, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS lines, avg(s_ingredients) / 1000 AS ing, avg(s_nutrition) / 1000 AS nut, avg(coalesce(confidence, 0)) AS ocr, {_SHARE} FROM blocked GROUP BY image_id, column_id, root),
+typed AS (SELECT *, {_TYPE} AS type FROM (SELECT *, {_norm('text')} AS n FROM tb))"""
+SQL["o61_o77_candidates"] = f"""WITH RECURSIVE {CLUSTERS}, {BLOCKS},
+words_of AS (SELECT z.image_id, z.column_id, z.class, z.root, count(DISTINCT k.w) AS terms FROM filled z JOIN (SELECT unnest({_list(V.NUTRIENT_KEYWORDS)}) AS w) k ON contains(z.n, k.w) GROUP BY ALL),
+block_words AS (SELECT z.image_id, z.column_id, z.root, count(DISTINCT k.w) AS terms FROM blocked z JOIN (SELECT unnest({_list(V.NUTRIENT_KEYWORDS)}) AS w) k ON contains(z.n, k.w) GROUP BY ALL),
+c AS (SELECT c.*, coalesce(w.terms, 0) AS terms, CASE WHEN heading = 0 THEN 'semantic_cluster' ELSE 'heading_supported_cluster' END AS method, least(1, filled_area / greatest(1, (x2 - x1) * (y2 - y1)) * 3) AS compact FROM clusters c LEFT JOIN words_of w USING (image_id, column_id, class, root)),
+b AS (SELECT t.*, coalesce(w.terms, 0) AS terms FROM typed t LEFT JOIN block_words w USING (image_id, column_id, root)),
+u AS (SELECT image_id, 'ingredients' AS type, method, 0.35 * semantic + 0.25 * term_share + 0.15 * heading + 0.15 * coherence + 0.10 * ocr - dirt AS s, x1, y1, x2, y2, lines, dirt FROM c WHERE class = 'ingredients' AND lines >= 2
+UNION ALL SELECT image_id, 'nutrition', method, 0.35 * word_share + 0.20 * unit_share + 0.20 * (0.5 * coherence + 0.5 * compact) + 0.15 * heading + 0.10 * coherence - dirt, x1, y1, x2, y2, lines, dirt FROM c WHERE class = 'nutrition' AND lines >= 3 AND terms >= 2
+UNION ALL SELECT image_id, 'ingredients', 'logical_block', 0.35 * ing + 0.25 * term_share + 0.03 + 0.12 + 0.10 * ocr, x1, y1, x2, y2, lines, 0 FROM b WHERE type = 'INGREDIENT_BLOCK' AND lines >= 2
+UNION ALL SELECT image_id, 'nutrition', 'logical_block', 0.35 * word_share + 0.20 * unit_share + 0.16 + 0.03 + 0.08, x1, y1, x2, y2, lines, 0 FROM b WHERE type = 'NUTRITION_TABLE_BLOCK' AND lines >= 3 AND terms >= 2)
+SELECT image_id, type, method, {_milli('s', 10**6)} AS score, x1, y1, x2, y2, lines, {_milli('dirt')} AS penalty FROM u"""
+SQL["o97_block_fallbacks"] = f"""WITH RECURSIVE {_layout()}, {BLOCKS}, numbered AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY column_id, y1, x1, root) AS id FROM typed),
+s AS (SELECT *, 'table_geometry_fallback' AS method, round(least(0.7, 0.3 + 0.4 * nut) * 1000)::BIGINT AS confidence FROM numbered WHERE type = 'NUTRITION_TABLE_BLOCK' UNION ALL SELECT *, 'vocabulary_fallback', round(least(0.7, 0.3 + 0.4 * ing) * 1000)::BIGINT FROM numbered WHERE type = 'INGREDIENT_BLOCK'),
+r AS (SELECT *, row_number() OVER (PARTITION BY image_id, method ORDER BY confidence DESC, id) AS r FROM s)
+SELECT image_id, method, confidence, x1, y1, x2, y2, lines FROM r WHERE r = 1"""
+SQL["o86_o88_phrases"] = f"""WITH RECURSIVE {SPLIT}, page AS (SELECT image_id, string_agg(text, ' ' ORDER BY line_id) AS t FROM cutlines GROUP BY image_id),
+clean AS (SELECT image_id, {_norm('t')} AS t FROM page),
+chars AS (SELECT image_id, i, substr(t, i, 1) AS c FROM (SELECT image_id, t, unnest(range(1, length(t) + 1)) AS i FROM clean)),
+depth AS (SELECT *, sum(CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY image_id ORDER BY i) AS d FROM chars),
+piece AS (SELECT *, sum(CASE WHEN c IN (',', ';') AND d = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id ORDER BY i) AS p FROM depth),
+phrases AS (SELECT image_id, p, trim(regexp_replace(regexp_replace(string_agg(c, '' ORDER BY i) FILTER (WHERE NOT (c IN (',', ';') AND d = 0)), '[.*:\\-\\s]+$', ''), '^[.*:\\-\\s]+', '')) AS phrase FROM piece GROUP BY image_id, p)
+SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY p) - 1 AS pos, phrase FROM phrases WHERE length(phrase) >= 2"""
+
+_KEY = " ".join(f"WHEN regexp_matches(lower(part), {_q(chr(92) + 'b(?:' + p + ')' + chr(92) + 'b')}) THEN {_q(k)}" for k, ps in V.NUTRIENT_KEYS for p in ps)
+_PAGE_PARTS = f"""{ITEMS}, page AS (SELECT image_id, string_agg(text, ' ' ORDER BY seq) AS t FROM items GROUP BY image_id),
+spots AS (SELECT * FROM (SELECT image_id, t, unnest(range(1, length(t) + 1)) AS i FROM page) WHERE i = 1 OR {' OR '.join(f"lower(substr(t, i, {len(k)})) = {_q(k)}" for k in V.NUTRIENT_KEYWORDS)}),
+parts AS (SELECT image_id, i, substr(t, i, (lead(i, 1, length(t) + 1) OVER (PARTITION BY image_id ORDER BY i) - i)::BIGINT) AS part FROM spots)"""
+SQL["o93_nutrition_strings"] = f"""WITH {_PAGE_PARTS},
+told AS (SELECT image_id, i, CASE {_KEY} END AS nutrient, regexp_extract(part, {_q(V.VALUE_UNIT)}, 1, 'i') AS v, lower(regexp_extract(part, {_q(V.VALUE_UNIT)}, 2, 'i')) AS unit FROM parts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id, nutrient ORDER BY i) AS r FROM told WHERE nutrient IS NOT NULL AND v <> '')
+SELECT image_id, nutrient, v::DOUBLE AS value, unit FROM ranked WHERE r = 1"""
+
+# nutrition tables: cells, columns, rows; the pages here always give a table or a string result
+_MARK = "regexp_matches(line_text, " + _q("|".join(V.TABLE_HEADERS)) + ")"
+SQL["o71_o72_o92_nutrition_tables"] = f"""WITH RECURSIVE {LINES}, cut AS (SELECT image_id, greatest(25, median(y2 - y1) * 1.5) AS lim FROM lines GROUP BY image_id),
+g AS (SELECT j.image_id, l.line_index, j.seq, j.text, j.x1, j.x2, coalesce(j.x1 - lag(j.x2) OVER (PARTITION BY j.image_id, l.line_index ORDER BY j.x1, j.seq) > c.lim, false)::INT AS wide FROM joined j JOIN lines l ON j.image_id = l.image_id AND j.root = l.root JOIN cut c ON c.image_id = j.image_id),
+p AS (SELECT *, sum(wide) OVER (PARTITION BY image_id, line_index ORDER BY x1, seq) AS part_no FROM g),
+cells AS (SELECT image_id, line_index, part_no, string_agg(text, ' ' ORDER BY x1, seq) AS part, (min(x1) + max(x2)) / 2 AS cx FROM p GROUP BY ALL),
+rows_of AS (SELECT image_id, line_index, lower(string_agg(part, ' ' ORDER BY part_no)) AS line_text, count(*) AS n, max(CASE WHEN part_no = 0 THEN CASE {_KEY} END END) AS nutrient FROM cells GROUP BY ALL),
+kind AS (SELECT *, {_MARK} AS is_header FROM rows_of),
+head AS (SELECT c.image_id, avg(cx) FILTER (WHERE contains(lower(part), '100')) AS h100, avg(cx) FILTER (WHERE NOT contains(lower(part), '100') AND regexp_matches(lower(part), 'serving|serve|pkg|pack')) AS hs FROM cells c JOIN kind k USING (image_id, line_index) WHERE is_header GROUP BY c.image_id),
+vals AS (SELECT c.*, k.nutrient, k.n FROM cells c JOIN kind k USING (image_id, line_index) WHERE NOT is_header AND nutrient IS NOT NULL AND part_no > 0),
+steps AS (SELECT image_id, cx, row_number() OVER w AS r, lead(cx) OVER w - cx AS gap FROM vals WINDOW w AS (PARTITION BY image_id ORDER BY cx)),
+widest AS (SELECT * FROM (SELECT image_id, r AS cut_at, gap, row_number() OVER (PARTITION BY image_id ORDER BY gap DESC NULLS LAST, r) AS k FROM steps) WHERE k = 1 AND gap > 30),
+guess AS (SELECT s.image_id, avg(cx) FILTER (WHERE r <= cut_at) AS v100, avg(cx) FILTER (WHERE r > cut_at) AS vs FROM steps s JOIN widest USING (image_id) GROUP BY s.image_id),
+cols AS (SELECT p.image_id, CASE WHEN h100 IS NULL THEN v100 ELSE h100 END AS x100, CASE WHEN hs IS NULL THEN vs ELSE hs END AS xs FROM (SELECT DISTINCT image_id FROM items) p LEFT JOIN head h USING (image_id) LEFT JOIN guess u USING (image_id)),
+read AS (SELECT v.image_id, line_index, nutrient, part_no, try_cast(regexp_extract(part, {_q(V.VALUE_UNIT)}, 1, 'i') AS DOUBLE) AS v, lower(regexp_extract(part, {_q(V.VALUE_UNIT)}, 2, 'i')) AS u,
+  CASE WHEN x100 IS NOT NULL AND xs IS NOT NULL THEN abs(cx - xs) < abs(cx - x100) ELSE n > 2 AND part_no = 2 END AS serving FROM vals v JOIN cols USING (image_id)),
+good AS (SELECT * FROM read WHERE v IS NOT NULL), last_row AS (SELECT image_id, nutrient, max(line_index) AS line_index FROM good GROUP BY ALL),
+own AS (SELECT g.*, row_number() OVER (PARTITION BY image_id, nutrient, serving ORDER BY part_no DESC) AS k FROM good g JOIN last_row USING (image_id, nutrient, line_index)),
+tables AS (SELECT image_id, nutrient, max(v) FILTER (WHERE NOT serving) AS value_100g, max(u) FILTER (WHERE NOT serving) AS unit_100g, max(v) FILTER (WHERE serving) AS value_serving, max(u) FILTER (WHERE serving) AS unit_serving FROM own WHERE k = 1 GROUP BY ALL),
+page AS (SELECT image_id, string_agg(text, ' ' ORDER BY seq) AS t FROM items GROUP BY image_id)
+SELECT image_id, nutrient, value_100g, unit_100g, value_serving, coalesce(value_100g, value_serving) AS value, CASE WHEN value_100g IS NULL THEN unit_serving ELSE unit_100g END AS unit FROM tables"""

@@ -174,12 +174,12 @@ def o42_o59_o35_blocks(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @query
 def o43_o60_clusters(spark, sf_dir):  # noqa: ANN001, ANN201
-    return layout(spark, sf_dir).clusters.select("image_id", "cluster_id", "class", "x1", "y1", "x2", "y2", F.size("lines").alias("lines"), "semantic", "coherence", "heading")
+    return layout(spark, sf_dir).clusters.select("image_id", "cluster_id", "class", "x1", "y1", "x2", "y2", F.size("lines").cast("long").alias("lines"), milli("semantic", "semantic", 10**6), milli("coherence", "coherence", 10**6), milli("heading", "heading", 10**6))
 
 
 @query
 def o61_o77_candidates(spark, sf_dir):  # noqa: ANN001, ANN201
-    return layout(spark, sf_dir).candidates.select("image_id", "type", "place", "method", "final_score", "x1", "y1", "x2", "y2", F.size("lines").alias("lines"))
+    return layout(spark, sf_dir).candidates.select("image_id", "type", "method", milli("raw_score", "score", 10**6), "x1", "y1", "x2", "y2", F.size("lines").cast("long").alias("lines"), milli("contamination_penalty", "penalty"))
 
 
 @query
@@ -281,7 +281,7 @@ def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     variants = "explode(array('original', 'clahe', 'sharpened', 'adaptive_threshold', 'denoised_clahe', 'sharpened_threshold'))"
     i = items(spark, sf_dir).selectExpr("image_id", "seq", "text", "confidence", f"{variants} AS variant")
     text = "CASE WHEN variant = 'clahe' AND seq % 3 = 0 THEN replace(text, 'a', '#') WHEN variant = 'sharpened' AND seq % 5 = 0 THEN concat(text, ', salt 2 g') ELSE text END"
-    confidence = "confidence + CASE variant WHEN 'original' THEN (image_id % 3) / 8.0D WHEN 'clahe' THEN (image_id % 5) / 16.0D ELSE 0D END"
+    confidence = "confidence + 0.00037D + CASE variant WHEN 'original' THEN (image_id % 3) / 8.0D WHEN 'clahe' THEN (image_id % 5) / 16.0D ELSE 0D END"
     return i.selectExpr("image_id", "CASE image_id % 3 WHEN 0 THEN 'ingredient' WHEN 1 THEN 'nutrition' ELSE 'other' END AS section", "variant", "seq", f"{text} AS text", f"{confidence} AS confidence")
 
 
@@ -373,7 +373,7 @@ def o64_o96_nutrition_row_tables(spark, sf_dir):  # noqa: ANN001, ANN201
 def o97_block_fallbacks(spark, sf_dir):  # noqa: ANN001, ANN201
     b = layout(spark, sf_dir).blocks
     both = R.block_fallback(b).unionByName(R.block_fallback(b, "INGREDIENT_BLOCK", "s_ingredients"))
-    return both.select("image_id", "method", "confidence", "x1", "y1", "x2", "y2", F.size("region").alias("lines"))
+    return both.select("image_id", "method", milli("confidence", "confidence"), "x1", "y1", "x2", "y2", F.size("region").cast("long").alias("lines"))
 
 
 @query
