@@ -337,3 +337,50 @@ own AS (SELECT g.*, row_number() OVER (PARTITION BY image_id, nutrient, serving
 tables AS (SELECT image_id, nutrient, max(v) FILTER (WHERE NOT serving) AS value_100g, max(u) FILTER (WHERE NOT serving) AS unit_100g, max(v) FILTER (WHERE serving) AS value_serving, max(u) FILTER (WHERE serving) AS unit_serving FROM own WHERE k = 1 GROUP BY ALL),
 page AS (SELECT image_id, string_agg(text, ' ' ORDER BY seq) AS t FROM items GROUP BY image_id)
 SELECT image_id, nutrient, value_100g, unit_100g, value_serving, coalesce(value_100g, value_serving) AS value, CASE WHEN value_100g IS NULL THEN unit_serving ELSE unit_100g END AS unit FROM tables"""
+
+
+# expansions: a recursion that takes one line of a page at a time
+
+_STRONG = f"CASE WHEN {_count('n', V.NUTRIENT_KEYWORDS)} = 0 THEN false WHEN {_HAS_UNIT} THEN ({_NEAR}) ELSE length(n) <= 24 AND {_LEAD} END"
+_REASON = f"""CASE WHEN score < 78 OR anchor IS NULL THEN 'no_match' WHEN anchor = 'contains' THEN CASE WHEN {_any('n', V.ALLERGEN_CONTEXT_WORDS)} THEN 'contains_with_allergen_context' ELSE 'contains_without_allergen_context' END
+  WHEN score >= 92 THEN 'high_confidence_stop' WHEN length(n) <= 40 THEN 'contextual_stop_short_heading' ELSE 'contextual_stop_rejected_long_line' END"""
+FACTS = f"""{_layout()}, {_best('m_stop', 'texts', V.SECTION_STOP_WORDS)}, reasons AS (SELECT n, anchor, {_REASON} AS reason FROM m_stop),
+strongs AS (SELECT n, {_STRONG} AS strong FROM texts),
+facts AS (SELECT d.*, i.anchor AS ing_word, i.score AS ing_score, u.anchor AS nut_word, u.score AS nut_score, s.strong, r.reason IN ('contains_with_allergen_context', 'high_confidence_stop', 'contextual_stop_short_heading') AS is_stop,
+  concat('stop_word:', r.anchor, '(', r.reason, ')') AS stop_text FROM described d JOIN m_ingredients i ON d.n = i.n JOIN m_nutrition u ON d.n = u.n JOIN strongs s ON d.n = s.n JOIN reasons r ON d.n = r.n)"""
+
+
+def _seeds(word: str, score: str, weak: str) -> str:
+    return f"""seeds AS (SELECT image_id, no, line_id AS seed_id, {word} AS anchor, {score} AS score, x1 AS sx1, y1 AS sy1, x2 AS sx2, y2 AS sy2, page_med AS med FROM
+  (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY {weak}, {score} DESC, line_id) - 1 AS no FROM facts WHERE {score} >= 78 AND length(n) >= 2) WHERE no < 3)"""
+
+
+def _walk(name: str, keep: str, gap: str, *, joins: str = "", direction: str = "", above: bool = False, rows: bool = False) -> str:
+    """``name``: the state after each line; ``act`` says what became of it."""
+    first = 1 if above else 0
+    over = "(CASE WHEN least(z.br - z.bl, z.lx2 - z.lx1) <= 0 THEN 0 ELSE greatest(0, least(z.br, z.lx2) - greatest(z.bl, z.lx1)) / least(z.br - z.bl, z.lx2 - z.lx1) END)"
+    act = f"""CASE WHEN taken + {first} >= 40 THEN 'max_lines_reached' {"WHEN ly1 < sy1 - med * 0.3 THEN 'skip'" if above else ''} WHEN greatest(ly1 - y2, y1 - ly2, 0) > {gap} THEN 'vertical_gap_exceeded'
+    WHEN greatest(ly2, y2) - least(sy1, ly1) > med * 26 THEN 'max_block_height_exceeded' WHEN NOT (abs(lx1 - bl) <= med * 3 OR {over} >= 0.25) THEN 'skip' {"WHEN strong THEN 'nutrition_row_detected'" if rows else ''} WHEN is_stop THEN stop_text ELSE 'take' END"""
+    grow = lambda f, a, b: f"CASE WHEN act = 'take' THEN {f}({a}, {b}) ELSE {a} END"
+    return f"""{name}_others AS (SELECT s.image_id, s.no, f.line_id, f.x1 AS lx1, f.y1 AS ly1, f.x2 AS lx2, f.y2 AS ly2, f.strong, f.is_stop, f.stop_text FROM seeds s {joins} JOIN facts f ON f.image_id = s.image_id AND f.line_id <> s.seed_id WHERE {keep}),
+{name}_bands AS (SELECT image_id, no, greatest(coalesce(median(ly2 - ly1) FILTER (WHERE ly2 > ly1), 20) * 0.6, 5) AS band FROM {name}_others GROUP BY ALL),
+{name}_order AS (SELECT o.*, row_number() OVER (PARTITION BY o.image_id, o.no ORDER BY round_even(ly1 / band, 0) {direction}, lx1 {direction}, line_id {direction}) AS turn FROM {name}_others o JOIN {name}_bands b ON o.image_id = b.image_id AND o.no = b.no),
+{name} AS (SELECT image_id, no, 0::BIGINT AS k, sx1 AS x1, sy1 AS y1, sx2 AS x2, sy2 AS y2, sx1 AS bl, sx2 AS br, 0::BIGINT AS taken, 'seed' AS act, seed_id AS line_id, sy1, med FROM seeds
+  UNION ALL SELECT image_id, no, k + 1, {grow('least', 'x1', 'lx1')}, {grow('least', 'y1', 'ly1')}, {grow('greatest', 'x2', 'lx2')}, {grow('greatest', 'y2', 'ly2')}, {grow('least', 'bl', 'lx1')}, {grow('greatest', 'br', 'lx2')}, taken + CASE WHEN act = 'take' THEN 1 ELSE 0 END, act, l_id, sy1, med
+  FROM (SELECT z.*, {act} AS act FROM (SELECT w.image_id, w.no, w.k, w.x1, w.y1, w.x2, w.y2, w.bl, w.br, w.taken, w.sy1, w.med, l.line_id AS l_id, l.lx1, l.ly1, l.lx2, l.ly2, l.strong, l.is_stop, l.stop_text
+    FROM {name} w JOIN {name}_order l ON l.image_id = w.image_id AND l.no = w.no AND l.turn = w.k + 1 WHERE w.act IN ('seed', 'take', 'skip')) z) y),
+{name}_lines AS (SELECT w.image_id, w.no, f.* EXCLUDE (image_id) FROM {name} w JOIN facts f ON f.image_id = w.image_id AND f.line_id = w.line_id WHERE w.act IN ('seed', 'take')),
+{name}_end AS (SELECT image_id, no, arg_max(CASE WHEN act IN ('seed', 'take', 'skip') THEN 'exhausted_candidate_lines' ELSE act END, k) AS stop FROM {name} GROUP BY ALL),
+{name}_sum AS (SELECT image_id, no, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, count(*) AS lines, avg(coalesce(confidence, 0)) AS ocr, avg(CASE WHEN has_term THEN 1.0::DOUBLE ELSE 0 END) AS term_share FROM {name}_lines GROUP BY ALL),
+{name}_words AS (SELECT z.image_id, z.no, count(DISTINCT k.w) AS terms FROM {name}_lines z JOIN (SELECT unnest({_list(V.NUTRIENT_KEYWORDS)}) AS w) k ON contains(z.n, k.w) GROUP BY ALL)"""
+
+
+_COLUMN = """near_lines AS (SELECT s.image_id, s.no, s.seed_id, f.line_id, f.x1, f.x2, g.img_w * least(0.12, s.med * 0.8 / g.img_w) AS white FROM seeds s JOIN images g ON g.image_id = s.image_id JOIN facts f ON f.image_id = s.image_id AND f.y1 >= s.sy1 - s.med * 0.5 AND f.y1 <= s.sy1 + s.med * 6),
+starts AS (SELECT *, coalesce(x1 - max(x2) OVER (PARTITION BY image_id, no ORDER BY x1, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > white, false)::INT AS s FROM near_lines),
+numbered_columns AS (SELECT *, sum(s) OVER (PARTITION BY image_id, no ORDER BY x1, line_id) AS c FROM starts),
+own_column AS (SELECT n.image_id, n.no, min(n.x1) AS lo, max(n.x2) AS hi FROM numbered_columns n JOIN numbered_columns o ON o.image_id = n.image_id AND o.no = n.no AND o.line_id = o.seed_id AND o.c = n.c GROUP BY ALL)"""
+_ING_SCORE = "score / 100 * 0.4 + least(0.30, 0.04 * (lines - 1)) + least(0.15, term_share * 0.15) + CASE WHEN stop LIKE 'stop_word%' OR stop = 'nutrition_row_detected' THEN 0.12 ELSE 0.04 END + ocr * 0.10"
+_NUT_SCORE = "score / 100 * 0.4 + least(0.3, 0.04 * (lines - 1)) + least(0.2, 0.03 * coalesce(terms, 0)) + CASE WHEN stop LIKE 'stop_word%' THEN 0.1 ELSE 0.03 END + ocr * 0.10"
+_DONE = "SELECT s.image_id, s.no AS anchor_no, s.anchor, e.stop, m.x1, m.y1, m.x2, m.y2, round(greatest(0, least(0.98, {0})) * 1000)::BIGINT AS confidence, m.lines FROM seeds s JOIN {1}_end e USING (image_id, no) JOIN {1}_sum m USING (image_id, no) LEFT JOIN {1}_words w USING (image_id, no)"
+SQL["o62_o94_ingredient_expansions"] = f"WITH RECURSIVE {FACTS}, {_seeds('ing_word', 'ing_score', chr(40) + 'ing_word = ' + _q('contains') + chr(41))}, {_COLUMN}, {_walk('walk', '(f.x1 + f.x2) / 2 BETWEEN oc.lo - 10 AND oc.hi + 10', 'med * 2.6', joins='JOIN own_column oc ON oc.image_id = s.image_id AND oc.no = s.no', above=True, rows=True)} {_DONE.format(_ING_SCORE, 'walk')}"
+SQL["o63_o95_nutrition_expansions"] = f"WITH RECURSIVE {FACTS}, {_seeds('nut_word', 'nut_score', 'nut_score < 0')}, {_walk('walk', 'f.y1 >= s.sy1 - 1e-6', 'med * 2.6')} {_DONE.format(_NUT_SCORE, 'walk')}"

@@ -356,17 +356,17 @@ def o100_nutrition_regions(spark, sf_dir):  # noqa: ANN001, ANN201
 @query
 def o62_o94_ingredient_expansions(spark, sf_dir):  # noqa: ANN001, ANN201
     y = layout(spark, sf_dir)
-    return R.expand_ingredients(y.classified, y.images).select("image_id", "anchor_no", "anchor", "stop", "x1", "y1", "x2", "y2", "confidence", F.size("region").alias("lines"))
+    return R.expand_ingredients(y.classified, y.images).select("image_id", F.col("anchor_no").cast("long").alias("anchor_no"), "anchor", "stop", "x1", "y1", "x2", "y2", milli("confidence", "confidence"), F.size("region").cast("long").alias("lines"))
 
 
 @query
 def o63_o95_nutrition_expansions(spark, sf_dir):  # noqa: ANN001, ANN201
-    return R.expand_nutrition(layout(spark, sf_dir).classified).select("image_id", "anchor_no", "anchor", "stop", "x1", "y1", "x2", "y2", "confidence", F.size("region").alias("lines"))
+    return R.expand_nutrition(layout(spark, sf_dir).classified).select("image_id", F.col("anchor_no").cast("long").alias("anchor_no"), "anchor", "stop", "x1", "y1", "x2", "y2", milli("confidence", "confidence"), F.size("region").cast("long").alias("lines"))
 
 
 @query
 def o64_o96_nutrition_row_tables(spark, sf_dir):  # noqa: ANN001, ANN201
-    return R.nutrition_rows(layout(spark, sf_dir).classified).select("image_id", "x1", "y1", "x2", "y2", "confidence", "stop", F.array_join("terms", ",").alias("terms"))
+    return R.nutrition_rows(layout(spark, sf_dir).classified).select("image_id", "x1", "y1", "x2", "y2", milli("confidence", "confidence"), "stop", F.array_join("terms", ",").alias("terms"))
 
 
 @query
