@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,25 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of a session, once: they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent.parent
+    if not root.is_dir():  # imported from an archive, which the session was given
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="labelgrid-"), "labelgrid.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
 #: rows of one Arrow batch between JVM and Python: whole documents are long, so fewer than Spark's default
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -19,6 +41,7 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder; batches of whole texts are kept small unless the session says otherwise."""
+    ship(spark)
     if spark.conf.get(_BATCH, None) is None:
         spark.conf.set(_BATCH, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
