@@ -384,3 +384,95 @@ _NUT_SCORE = "score / 100 * 0.4 + least(0.3, 0.04 * (lines - 1)) + least(0.2, 0.
 _DONE = "SELECT s.image_id, s.no AS anchor_no, s.anchor, e.stop, m.x1, m.y1, m.x2, m.y2, round(greatest(0, least(0.98, {0})) * 1000)::BIGINT AS confidence, m.lines FROM seeds s JOIN {1}_end e USING (image_id, no) JOIN {1}_sum m USING (image_id, no) LEFT JOIN {1}_words w USING (image_id, no)"
 SQL["o62_o94_ingredient_expansions"] = f"WITH RECURSIVE {FACTS}, {_seeds('ing_word', 'ing_score', chr(40) + 'ing_word = ' + _q('contains') + chr(41))}, {_COLUMN}, {_walk('walk', '(f.x1 + f.x2) / 2 BETWEEN oc.lo - 10 AND oc.hi + 10', 'med * 2.6', joins='JOIN own_column oc ON oc.image_id = s.image_id AND oc.no = s.no', above=True, rows=True)} {_DONE.format(_ING_SCORE, 'walk')}"
 SQL["o63_o95_nutrition_expansions"] = f"WITH RECURSIVE {FACTS}, {_seeds('nut_word', 'nut_score', 'nut_score < 0')}, {_walk('walk', 'f.y1 >= s.sy1 - 1e-6', 'med * 2.6')} {_DONE.format(_NUT_SCORE, 'walk')}"
+
+_MEAN_H, _STD_H, _MEAN_W = "avg(y2 - y1)", "stddev_pop(y2 - y1)", "avg(x2 - x1)"
+_GEOMETRY = f"CASE WHEN count(*) < 2 THEN 0 ELSE 0.4 * greatest(0, 1 - least({_STD_H} / greatest({_MEAN_H}, 1e-6), 1)) + 0.3 * CASE WHEN {_MEAN_W} < 600 THEN 1 ELSE greatest(0, 1 - ({_MEAN_W} - 600) / 1000) END + 0.3 * least(1, sum((x2 - x1) * (y2 - y1)) / greatest(1, (max(x2) - min(x1)) * (max(y2) - min(y1))) * 3) END"
+_HIT_SEEDS = f"""hit_lines AS (SELECT * EXCLUDE (n_hits) FROM (SELECT *, count(*) OVER (PARTITION BY image_id) AS n_hits FROM facts WHERE has_word) WHERE n_hits >= 3),
+hit_sized AS (SELECT h.image_id, h.line_id, h.x1, h.y1, h.x2, h.y2, h.n, h.page_med, greatest(m.m * 3, 15) AS far FROM hit_lines h JOIN (SELECT image_id, median(y2 - y1) AS m FROM hit_lines GROUP BY image_id) m ON m.image_id = h.image_id),
+{_closure('hit_groups', 'hit_sized', ['image_id'], 'line_id', f'{CENTERS} <= a.far')},
+hit_words AS (SELECT image_id, root, count(*) AS terms, string_agg(w, ',' ORDER BY w) AS words FROM (SELECT DISTINCT g.image_id, g.root, k.w FROM hit_groups g JOIN (SELECT unnest({_list(V.NUTRIENT_KEYWORDS)}) AS w) k ON contains(g.n, k.w)) GROUP BY ALL),
+hit_scores AS (SELECT g.image_id, g.root, any_value(w.terms) AS terms, any_value(w.words) AS words, greatest(median(y2 - y1) * 0.6, 5) AS band, 0.55 * least(1, any_value(w.terms) / 8) + 0.45 * ({_GEOMETRY}) AS score FROM hit_groups g JOIN hit_words w ON w.image_id = g.image_id AND w.root = g.root WHERE w.terms >= 3 GROUP BY g.image_id, g.root),
+hit_best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, root) AS r FROM hit_scores) WHERE r = 1 AND score > 0),
+seeds AS (SELECT image_id, 0::BIGINT AS no, line_id AS seed_id, NULL::VARCHAR AS anchor, score, x1 AS sx1, y1 AS sy1, x2 AS sx2, y2 AS sy2, page_med AS med, words FROM
+  (SELECT g.*, b.score, b.words, row_number() OVER (PARTITION BY g.image_id ORDER BY round_even(g.y1 / b.band, 0), g.x1, g.line_id) AS r FROM hit_groups g JOIN hit_best b ON b.image_id = g.image_id AND b.root = g.root) WHERE r = 1)"""
+SQL["o64_o96_nutrition_row_tables"] = f"""WITH RECURSIVE {FACTS}, {_HIT_SEEDS}, {_walk('down', 'f.y1 >= s.sy1 - 1e-6', 'med * 2.6')}, {_walk('up', 'f.y1 < s.sy1 - 1e-6', 'med * 2.0', direction='DESC')}
+SELECT s.image_id, least(d.x1, u.x1) AS x1, least(d.y1, u.y1) AS y1, greatest(d.x2, u.x2) AS x2, greatest(d.y2, u.y2) AS y2, round_even(least(0.9, s.score) * 1000, 0)::BIGINT AS confidence, e.stop, s.words AS terms
+FROM seeds s JOIN down_sum d ON d.image_id = s.image_id JOIN up_sum u ON u.image_id = s.image_id JOIN down_end e ON e.image_id = s.image_id"""
+
+# regions: candidates, expansions and fallbacks ranked, then the tight box of the best
+
+
+def _ranked_candidates(section: str) -> str:
+    """``pool``: this section's candidates with final score and rank, and ``pool_lines``: their lines."""
+    ing = section == "ingredients"
+    share = "term_share" if ing else "word_share"
+    own, kind, least = ("ing", "INGREDIENT_BLOCK", "lines >= 2") if ing else ("nut", "NUTRITION_TABLE_BLOCK", "lines >= 3 AND terms >= 2")
+    raw = "0.35 * semantic + 0.25 * term_share + 0.15 * heading + 0.15 * coherence + 0.10 * ocr - dirt" if ing else "0.35 * word_share + 0.20 * unit_share + 0.20 * (0.5 * coherence + 0.5 * least(1, filled_area / greatest(1, (x2 - x1) * (y2 - y1)) * 3)) + 0.15 * heading + 0.10 * coherence - dirt"
+    block = "0.35 * ing + 0.25 * term_share + 0.15 + 0.10 * ocr" if ing else "0.35 * word_share + 0.20 * unit_share + 0.27"
+    del share, own
+    return f"""{BLOCKS}, words_of AS (SELECT z.image_id, z.column_id, z.class, z.root, count(DISTINCT k.w) AS terms FROM filled z JOIN (SELECT unnest({_list(V.NUTRIENT_KEYWORDS)}) AS w) k ON contains(z.n, k.w) GROUP BY ALL),
+block_words AS (SELECT z.image_id, z.column_id, z.root, count(DISTINCT k.w) AS terms FROM blocked z JOIN (SELECT unnest({_list(V.NUTRIENT_KEYWORDS)}) AS w) k ON contains(z.n, k.w) GROUP BY ALL),
+block_ids AS (SELECT t.*, coalesce(w.terms, 0) AS terms, row_number() OVER (PARTITION BY image_id ORDER BY column_id, y1, x1, root) - 1 AS id FROM typed t LEFT JOIN block_words w USING (image_id, column_id, root)),
+both_kinds AS (SELECT image_id, column_id, root, true AS clustered, heading, CASE WHEN heading = 0 THEN 'semantic_cluster' ELSE 'heading_supported_cluster' END AS method, no AS ord, x1, y1, x2, y2, {raw} AS s FROM (SELECT c.*, coalesce(w.terms, 0) AS terms FROM clusters c LEFT JOIN words_of w USING (image_id, column_id, class, root)) WHERE class = '{section}' AND {least}
+  UNION ALL SELECT image_id, column_id, root, false, 0.2, 'logical_block', id + 1000000, x1, y1, x2, y2, {block} FROM block_ids WHERE type = '{kind}' AND {least}),
+pool AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY final DESC, ord) - 1 AS place FROM (SELECT *, round_even(greatest(0, least(1, s)) * 1000, 0)::BIGINT AS final FROM both_kinds)),
+pool_lines AS (SELECT p.ord, f.image_id, f.line_id, f.x1, f.y1, f.x2, f.y2, f.text, f.place, f.n, f.s_ingredients, f.s_nutrition, f.ing_head, f.nut_head FROM pool p JOIN filled f ON p.clustered AND f.class = '{section}' AND f.image_id = p.image_id AND f.column_id = p.column_id AND f.root = p.root
+  UNION ALL SELECT p.ord, f.image_id, f.line_id, f.x1, f.y1, f.x2, f.y2, f.text, f.place, f.n, f.s_ingredients, f.s_nutrition, f.ing_head, f.nut_head FROM pool p JOIN blocked f ON NOT p.clustered AND f.image_id = p.image_id AND f.column_id = p.column_id AND f.root = p.root)"""
+
+
+def _regions(section: str, parts: str, lines: str, pages: str) -> str:
+    """The best of ``parts`` (image_id, part, tie, confidence, method, anchor, box) per page, refined over ``lines`` (image_id, part, tie, rect, score, n)."""
+    return f"""best_part AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY confidence DESC, part, tie) AS r FROM ({parts})) WHERE r = 1),
+clipped AS (SELECT b.*, g.img_w, g.img_h, greatest(0, least(b.x1, g.img_w - 1)) AS a, greatest(0, least(b.y1, g.img_h - 1)) AS b_, greatest(0, least(b.x2, g.img_w)) AS c, greatest(0, least(b.y2, g.img_h)) AS d FROM best_part b JOIN images g ON g.image_id = b.image_id),
+own_lines AS (SELECT l.* FROM ({lines}) l JOIN best_part b ON b.image_id = l.image_id AND b.part = l.part AND b.tie = l.tie),
+any_good AS (SELECT image_id, max(score) >= 80 AS good, median(y2 - y1) FILTER (WHERE y2 > y1) AS h, count(*) AS lines FROM own_lines GROUP BY image_id),
+tight AS (SELECT o.image_id, min(o.x1) AS x1, min(o.y1) AS y1, max(o.x2) AS x2, max(o.y2) AS y2 FROM own_lines o JOIN any_good g ON g.image_id = o.image_id WHERE NOT g.good OR o.score >= 80 GROUP BY o.image_id),
+found_words AS (SELECT image_id, string_agg(w, ',' ORDER BY w) AS terms FROM (SELECT DISTINCT o.image_id, k.w FROM own_lines o JOIN (SELECT unnest({_list(V.NUTRIENT_KEYWORDS)}) AS w) k ON contains(o.n, k.w)) GROUP BY image_id),
+boxed AS (SELECT c.image_id, c.confidence, c.anchor, c.method, g.lines, c.a, c.b_, c.c, c.d, greatest(0, greatest(t.x1, c.a) - round_even(0.3::DOUBLE * g.h, 0)) AS x1, greatest(0, t.y1 - round_even(0.2::DOUBLE * g.h, 0)) AS y1, least(c.img_w, least(t.x2, c.c) + round_even(0.3::DOUBLE * g.h, 0)) AS x2, least(c.img_h, t.y2 + round_even(0.2::DOUBLE * g.h, 0)) AS y2
+  FROM clipped c JOIN any_good g ON g.image_id = c.image_id JOIN tight t ON t.image_id = c.image_id)
+SELECT p.image_id, b.x1::DOUBLE AS x1, b.y1::DOUBLE AS y1, b.x2::DOUBLE AS x2, b.y2::DOUBLE AS y2, coalesce(b.confidence, 0)::BIGINT AS confidence, b.anchor, coalesce(b.method, 'none') AS method, coalesce(b.lines, 0)::BIGINT AS lines, coalesce(w.terms, '') AS terms,
+  CASE WHEN b.image_id IS NULL THEN 'none' ELSE 'conservative_column_aligned' END AS refinement, b.image_id IS NOT NULL AND NOT (b.x1 = b.a AND b.y1 = b.b_ AND b.x2 = b.c AND b.y2 = b.d) AS changed
+FROM ({pages}) p LEFT JOIN boxed b ON b.image_id = p.image_id LEFT JOIN found_words w ON w.image_id = p.image_id"""
+
+
+_CL = CLUSTERS.split(_layout())[1]
+_FIRST_HEAD = "(SELECT arg_min(l.text, [l.y1, l.x1, l.place]) FROM pool_lines l WHERE l.image_id = q.image_id AND l.ord = q.ord AND l.{0} >= 78)"
+_PRIMARY = "SELECT image_id, 0 AS part, place AS tie, final AS confidence, method, CASE WHEN heading > 0 THEN {0} END AS anchor, x1, y1, x2, y2 FROM pool q WHERE place = 0 AND final >= 700"
+_NO_PRIMARY = "image_id NOT IN (SELECT image_id FROM pool WHERE place = 0 AND final >= 700)"
+_POOL_LINES = "SELECT l.image_id, {0} AS part, q.place AS tie, l.x1, l.y1, l.x2, l.y2, l.{1} AS score, l.n FROM pool_lines l JOIN pool q ON q.image_id = l.image_id AND q.ord = l.ord WHERE {2}"
+_IS_PRIMARY = "q.place = 0 AND q.final >= 700"
+_ING_PARTS = f"""{_PRIMARY.format(_FIRST_HEAD.format('ing_head'))}
+UNION ALL SELECT s.image_id, 1, s.no, round(greatest(0, least(0.98, {_ING_SCORE})) * 1000)::BIGINT, 'anchor_expansion', s.anchor, m.x1, m.y1, m.x2, m.y2 FROM seeds s JOIN walk_end e USING (image_id, no) JOIN walk_sum m USING (image_id, no) WHERE {_NO_PRIMARY}
+UNION ALL SELECT image_id, 2, place, final, method, NULL, x1, y1, x2, y2 FROM pool WHERE {_NO_PRIMARY}"""
+_ING_LINES = f"""{_POOL_LINES.format(0, 's_ingredients', _IS_PRIMARY)} UNION ALL SELECT image_id, 1, no, x1, y1, x2, y2, 0, n FROM walk_lines UNION ALL {_POOL_LINES.format(2, 's_ingredients', 'true')}"""
+SQL["o28_o99_ingredient_regions"] = f"WITH RECURSIVE {FACTS}{_CL}, {_ranked_candidates('ingredients')}, {_seeds('ing_word', 'ing_score', chr(40) + 'ing_word = ' + _q('contains') + chr(41))}, {_COLUMN}, {_walk('walk', '(f.x1 + f.x2) / 2 BETWEEN oc.lo - 10 AND oc.hi + 10', 'med * 2.6', joins='JOIN own_column oc ON oc.image_id = s.image_id AND oc.no = s.no', above=True, rows=True)}, {_regions('ingredients', _ING_PARTS, _ING_LINES, 'SELECT image_id FROM images')}"
+_NUT_PARTS = f"""{_PRIMARY.format(_FIRST_HEAD.format('nut_head'))}
+UNION ALL SELECT s.image_id, 1, s.no, s.conf, 'anchor_expansion', s.anchor, m.x1, m.y1, m.x2, m.y2 FROM heading_seeds s JOIN walk_sum m USING (image_id, no) WHERE {_NO_PRIMARY}
+UNION ALL SELECT image_id, 2, 0, confidence, 'table_geometry_fallback', NULL, x1, y1, x2, y2 FROM best_block WHERE {_NO_PRIMARY}
+UNION ALL SELECT s.image_id, 3, 0, round_even(least(0.9, s.score) * 1000, 0)::BIGINT, 'table_geometry_fallback', NULL, least(d.x1, u.x1), least(d.y1, u.y1), greatest(d.x2, u.x2), greatest(d.y2, u.y2) FROM seeds s JOIN down_sum d USING (image_id) JOIN up_sum u USING (image_id) WHERE {_NO_PRIMARY}"""
+_NUT_LINES = f"""{_POOL_LINES.format(0, 's_nutrition', _IS_PRIMARY)} UNION ALL SELECT image_id, 1, no, x1, y1, x2, y2, 0, n FROM walk_lines
+UNION ALL SELECT b.image_id, 2, 0, f.x1, f.y1, f.x2, f.y2, f.s_nutrition, f.n FROM best_block b JOIN blocked f ON f.image_id = b.image_id AND f.column_id = b.column_id AND f.root = b.root
+UNION ALL SELECT image_id, 3, 0, x1, y1, x2, y2, 0, n FROM down_lines UNION ALL SELECT image_id, 3, 0, x1, y1, x2, y2, 0, n FROM up_lines WHERE (image_id, line_id) NOT IN (SELECT image_id, seed_id FROM seeds)"""
+_FOOD = f"SELECT image_id FROM (SELECT image_id, string_agg({_norm('text')}, ' ' ORDER BY seq) AS t FROM items GROUP BY image_id) WHERE NOT {_count('t', V.PERSONAL_CARE_SIGNALS)} > {_count('t', V.FOOD_SIGNALS)}"
+_HEADING_SEEDS = _seeds("nut_word", "nut_score", "nut_score < 0").replace("seeds AS", "first_seeds AS", 1)
+_HEADING_WALK = _walk("walk", "f.y1 >= s.sy1 - 1e-6", "med * 2.6").replace("FROM seeds", "FROM first_seeds")
+_HEADING_DONE = f"heading_seeds AS (SELECT s.image_id, s.no, s.anchor, round(greatest(0, least(0.98, {_NUT_SCORE})) * 1000)::BIGINT AS conf FROM first_seeds s JOIN walk_end e USING (image_id, no) JOIN walk_sum m USING (image_id, no) LEFT JOIN walk_words w USING (image_id, no))"
+_BEST_BLOCK = "best_block AS (SELECT * FROM (SELECT *, round(least(0.7, 0.3 + 0.4 * nut) * 1000)::BIGINT AS confidence, row_number() OVER (PARTITION BY image_id ORDER BY round(least(0.7, 0.3 + 0.4 * nut) * 1000) DESC, id) AS r FROM block_ids WHERE type = 'NUTRITION_TABLE_BLOCK') WHERE r = 1)"
+SQL["o100_nutrition_regions"] = f"""WITH RECURSIVE {FACTS}{_CL}, {_ranked_candidates('nutrition')}, {_HEADING_SEEDS}, {_HEADING_WALK}, {_HEADING_DONE}, {_BEST_BLOCK}, {_HIT_SEEDS}, {_walk('down', 'f.y1 >= s.sy1 - 1e-6', 'med * 2.6')}, {_walk('up', 'f.y1 < s.sy1 - 1e-6', 'med * 2.0', direction='DESC')},
+{_regions('nutrition', _NUT_PARTS, _NUT_LINES, _FOOD)}"""
+
+_STRIPPED = _norm("t")
+for _heading in V.LEADING_HEADINGS:
+    _STRIPPED = f"trim(regexp_replace({_STRIPPED}, '^{_heading}\\s*[:\\-.]?', ''))"
+SQL["o88_corrected"] = f"""WITH RECURSIVE {SPLIT}, {_scored()},
+page AS (SELECT c.image_id, string_agg(c.text, ' ' ORDER BY c.line_id) AS t FROM cutlines c JOIN scored s ON {_norm('c.text')} = s.n WHERE {_TOP} > 0 AND s_ingredients = {_TOP} GROUP BY c.image_id),
+clean AS (SELECT image_id, {_STRIPPED} AS t FROM page),
+chars AS (SELECT image_id, i, substr(t, i, 1) AS c FROM (SELECT image_id, t, unnest(range(1, length(t) + 1)) AS i FROM clean)),
+depth AS (SELECT *, sum(CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY image_id ORDER BY i) AS d FROM chars),
+piece AS (SELECT *, sum(CASE WHEN c IN (',', ';') AND d = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id ORDER BY i) AS p FROM depth),
+bare AS (SELECT image_id, p, trim(regexp_replace(regexp_replace(string_agg(c, '' ORDER BY i) FILTER (WHERE NOT (c IN (',', ';') AND d = 0)), '[.*:\\-\\s]+$', ''), '^[.*:\\-\\s]+', '')) AS phrase FROM piece GROUP BY image_id, p),
+phrases AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY p) - 1 AS pos, phrase FROM bare WHERE length(phrase) >= 2),
+kb AS ({P.TERMS_SQL}), food AS (SELECT ord, canonical, lower(searchable) AS s FROM kb WHERE domain = 'food'),
+hit AS (SELECT q, ord, canonical, q = s AS same, 100.0 * length(s) / length(q) > 85 AS long FROM (SELECT DISTINCT phrase AS q FROM phrases) JOIN food ON q = s OR (length(s) > 3 AND (contains(q, s) OR contains(s, q)))),
+best AS (SELECT q, arg_min(canonical, ord) FILTER (WHERE same) AS e, arg_max(canonical, ord) FILTER (WHERE long AND NOT same) AS l, arg_min(canonical, ord) FILTER (WHERE NOT same) AS f FROM hit GROUP BY q)
+SELECT image_id, pos, phrase, {_norm('phrase')} AS normalized_text, coalesce(e, l, f) AS matched_name, CASE WHEN e IS NOT NULL THEN 1.0::DOUBLE WHEN f IS NOT NULL THEN 0.85::DOUBLE END AS confidence FROM phrases LEFT JOIN best ON phrase = q"""

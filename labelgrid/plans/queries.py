@@ -340,7 +340,7 @@ def regions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _shown(df: DataFrame) -> DataFrame:
-    return df.select("image_id", "x1", "y1", "x2", "y2", "confidence", "anchor", "method", F.size("region").alias("lines"), F.array_join("terms", ",").alias("terms"), "refinement", "changed")
+    return df.select("image_id", "x1", "y1", "x2", "y2", milli("confidence", "confidence"), "anchor", "method", F.size("region").cast("long").alias("lines"), F.array_join("terms", ",").alias("terms"), "refinement", "changed")
 
 
 @query
