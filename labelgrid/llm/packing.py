@@ -30,7 +30,7 @@ LEAST_CUT = 32
 #: leftovers that one task merges
 GROUP = 4096
 #: words whose ids a worker keeps, about 30 bytes each
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: new words that are encoded as one text
 JOINED = 500
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
@@ -51,7 +51,8 @@ def tokenizer(name: str):  # noqa: ANN201
 class Encoder:
     """Ids of whole texts from a cache of words: the tokenizer drops white space and never looks across it.
 
-    The cache is sorted arrays (word hashes, places of their ids), shared by the tasks of a worker and emptied at a fixed size.
+    The cache is sorted arrays (word hashes, places of their ids), shared by the tasks of a worker. At a fixed size, the words that
+    the fewest slices of text had go.
     """
 
     def __init__(self, name: str) -> None:
@@ -61,8 +62,21 @@ class Encoder:
 
     def clear(self) -> None:
         self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.uses = np.zeros(0, np.int32)
         self.at, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint16 if self.tok.get_vocab_size() < 1 << 16 else np.uint32)
 
+    def evict(self) -> None:
+        """Halve the cache, or more."""
+        least = 2
+        while (keep := self.uses >= least).sum() > CACHE_WORDS // 2:
+            least += 1
+        sizes = np.diff(self.at)
+        self.flat = self.flat[np.repeat(keep, sizes)]
+        self.at = np.concatenate([[0], np.cumsum(sizes[keep])])
+        held, moved = keep[self.slot], (np.cumsum(keep) - 1).astype(np.int32)
+        self.keys, self.slot = self.keys[held], moved[self.slot[held]]
+        self.uses = self.uses[keep]
+
     def learn(self, hashes: np.ndarray, items: list[str]) -> None:
         """Encode new words, many in one text with a special token between them."""
         texts = [SPECIAL[1].join(items[i : i + JOINED]) + SPECIAL[1] * (i + JOINED < len(items)) for i in range(0, len(items), JOINED)]
@@ -78,6 +92,7 @@ class Encoder:
         first = len(self.at) - 1
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
         self.flat = np.concatenate([self.flat, ids.astype(self.flat.dtype)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(items), np.int32)])
         keys = np.concatenate([self.keys, hashes])
         order = np.argsort(keys, kind="stable")
         self.keys, self.slot = keys[order], np.concatenate([self.slot, np.arange(first, first + len(items), dtype=np.int32)])[order]
@@ -91,7 +106,7 @@ class Encoder:
     def __call__(self, column: pa.Array) -> list[np.ndarray]:
         """Ids of each row."""
         if len(self.keys) > CACHE_WORDS:
-            self.clear()
+            self.evict()
         data, offsets = K.buffer(column)
         starts, ends, first = K.words(data, offsets)
         new, where, back = np.unique(K.span_hash(data, starts, ends), return_index=True, return_inverse=True)
@@ -101,6 +116,8 @@ class Encoder:
             self.learn(new[~known], [blob[a:b].decode("utf-8", "replace") for a, b in zip(starts[spans].tolist(), ends[spans].tolist(), strict=True)])
             place, _ = self.find(new)
         entry = self.slot[place][back] if len(new) else np.zeros(0, np.int64)
+        if len(new):
+            self.uses[self.slot[place]] += 1
         sizes = (self.at[1:] - self.at[:-1])[entry]
         ends_of = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.flat[np.repeat(self.at[entry] - ends_of[:-1], sizes) + np.arange(ends_of[-1])].astype(np.uint32)
