@@ -40,6 +40,16 @@ def test_two_tiers_agree(spark):
     assert full(column).tolist() == none(column).tolist() and len(full.cache) < len(none.cache)
 
 
+def test_eviction_changes_nothing(monkeypatch):
+    monkeypatch.setattr(P, "CACHE_WORDS", 40)
+    encode = P.Encoder("word_bpe_49k.json")
+    for i in range(30):
+        texts = [f"the same word {j} new{i}x{j} {ODD[9]}" for j in range(i % 9)] + ODD
+        want = [encode.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in encode(pa.array(texts, pa.string()))] == want
+        assert len(encode.keys) < 200
+
+
 def pieces(spark, texts):
     rows = P.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
     tok = P.tokenizer("word_bpe_49k.json")
