@@ -1,14 +1,16 @@
 """Document fingerprints by consistent weighted sampling.
 
-A document is a weighted set: its words and the two halves of each word, with their counts. For
-every sample k and term t, gamma variates ``r, c`` and a uniform ``b`` are drawn from the term's hash; with weight w the sample
-takes the term that minimises ``ln c - r * (floor(ln w / r + b) - b) - r``, together with that floor. Two documents take the same
+A document is a weighted set: its words and the two halves of each word, with their counts. For every sample k and term t, gamma
+variates ``r, c`` and a uniform ``b`` are drawn; with weight w the sample takes the term that minimises ``ln c - r * (floor(ln w / r + b) - b) - r``, together with that floor. Two documents take the same
 (term, floor) with a probability equal to the generalised Jaccard similarity of their weighted sets, so the share of equal
 samples estimates it, and equal texts have equal fingerprints.
 
-Terms are hashed to ``BUCKETS`` rows of variates that every worker holds (a fixed table); a term's own hash stays in the sample,
-so different terms of a bucket are different sampled values. A fingerprint is ``SAMPLES`` bytes in hex, one byte of each sample;
-the chance agreement of two bytes is taken out of the likeness.
+The variates are drawn from the term's full hash and k (counter-based), so every term has its own, the same in every document and
+worker; terms are taken a block at a time, in bounded memory. A gamma variate of shape 2 cut by a uniform one is two independent
+exponential ones, so three of them, ``g, h, e``, make up ``c = g + h``, ``r (1 - b) = ln(c / g)`` and ``r b = e``, and the formula
+becomes ``ln g - r * floor(ln w / r + b)``: of terms of weight 1 the one with the least ``g`` is taken, that is, with the least bits.
+
+A fingerprint is ``SAMPLES`` bytes in hex, one byte of each sample; the chance agreement of two bytes is taken out of the likeness.
 
 Neighbours: documents go to ranges of ids, compressed, once; each range is streamed in order, and ends with a copy of the first
 document of the following range, so no task sees more than its range and no text is sent a second time.
@@ -31,21 +33,43 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 SAMPLES = 64
-BUCKETS = 1 << 14
-_tables: dict = {}
+#: terms taken at a time
+BLOCK = 256
 _HEAD, _TAIL = K.U64(0x1B56C4E9F3A7D201), K.U64(0x8CB92BA72F3D8DD7)
+_STEP = K.U64(0x9E3779B97F4A7C15)
+_FIRST, _SECOND = K.mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * _STEP).reshape(2, SAMPLES)
+
+
+def bits(part: np.ndarray, counters: np.ndarray) -> np.ndarray:
+    """64 bits per term and sample: the mix of their sum, in place; different terms have different ones."""
+    x = part[:, None] + counters
+    y = x >> K.U64(30)
+    x ^= y
+    x *= K.U64(0xBF58476D1CE4E5B9)
+    np.right_shift(x, K.U64(27), out=y)
+    x ^= y
+    x *= K.U64(0x94D049BB133111EB)
+    np.right_shift(x, K.U64(31), out=y)
+    x ^= y
+    return x
+
+
+def _least(x: np.ndarray) -> np.ndarray:
+    """``g`` of its bits, rising with them and exact to 24 bits near 0."""
+    return -np.log1p(-np.minimum(x.astype(np.float32) * np.float32(2.0**-64), np.float32(1 - 2.0**-24)))
+
 
+def _exponential(x: np.ndarray) -> np.ndarray:
+    """An exponential variate of 23 bits."""
+    return -np.log((x.astype(np.int32).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-23))
 
-def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """r, b, ln c, and the value ``ln c - r * (0 - ...) - r`` of weight 1, per bucket and sample."""
-    if not _tables:
-        rng = np.random.default_rng(77)
-        shape = (BUCKETS, SAMPLES)
-        r = rng.gamma(2.0, 1.0, shape).astype(np.float32)
-        c = np.log(rng.gamma(2.0, 1.0, shape)).astype(np.float32)
-        b = rng.random(shape).astype(np.float32)
-        _tables["all"] = (r, b, c, c + r * b - r)
-    return _tables["all"]
+
+def variates(part: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ln g, r, b per term and sample; ``x`` are the bits of ``g``."""
+    y = bits(part, _SECOND)
+    g, h, e = _least(x), _exponential(y >> K.U64(41)), _exponential((y >> K.U64(18)) & K.U64((1 << 23) - 1))
+    r = e + np.log1p(h / g)
+    return np.log(g), r, e / r
 
 
 def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,31 +90,28 @@ def sample(hashes: np.ndarray) -> np.ndarray:
     out = np.zeros(SAMPLES, np.uint8)
     if not len(hashes):
         return out
-    r, b, c, ones = tables()
     found, counts = np.unique(hashes, return_counts=True)
-    bucket = (found & K.U64(BUCKETS - 1)).astype(np.int64)
+    one = counts == 1
+    single, many, weight = found[one], found[~one], np.log(counts[~one]).astype(np.float32)
     best = np.full(SAMPLES, np.inf, np.float32)
-    term = np.zeros(SAMPLES, np.uint64)
+    taken = np.full(SAMPLES, 2**64 - 1, np.uint64)
     level = np.zeros(SAMPLES, np.int64)
-    one = counts == 1
-    for a in range(0, int(one.sum()), 4096):
-        part = np.flatnonzero(one)[a : a + 4096]
-        value = ones[bucket[part]]
-        at = value.argmin(0)
-        low = value[at, np.arange(SAMPLES)]
-        better = low < best
-        best[better], term[better], level[better] = low[better], found[part[at[better]]], 0
-    many = np.flatnonzero(~one)
-    for a in range(0, len(many), 4096):
-        part = many[a : a + 4096]
-        rows = bucket[part]
-        step = np.floor(np.log(counts[part]).astype(np.float32)[:, None] / r[rows] + b[rows])
-        value = c[rows] - r[rows] * (step - b[rows]) - r[rows]
+    for a in range(0, len(single), BLOCK):
+        np.minimum(taken, bits(single[a : a + BLOCK], _FIRST).min(0), out=taken)
+    if len(single):
+        best = np.log(_least(taken))
+    each = np.arange(SAMPLES)
+    for a in range(0, len(many), BLOCK):
+        part = many[a : a + BLOCK]
+        x = bits(part, _FIRST)
+        g, r, b = variates(part, x)
+        step = np.floor(weight[a : a + BLOCK, None] / r + b)
+        value = g - r * step
         at = value.argmin(0)
-        low = value[at, np.arange(SAMPLES)]
+        low = value[at, each]
         better = low < best
-        best[better], term[better], level[better] = low[better], found[part[at[better]]], step[at, np.arange(SAMPLES)][better].astype(np.int64)
-    return (K.mix(term + level.astype(np.uint64) * K.U64(0x9E3779B97F4A7C15)) >> K.U64(56)).astype(np.uint8)
+        best[better], taken[better], level[better] = low[better], x[at, each][better], step[at, each][better].astype(np.int64)
+    return (K.mix(taken + level.astype(np.uint64) * _STEP) >> K.U64(56)).astype(np.uint8)
 
 
 def fingerprints(column: pa.Array) -> list[bytes]:

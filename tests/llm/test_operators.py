@@ -118,6 +118,32 @@ def test_likeness_estimates_jaccard():
     assert abs(np.mean(errors)) < 0.02 and np.sqrt(np.mean(np.square(errors))) < 0.08
 
 
+def test_likeness_of_texts_with_many_terms():
+    r = random.Random(7)
+    errors = []
+    for trial in range(4):
+        words = [w for i in range(100_000) for w in [f"{r.getrandbits(60):x}"] * min(100, int(r.paretovariate(1)))]
+        gone = set(r.sample(sorted(set(words)), 40_000))
+        other = [f"{r.getrandbits(60):x}" if w in gone else w for w in words]
+        a, b = " ".join(words), " ".join(other)
+        errors.append(fingerprints.likeness(*fingerprints.fingerprints(pa.array([a, b]))) - jaccard(a, b))
+    assert abs(np.mean(errors)) < 0.07
+
+
+def test_variates():
+    h = np.random.default_rng(3).integers(0, 2**64, 5000, dtype=np.uint64)
+    x = fingerprints.bits(h, fingerprints._FIRST)
+    g, r, b = (v.astype(float) for v in fingerprints.variates(h, x))
+    c = np.exp(g + r * (1 - b))
+    for gamma in (r, c):
+        assert gamma.mean() == pytest.approx(2, abs=0.02) and gamma.var() == pytest.approx(2, abs=0.05)
+    assert b.mean() == pytest.approx(0.5, abs=0.005) and b.var() == pytest.approx(1 / 12, abs=0.002)
+    assert np.abs(np.corrcoef([r.ravel(), b.ravel(), c.ravel()]) - np.eye(3)).max() < 0.01
+    # terms that share 14 bits, once a row of variates, have their own
+    near = fingerprints.bits((h << np.uint64(14)) | np.uint64(5), fingerprints._FIRST)
+    assert len(np.unique(near[:, 0])) == len(np.unique(h << np.uint64(14)))
+
+
 @pytest.mark.parametrize("rows_of_range", [7, 4096])
 def test_neighbours(spark, monkeypatch, rows_of_range):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", rows_of_range)
