@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelgrid.llm.common import keep, table
+from labelgrid.llm.common import files_for, keep, table
 from labelgrid.llm.mixing import mix
 from labelgrid.llm.near_dups import near_duplicates
 from labelgrid.llm.packing import pack
@@ -17,6 +17,11 @@ from labelgrid.llm.substrings import remove_repeats
 from labelgrid.llm.toxicity import learn, score
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``row`` and ``doc``: rows with a number of their own, which holds as they are written, and all of their columns in one."""
+    return keep(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), files_for(docs))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below one half; the model is learned from the labelled ones among them."""
     return score(docs, learn(docs, table(spark, sf_dir, "labels"))).where("score < 0.5").select(*docs.columns)
@@ -37,10 +42,10 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them (0 to 2 times)."""
-    copies = mix(docs).select("doc_id", "copies").where("copies > 0 AND doc_id IS NOT NULL")
-    taken = docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return taken.select(*docs.columns)
+    """Every row as often as the mix takes it (0 to 2 times), whether its id is null, repeated or its own."""
+    rows = numbered(docs)
+    copies = mix(rows.select("row", "doc.doc_id", "doc.text", "doc.source"), row="row").where("copies > 0").select("row", "copies")
+    return rows.join(copies, "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,9 +57,10 @@ def targets(sizes: DataFrame, source: str, *, weights: tuple = WEIGHTS, share: f
     return at.withColumn("t", held).select(source, "source_size", F.when(F.col("capped"), F.col("most")).otherwise(F.col("w") * F.col("t")).alias("target"))
 
 
-def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, **rule) -> DataFrame:  # noqa: ANN003
-    """``key``, ``source``, ``size``, ``source_size``, ``target`` and ``copies`` of every document."""
-    narrow = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"))
+def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, row: str | None = None, **rule) -> DataFrame:  # noqa: ANN003
+    """``key``, ``source``, ``size``, ``source_size``, ``target`` and ``copies`` of every document, and its ``row`` if that column is named."""
+    own = [row] if row else []
+    narrow = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), *own)
     sizes = keep(narrow.withColumn("class", F.when(F.col("size") > 0, F.floor(8 * F.log2(F.col("size").cast("double")))).otherwise(-1).cast("long")), files_for(docs))
     rates = targets(sizes, "source", **rule).select(F.col("source").alias("s"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
     buckets = max(1, math.ceil(math.sqrt(sizes.count()) / 8))
@@ -68,7 +69,7 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     before = W.partitionBy("source").orderBy("class", "bucket").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.select(F.col("source").alias("s"), F.col("class").alias("c"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     cells = cells.join(rates.withColumnRenamed("s", "r"), F.col("s").eqNullSafe(F.col("r"))).drop("r")
-    inside = W.partitionBy("source", "class", "bucket").orderBy(F.col("id").asc_nulls_last(), "size")
+    inside = W.partitionBy("source", "class", "bucket").orderBy(F.col("id").asc_nulls_last(), "size", *own)
     ranked = bucketed.withColumn("rank", F.row_number().over(inside))
     offset = hash32(F.coalesce(F.col("source"), F.lit("")), f"{seed}:") / F.lit(float(2**32))
     shared = F.floor(F.col("rate") * F.col("last") + F.col("u")) - F.floor(F.col("rate") * (F.col("last") - 1) + F.col("u"))
@@ -76,7 +77,7 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
         ranked.join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")) & (F.col("bucket") == F.col("b")))
         .withColumn("last", (F.col("before") + F.col("rank")).cast("double"))
         .withColumn("u", offset)
-        .select(F.col("id").alias(key), "source", "size", "source_size", "target", shared.cast("long").alias("copies"))
+        .select(F.col("id").alias(key), "source", "size", "source_size", "target", shared.cast("long").alias("copies"), *own)
     )
 
 

@@ -348,3 +348,31 @@ def test_pipeline(spark):
     assert sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in run if r["start"] == 0)[0] == sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in packed if r["start"] == 0)[0]
     assert sum(r["length"] for r in run) == sum(r["length"] for r in packed)
     assert "MIX" not in MIX_SQL
+
+
+STAGE = "doc_id long, source string, text string, n_chars long, copies long, row long, kept string"
+
+
+def stage_rows(spark, stage, rows):
+    """Rows of a stage as (doc_id, source, text), with columns beside them that are named like those of the operators."""
+    docs = spark.createDataFrame([(*r, len(r[2] or ""), 7, 7, "x") for r in rows], STAGE)
+    out = stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert all(r["copies"] == r["row"] == 7 and r["kept"] == "x" for r in got)
+    return [(r["doc_id"], r["source"], r["text"]) for r in got]
+
+
+def test_mixing_stage_takes_every_row_by_itself(spark):
+    r = random.Random(11)
+    rows = [(None if i % 9 == 0 else 5 if i % 4 == 0 else i, r.choice(["a", "b", None]), f"t{i} " + "w " * r.randrange(60)) for i in range(600)]
+    rows += [(None, "a", None), (5, "a", ""), (5, "b", "same"), (5, "b", "same")]
+    got = collections.Counter(stage_rows(spark, corpus_pipeline.mixing, rows))
+    have = collections.Counter(rows)
+    assert set(got) <= set(have) and all(n <= 2 * have[k] for k, n in got.items())
+    size = lambda k: len(k[2].split()) if k[2] else 0
+    want = water_fill([sum(size(k) for k in rows if k[1] == s) for s in ("a", "b", None)], (3, 1, 2))
+    for i, s in enumerate(("a", "b", None)):
+        assert abs(sum(n * size(k) for k, n in got.items() if k[1] == s) - want[i]) <= 2 * 61 + 1
+    assert any(k[0] is None for k in got)
+    assert stage_rows(spark, corpus_pipeline.mixing, []) == []
