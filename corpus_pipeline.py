@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelgrid.llm.common import files_for, keep, table
+from labelgrid.llm.common import WORD, files_for, keep, table
 from labelgrid.llm.mixing import mix
 from labelgrid.llm.near_dups import near_duplicates
 from labelgrid.llm.packing import pack
@@ -28,9 +28,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; documents that no other row is like stay."""
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """One row of each group, the one with the smallest id (the first of those that have it); documents that no other row is like stay.
+
+    Every row is compared by itself, so rows that repeat an id are as any others. Rows without words are in no group: one of each
+    (doc_id, text) stays. Rows without an id are compared with none, and all of them stay.
+    """
+    rows = numbered(docs)
+    flat = rows.select("row", "doc.doc_id", "doc.text")
+    named = flat.where("doc_id IS NOT NULL")
+    placed = near_duplicates(named, key="row").where("n_shingles > 0").join(named.select("row", "doc_id"), "row")
+    grouped = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).getField("row").alias("row")).select("row")
+    wordless = named.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False))).groupBy("doc_id", "text").agg(F.min("row").alias("row")).select("row")
+    kept = grouped.unionByName(wordless).unionByName(flat.where("doc_id IS NULL").select("row"))
+    return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

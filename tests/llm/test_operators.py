@@ -376,3 +376,13 @@ def test_mixing_stage_takes_every_row_by_itself(spark):
         assert abs(sum(n * size(k) for k, n in got.items() if k[1] == s) - want[i]) <= 2 * 61 + 1
     assert any(k[0] is None for k in got)
     assert stage_rows(spark, corpus_pipeline.mixing, []) == []
+
+
+def test_near_dups_stage_keeps_one_row_of_a_group(spark):
+    words = lambda x: " ".join(f"{x}{i}" for i in range(60))
+    rows = [(3, "a", words("x")), (3, "a", words("x")), (7, "b", words("x")), (3, "b", words("y")), (9, "a", words("y")), (9, "a", words("z"))]
+    rows += [(2, "a", words("x") + " end"), (7, "a", words("v")), (4, "a", ""), (4, "a", ""), (4, "a", None), (None, "a", words("x")), (None, "a", words("x"))]
+    got = collections.Counter((i, t) for i, _, t in stage_rows(spark, corpus_pipeline.near_dups, rows))
+    want = [(2, words("x") + " end"), (3, words("y")), (9, words("z")), (7, words("v")), (4, ""), (4, None), (None, words("x")), (None, words("x"))]
+    assert got == collections.Counter(want)
+    assert stage_rows(spark, corpus_pipeline.near_dups, []) == []
