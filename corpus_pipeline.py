@@ -33,7 +33,8 @@ def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row is compared by itself, so rows that repeat an id are as any others. Rows without words are in no group: one of each
     (doc_id, text) stays. Rows without an id are compared with none, and all of them stay.
     """
-    rows = numbered(docs)
+    # numbers in the order of ids: centres of groups, from which pairs are formed, are the rows of the smallest ids
+    rows = numbered(docs.orderBy("doc_id", F.xxhash64("text")))
     flat = rows.select("row", "doc.doc_id", "doc.text")
     named = flat.where("doc_id IS NOT NULL")
     placed = near_duplicates(named, key="row").where("n_shingles > 0").join(named.select("row", "doc_id"), "row")
