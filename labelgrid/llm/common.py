@@ -8,8 +8,9 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: words as the contracts define them
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,12 +49,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or one set here where it is unset."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one serves a
+    local master; a cluster has no folder of that kind, so there it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
+        if not context.isLocal():
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="labelgrid-"))
     return context.getCheckpointDir().get()
 
@@ -74,18 +78,50 @@ def files_for(df: DataFrame) -> int | None:
     return max(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
 
 
+def _path(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def keep(df: DataFrame, files: int | None = None, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: lineage is cut, lost executors cost no recomputation.
 
-    The files go when the session's JVM ends.
+    The files go with ``forget``, or when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/labelgrid/{uuid.uuid4().hex}"
     (df.coalesce(files) if files else df).write.option("compression", codec).parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    target, system = _path(spark, path)
+    system.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_in = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Remove the files of kept tables that nothing will read any more."""
+    for df in tables:
+        path = None if df is None else vars(df).get("kept_in")
+        if path:
+            target, system = _path(df.sparkSession, path)
+            system.delete(target, True)
+
+
+def packed(docs: DataFrame, text: str) -> DataFrame:
+    """``rest``, all columns but the text in one, and ``text``: whatever the columns are named, none clashes with an operator's own."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    return docs.select(F.struct(*(others or [F.lit(0).alias("none")])).alias("rest"), F.col(f"`{text}`").alias("text"))
+
+
+def unpacked(docs: DataFrame, text: str) -> list[Column]:
+    """The columns of ``docs``, in their order, from a table with ``rest`` and ``text``."""
+    return [(F.col("text") if c == text else F.col("rest").getField(c)).alias(c) for c in docs.columns]
+
+
+def with_own(source: DataFrame, *own: tuple[str, str]) -> T.StructType:
+    """The schema of ``source`` (as Arrow functions give it back) with columns (name, type) of an operator behind it."""
+    return T.StructType([*source.schema.fields, *(T.StructField(n, T.DataType.fromDDL(t)) for n, t in own)])
 
 
 #: bits of an id filter: 4 MB on each executor, whatever the size of the input

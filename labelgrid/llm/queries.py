@@ -22,8 +22,9 @@ from .toxicity import learn, score
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, learn(docs, table(spark, sf_dir, "labels")))
-    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"))
+    doc_id = F.col("rest.doc_id")
+    held_out = F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
+    return scored.select(doc_id.alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").cast("long").alias("n_passages"))
 
 
 def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,9 +45,9 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = remove_repeats(table(spark, sf_dir, "documents"))
+    left = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    return left.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+    return left.select("rest.doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,23 +3,27 @@
 The documents themselves are the reference, so it grows with the input and cannot be broadcast. It is narrowed exactly, and
 cut into shards that tasks hold one at a time:
 
-1. Every window has an anchor, the least hash of the ``GRAM``-word sequences in it, so equal windows have equal anchors.
+1. Every window has an anchor, the least hash of the word sequences of a given length in it, so equal windows have equal anchors.
    Anchors that only one document has are dropped; pre-aggregated, no task sees a list of documents.
-2. In the documents left, consecutive windows with one anchor form a segment. Segments with the same words are one: all but
-   those of the smallest id are removed whole.
+2. In the documents left, consecutive windows with one anchor form a segment (a long one is cut, each window stays in one part).
+   Segments with the same words are one: all but those of the smallest id are removed whole.
 3. Where an anchor is left with different segments, their common windows are found by suffix automata: the segments of a shard
-   (anchors dealt by hash, a bounded number of words at a time) are put into one automaton whose states know the smallest id
-   of their occurrences; streaming each segment through it gives its matching statistics, and each position matched for
-   ``WINDOW`` words or more asks its state. Anchors with more segments than a shard may hold go by a window hash join instead.
-4. The maximal spans of each document are joined to it and cut out. Documents without any never leave their partition.
+   (``SHARD_WORDS`` words, whole anchors dealt by hash) are put into one automaton whose states know the smallest id of their
+   occurrences; streaming each segment through it gives its matching statistics, and each position matched for ``WINDOW`` words
+   or more asks its state.
+4. The segments of an anchor that a shard cannot hold are cut again, by anchors of longer sequences (``GRAMS``), and go through
+   steps 2 and 3 as their own documents. Anchors of the last length are windows themselves: their segments have the same words.
+   So an automaton never holds more than two shards' words, whatever is repeated how often, and no pair is ever formed.
+5. The maximal spans of each document are joined to it and cut out. Documents without any never leave their partition.
 
 Null or empty text has no words. Rows without an id are neither cut nor referred to; rows that repeat an id are cut each by its
-own text, and never by one another. Other columns pass through. An empty table gives an empty result.
+own text, and never by one another. Ids are of any type that has an order. Columns of any name pass through. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import files_for, id_filter, keep, split_by
+from .common import files_for, forget, id_filter, keep, packed, split_by, with_own
 
 WINDOW = 50
-GRAM = 16
-#: words that the automaton of one shard holds at most, about; and segments of one anchor that may share a shard
+#: words of the sequences whose least hash is an anchor, for each cut of a segment
+GRAMS = (16, 28, 40, WINDOW)
+#: words of the segments of one anchor, and of all anchors of a shard but its last, at most
 SHARD_WORDS = 30_000
-SHARD_SEGMENTS = 8192
+#: windows of a segment at most
+SEGMENT_WINDOWS = 1024
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -46,12 +52,17 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def least_grams(hashes: np.ndarray, gram: int) -> np.ndarray:
+    """The least hash of ``gram`` words in the window that starts at each word."""
+    return sliding_min(K.gram_hash(hashes, gram), WINDOW - gram + 1)
+
+
 def window_anchors(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, first word of each row, and the anchor of the window that starts at each word (windows may cross rows)."""
     data, offsets = K.buffer(column)
     starts, ends, first = K.words(data, offsets)
     hashes = K.span_hash(data, starts, ends)
-    return hashes, first, sliding_min(K.gram_hash(hashes, GRAM), WINDOW - GRAM + 1)
+    return hashes, first, least_grams(hashes, GRAMS[0])
 
 
 def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,11 +75,31 @@ def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["id", "th", "anchors"])
 
 
-SEGMENTS = "id long, th long, anchor long, segment long, start int, n int, words binary"
+def _runs(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal values, none longer than ``SEGMENT_WINDOWS``."""
+    edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    size = np.diff(np.append(edge, len(own)))
+    parts = -(-size // SEGMENT_WINDOWS)
+    at = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    starts = np.repeat(edge, parts) + at * SEGMENT_WINDOWS
+    return starts, np.minimum(np.repeat(size, parts) - at * SEGMENT_WINDOWS, SEGMENT_WINDOWS)
+
+
+FOUND = ["p", "q", "id", "anchor", "segment", "start", "n", "words"]
+
+
+def _found(p: pa.Array, q: pa.Array, ids: pa.Array, anchor: np.ndarray, hashes: np.ndarray, at: np.ndarray, n: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """Segments that begin at the words ``at``: their parents, owners, first window there, and the hashes of all their words."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * K._power("up", len(hashes))[: len(hashes)], dtype=np.uint64)])
+    end = at + n + WINDOW - 1
+    whole = K.mix((sums[end] - sums[at]) * K._power("down", len(hashes))[at] + n.astype(np.uint64))
+    raw = [hashes[a:b].tobytes() for a, b in zip(at.tolist(), end.tolist(), strict=True)]
+    own = [pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(raw, pa.binary())]
+    return pa.RecordBatch.from_arrays([p, q, ids, *own], FOUND)
 
 
 def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of the windows whose anchor is in the row's list: first window, number of windows, hashes of all their words."""
+    """Segments of the windows whose anchor is in the row's list; their parent is the row."""
     for batch in batches:
         for part in K.slices(batch, "text"):
             hashes, first, least = window_anchors(part.column("text"))
@@ -78,25 +109,38 @@ def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = least[a : max(a, b - WINDOW + 1)]
                 if not len(own):
                     continue
-                wanted = np.isin(own, np.array(part.column("anchors")[i].as_py(), np.int64).view(np.uint64))
-                edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
-                run = edge[:-1][wanted[edge[:-1]]]
-                starts.append(run + a)
-                counts.append(np.diff(edge)[wanted[edge[:-1]]])
-                rows += [i] * len(run)
-                ids.append(run)
-            if not rows:
-                continue
-            at, n = np.concatenate(starts), np.concatenate(counts)
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * K._power("up", len(hashes))[: len(hashes)], dtype=np.uint64)])
-            end = at + n + WINDOW - 1
-            whole = K.mix((sums[end] - sums[at]) * K._power("down", len(hashes))[at] + n.astype(np.uint64))
-            raw = [hashes[a:b].tobytes() for a, b in zip(at.tolist(), end.tolist(), strict=True)]
-            pick = pa.array(rows)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("id").take(pick), part.column("th").take(pick), pa.array(least[at].view(np.int64)), pa.array(whole.view(np.int64)), pa.array(np.concatenate(ids), pa.int32()), pa.array(n, pa.int32()), pa.array(raw, pa.binary())],
-                ["id", "th", "anchor", "segment", "start", "n", "words"],
-            )
+                run, size = _runs(own)
+                wanted = np.isin(own[run], np.array(part.column("anchors")[i].as_py(), np.int64).view(np.uint64))
+                starts.append(run[wanted] + a)
+                counts.append(size[wanted])
+                rows += [i] * int(wanted.sum())
+                ids.append(run[wanted])
+            if rows:
+                at, pick = np.concatenate(starts), pa.array(rows)
+                yield _found(part.column("th").take(pick), pa.array(np.zeros(len(rows), np.int64)), part.column("id").take(pick), least[at], hashes, at, np.concatenate(counts), np.concatenate(ids))
+
+
+def refined(level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over segments (``anchor``, ``segment``, ``id``, ``words``): what they are cut into by the next anchors.
+
+    Equal windows of an anchor have equal next anchors too. At the last length a segment's words are those of any other of its
+    anchor (but for how often they come round), so the anchor stands for them.
+    """
+
+    def cut_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                hashes = np.frombuffer(batch.column("words")[i].as_py(), np.uint64)
+                coarse = np.int64(batch.column("anchor")[i].as_py()).view(np.uint64)
+                least = K.mix(least_grams(hashes, GRAMS[level]) + K.mix(np.array([coarse])))
+                at, n = _runs(least)
+                same = pa.array(np.zeros(len(at), np.int32))
+                out = _found(*(batch.column(c).slice(i, 1).take(same) for c in ("anchor", "segment", "id")), least[at], hashes, at, n, at)
+                if level == len(GRAMS) - 1:
+                    out = out.set_column(4, "segment", out.column("anchor")).set_column(7, "words", pa.nulls(len(at), pa.binary()))
+                yield out
+
+    return cut_again
 
 
 class Automaton:
@@ -212,58 +256,75 @@ def resolve_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield solve(shard)
 
 
-def window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per window of each segment."""
-    for batch in batches:
-        for a, s, i, words in zip(*(batch.column(c).to_pylist() for c in ("anchor", "segment", "id", "words")), strict=True):
-            found = K.gram_hash(np.frombuffer(words, np.uint64), WINDOW).view(np.int64)
-            n = len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, a)), pa.array(np.full(n, s)), pa.array(np.full(n, i)), pa.array(found), pa.array(np.arange(n), pa.int32())], ["anchor", "segment", "id", "window", "at"])
+class _Search:
+    """Spans that earlier ids have, and the tables kept on the way."""
+
+    def __init__(self, files: int | None) -> None:
+        self.files = files
+        self.tables: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.tables.append(keep(df, self.files))
+        return self.tables[-1]
+
+    def spans(self, found: DataFrame, level: int = 0) -> DataFrame:
+        """``p``, ``q``, ``id``, ``start``, ``end`` of what goes from the parents of the segments ``found``."""
+        first = self.keep(found.groupBy("anchor", "segment").agg(F.min("id").alias("low"), F.max("n").alias("size")))
+        rivals = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("rivals"), F.sum(F.col("size") + WINDOW - 1).alias("total")).where("rivals > 1")
+        first = first.drop("size").join(rivals, "anchor", "left")
+        # segments that an earlier document has whole
+        same = found.drop("words").join(first, ["anchor", "segment"])
+        spans = same.where("low < id").select("p", "q", "id", "start", (F.col("start") + F.col("n") + WINDOW - 1).alias("end"))
+        if level == len(GRAMS) - 1:
+            return spans
+        # first occurrences of segments that share their anchor with others
+        chosen = found.join(first.where("rivals > 1"), ["anchor", "segment"]).where("id = low")
+        open_ = self.keep(chosen.dropDuplicates(["anchor", "segment"]).select("anchor", "segment", "id", "words", (F.col("total") <= SHARD_WORDS).alias("fits")))
+        by_shard = open_.where("fits").drop("fits").repartition("anchor").sortWithinPartitions("anchor", "segment")
+        some = by_shard.mapInArrow(resolve_shards, "anchor long, segment long, found array<struct<a:int,b:int>>")
+        large = open_.where("NOT fits").drop("fits")
+        if not large.isEmpty():
+            kind = found.schema["id"].dataType.simpleString()
+            finer = self.keep(large.mapInArrow(refined(level + 1), _schema(kind)))
+            deeper = self.spans(finer, level + 1).groupBy(F.col("p").alias("anchor"), F.col("q").alias("segment"))
+            some = some.unionByName(deeper.agg(F.collect_list(F.struct(F.col("start").alias("a"), F.col("end").alias("b"))).alias("found")))
+        partial = same.where("low = id AND rivals > 1").join(some, ["anchor", "segment"]).select("p", "q", "id", "start", F.explode("found").alias("x"))
+        return spans.unionByName(partial.select("p", "q", "id", (F.col("start") + F.col("x.a")).alias("start"), (F.col("start") + F.col("x.b")).alias("end")))
+
+
+def _schema(kind: str) -> str:
+    return f"p long, q long, id {kind}, anchor long, segment long, start int, n int, words binary"
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, ``th`` (hash of the text) and ``spans`` (arrays of first word and end) of the documents from which words go."""
-    plain = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    files = files_for(docs)
-    listed = keep(plain.mapInArrow(anchors, "id long, th long, anchors array<long>"), files)
+    kind = docs.schema[key].dataType.simpleString()
+    plain = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    search = _Search(files_for(docs))
+    listed = search.keep(plain.mapInArrow(anchors, f"id {kind}, th long, anchors array<long>"))
     each = listed.select("id", "th", F.explode("anchors").alias("anchor"))
     shared = each.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor")
-    wanted = keep(each.join(shared, "anchor").groupBy("id", "th").agg(F.collect_set("anchor").alias("anchors")), files)
+    wanted = search.keep(each.join(shared, "anchor").groupBy("id", "th").agg(F.collect_set("anchor").alias("anchors")))
     near, _ = split_by(plain, id_filter(wanted, "id"), "id")
-    found = keep(near.dropDuplicates(["id", "th"]).join(wanted, ["id", "th"]).select("id", "th", "text", "anchors").mapInArrow(segments, SEGMENTS), files)
-    first = keep(found.groupBy("anchor", "segment").agg(F.min("id").alias("low")), files)
-    rivals = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("rivals")).where("rivals > 1")
-    first = first.join(rivals, "anchor", "left")
-    # segments that an earlier document has whole
-    same = found.select("id", "th", "anchor", "segment", "start", "n").join(first, ["anchor", "segment"])
-    spans = same.where("low < id").select("id", "th", "start", (F.col("start") + F.col("n") + WINDOW - 1).alias("end"))
-    # first occurrences of segments that share their anchor with others
-    chosen = found.join(first.where("rivals > 1"), ["anchor", "segment"]).where("id = low")
-    open_ = keep(chosen.dropDuplicates(["anchor", "segment"]).select("anchor", "segment", "id", "words", "rivals"), files)
-    few = open_.where(F.col("rivals") <= SHARD_SEGMENTS).drop("rivals")
-    by_shard = few.repartition("anchor").sortWithinPartitions("anchor", "segment").mapInArrow(resolve_shards, "anchor long, segment long, found array<struct<a:int,b:int>>")
-    windows = open_.where(F.col("rivals") > SHARD_SEGMENTS).drop("rivals").mapInArrow(window_hashes, "anchor long, segment long, id long, window long, at int")
-    lows = windows.groupBy("anchor", "window").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high")
-    by_join = windows.join(lows, ["anchor", "window"]).where("low < id").groupBy("anchor", "segment").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + WINDOW).alias("b"))).alias("found"))
-    some = by_shard.unionByName(by_join)
-    partial = same.where("low = id AND rivals > 1").join(some, ["anchor", "segment"]).select("id", "th", "start", F.explode("found").alias("x"))
-    spans = spans.unionByName(partial.select("id", "th", (F.col("start") + F.col("x.a")).alias("start"), (F.col("start") + F.col("x.b")).alias("end")))
-    return keep(spans.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")), files)
+    found = search.keep(near.dropDuplicates(["id", "th"]).join(wanted, ["id", "th"]).select("id", "th", "text", "anchors").mapInArrow(segments, _schema(kind)))
+    out = search.spans(found).groupBy("id", F.col("p").alias("th")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    out = keep(out, search.files)
+    forget(*search.tables)
+    return out
 
 
 def cut(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``n_words`` and ``n_removed``; where words went, ``text`` is what is left, joined by single spaces."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_words long, n_removed long"
-    named = docs.columns
+    """``rest`` (all other columns of ``docs``), ``text``, ``n_words`` and ``n_removed``; where words went, ``text`` is what is
+    left, joined by single spaces."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in K.slices(batch, text):
-                data, offsets = K.buffer(part.column(text))
+            for part in K.slices(batch, "text"):
+                data, offsets = K.buffer(part.column("text"))
                 starts, ends, first = K.words(data, offsets)
                 blob = data.tobytes()
-                texts, removed = part.column(text).to_pylist(), [0] * part.num_rows
-                lists = part.column("__spans").to_pylist() if "__spans" in part.schema.names else [None] * part.num_rows
+                texts, removed = part.column("text").to_pylist(), [0] * part.num_rows
+                lists = part.column("spans").to_pylist() if "spans" in part.schema.names else [None] * part.num_rows
                 for i, spans_of in enumerate(lists):
                     if spans_of:
                         a, b = first[i], first[i + 1]
@@ -273,14 +334,15 @@ def cut(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "tex
                         left = np.flatnonzero(np.cumsum(change[:-1]) == 0) + a
                         removed[i] = int(b - a - len(left))
                         texts[i] = b" ".join([blob[s:e] for s, e in zip(starts[left].tolist(), ends[left].tolist(), strict=True)]).decode("utf-8", "replace")
-                columns = [pa.array(texts, pa.string()) if c == text else part.column(c) for c in named]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(first)), pa.array(removed, pa.int64())], [*named, "n_words", "n_removed"])
-
-    marked = docs.withColumn("__id", F.col(key).cast("long")).withColumn("__th", F.xxhash64(text))
-    maybe, never = split_by(marked, id_filter(spans, "id"), "__id")
-    small = spans.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
-    joined = maybe.join(small, ["__id", "__th"], "left").select(*named, "__spans")
-    return joined.mapInArrow(apply, schema).unionByName(never.select(*named).mapInArrow(apply, schema))
+                columns = [part.column("rest"), pa.array(texts, pa.string()), pa.array(np.diff(first)), pa.array(removed, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["rest", "text", "n_words", "n_removed"])
+
+    rows = packed(docs, text)
+    schema = with_own(rows, ("n_words", "bigint"), ("n_removed", "bigint"))
+    marked = rows.withColumns({"id": F.col("rest").getField(key), "th": F.xxhash64("text")})
+    maybe, never = split_by(marked, id_filter(spans, "id"), "id")
+    joined = maybe.join(spans, ["id", "th"], "left").select("rest", "text", "spans")
+    return joined.mapInArrow(apply, schema).unionByName(never.select("rest", "text").mapInArrow(apply, schema))
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,15 +1,17 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
-Learning, on a bounded sample of the labelled rows that are not held out (``SAMPLE`` rows, a documented bound): for each whole
-token and each token stem (its first 3 to 6 bytes), the log-odds of occurring in toxic against other documents, with a Dirichlet
-prior in proportion to its frequency; kept where its z-score is high. Scoring: a token scores its best log-odds, any other token
-a small negative constant; the linear-time scan for all maximal scoring segments finds the passages. A passage with score S in a
-document of n tokens has the extreme-value p-value ``1 - exp(-K n exp(-lambda S))``; lambda and K are fitted on the clean
-documents of a calibration fold, on which a logistic curve then turns the summed evidence of a document into a score.
+Learning, on a bounded sample of the labelled rows that are not held out (``SAMPLE`` documents, a documented bound): for each
+whole token and each token stem (its first 3 to 6 bytes), the log-odds of occurring in toxic against other documents, with a
+Dirichlet prior in proportion to its frequency; every one whose z-score is high is kept. Scoring: a token scores its best
+log-odds, any other token a small negative constant; the linear-time scan for all maximal scoring segments finds the passages. A
+passage with score S in a document of n tokens has the extreme-value p-value ``1 - exp(-K n exp(-lambda S))``; lambda and K are
+fitted on the clean documents of a calibration fold. The evidence of a document is the sum over all its significant passages;
+a logistic curve, fitted on the evidence of the calibration fold, turns it into a score.
 
 Null or empty text has no passage and gets the score of a document without evidence. Labels whose toxic is null are not used;
-a doc_id labelled twice counts as toxic if any label says so. Without toxic and clean labels every score is 0. A null doc_id is
-held out. Empty tables give an empty result; extra columns are not read.
+a doc_id labelled twice counts as toxic if any label says so. Of rows that repeat a labelled doc_id one text is learned from
+(that of the least hash); all of them are scored. Without toxic and clean labels every score is 0. A null doc_id is held out.
+Empty tables give an empty result; columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -24,11 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import forget, keep, packed, with_own
 
-#: labelled rows from which is learned; one in four of them calibrates
+#: labelled documents from which is learned; one in four of them calibrates
 SAMPLE = 8000
-#: features that the model holds at most
-FEATURES = 8192
 STEMS = (3, 4, 5, 6)
 #: weight of the prior, in documents, as a share of the sample
 PRIOR = 0.05
@@ -36,7 +37,6 @@ BACKGROUND = -0.05
 SIGNIFICANT = 0.05
 Z_GRID = (2.5, 3.0, 4.0, 6.0)
 LEAST_ODDS = 1.0
-KEPT_PASSAGES = 32
 _WHOLE = K.U64(0xA5A5A5A55A5A5A5A)
 
 _LETTER = np.zeros(256, bool)
@@ -153,9 +153,8 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(0.0, float(a[0])), float(a[1])
 
 
-def _calibrated(keys: np.ndarray, weights: np.ndarray, rows: list) -> tuple[float, Model]:
-    """Log loss on the calibration rows, and the model with lambda, K and the curve fitted on them."""
-    y = np.array([r["toxic"] for r in rows])
+def _with_tail(keys: np.ndarray, weights: np.ndarray, rows: list) -> Model:
+    """The model with lambda and K fitted on the clean rows of the calibration fold."""
     clean = [r for r in rows if not r["toxic"]]
     tokens_clean = max(1, sum(r["n"] for r in clean))
     hits = sum(r["hits"] for r in clean)
@@ -168,16 +167,68 @@ def _calibrated(keys: np.ndarray, weights: np.ndarray, rows: list) -> tuple[floa
             high = lam
         else:
             low = lam
-    k = len(clean) / max(1e-9, sum(max(r["n"], 1) * math.exp(-lam * max(r["scores"], default=0.0)) for r in clean))
-    model = Model(keys, weights, lam, k)
-    x = np.array([max(-20.0, min(model.evidence(r["n"], r["scores"])[0], 40.0)) for r in rows])
+    return Model(keys, weights, lam, len(clean) / max(1e-9, sum(max(r["n"], 1) * math.exp(-lam * r["best"]) for r in clean)))
+
+
+def _with_curve(model: Model, rows: list) -> tuple[float, Model]:
+    """Log loss on the calibration rows, and the model with the curve fitted on their evidence."""
+    rows = sorted(rows, key=lambda r: (r["evidence"], r["toxic"]))  # sums do not depend on how rows are dealt
+    y = np.array([r["toxic"] for r in rows])
+    x = np.clip([r["evidence"] for r in rows], -20.0, 40.0)
     model.slope, model.shift = _fit_curve(x, y)
     p = np.clip([model.score(v) for v in x], 1e-6, 1 - 1e-6)
     return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()), model
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each feature of a slice of rows: in how many toxic (``y``) and other (``x``) ones it is."""
+    for batch in batches:
+        for part in K.slices(batch, "text"):
+            labels_of = np.array(part.column("toxic").to_pylist(), np.int64)
+            _, _, first, places, hashes = tokens(part.column("text"))
+            row = np.concatenate([np.searchsorted(first, p, "right") - 1 for p in places])
+            each = np.concatenate(hashes)
+            order = np.lexsort((row, each))
+            each, row = each[order], row[order]
+            new = np.concatenate([[True], (each[1:] != each[:-1]) | (row[1:] != row[:-1])]) if len(each) else np.zeros(0, bool)
+            each, row = each[new], row[new]
+            found, back = np.unique(each, return_inverse=True)
+            bad = np.bincount(back, labels_of[row], len(found)).astype(np.int64) if len(found) else np.zeros(0, np.int64)
+            both = np.bincount(back, minlength=len(found)) if len(found) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(bad), pa.array(both - bad)], ["h", "y", "x"])
+
+
+def _measured(models: list[Model]):  # noqa: ANN202
+    """A function over batches: for each row and model, what lambda and K are fitted on."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in K.slices(batch, "text"):
+                for level, model in enumerate(models):
+                    out = [(n, max((s for s, _, _ in spans), default=0.0), len(w), float(w.sum())) for n, spans, w in passages(model, part.column("text"))]
+                    n, best, hit, weight = zip(*out, strict=True)
+                    columns = [pa.array([level] * len(n), pa.int32()), part.column("toxic"), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(hit, pa.int64()), pa.array(weight, pa.float64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["level", "toxic", "n", "best", "hits", "weight"])
+
+    return scan
+
+
+def _evidence(models: list[Model]):  # noqa: ANN202
+    """A function over batches: for each row and model the evidence, as it will be scored."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in K.slices(batch, "text"):
+                for level, model in enumerate(models):
+                    found = [model.evidence(n, [s for s, _, _ in spans])[0] for n, spans, _ in passages(model, part.column("text"))]
+                    yield pa.RecordBatch.from_arrays([pa.array([level] * len(found), pa.int32()), part.column("toxic"), pa.array(found, pa.float64())], ["level", "toxic", "evidence"])
+
+    return scan
+
+
 def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """The model; the sample (at most ``sample`` ids), the features kept and the calibration rows are all that reach the driver."""
+    """The model; the ids of the sample (at most ``sample``), the features that its texts have and two numbers for each of its
+    calibration rows are all that reach the driver."""
     spark = docs.sparkSession
     digest = F.crc32(F.col("id").cast("string"))
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max((F.col(label) > 0).cast("int")).alias("toxic"))
@@ -187,35 +238,29 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         return Model()
     kind = docs.schema[key].dataType
     ids = spark.createDataFrame([(i, int(t)) for i, t in toxic.items()], f"id {kind.simpleString()}, toxic int")
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), "id").withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(4)))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in K.slices(batch, "text"):
-                labels_of = np.array(part.column("toxic").to_pylist(), np.int64)
-                _, _, first, places, hashes = tokens(part.column("text"))
-                row = np.concatenate([np.searchsorted(first, p, "right") - 1 for p in places])
-                each = np.concatenate(hashes)
-                order = np.lexsort((row, each))
-                each, row = each[order], row[order]
-                new = np.concatenate([[True], (each[1:] != each[:-1]) | (row[1:] != row[:-1])]) if len(each) else np.zeros(0, bool)
-                each, row = each[new], row[new]
-                found, back = np.unique(each, return_inverse=True)
-                bad = np.bincount(back, labels_of[row], len(found)).astype(np.int64) if len(found) else np.zeros(0, np.int64)
-                both = np.bincount(back, minlength=len(found)) if len(found) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(bad), pa.array(both - bad)], ["h", "y", "x"])
-
+    found = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), "id")
+    # one text of each id: the sample is bounded, however often an id is repeated
+    one = found.groupBy("id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).getField("text").alias("text"))
+    rows = keep(one.withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(4))), spark.sparkContext.defaultParallelism)
+    try:
+        return _learned(rows)
+    finally:
+        forget(rows)
+
+
+def _learned(rows: DataFrame) -> Model:
+    """The model from the sample: ``text``, ``toxic`` and ``fold``."""
     fold = rows.where("fold <> 0")
     n1, n0 = (float(v or 0) for v in fold.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).collect()[0])
     if not n1 or not n0:
         return Model()
     prior = PRIOR * (n1 + n0)
-    summed = fold.mapInArrow(count, "h long, y long, x long").groupBy("h").agg(F.sum("y").alias("y"), F.sum("x").alias("x")).where("y > 1")
+    summed = fold.mapInArrow(_counts, "h long, y long, x long").groupBy("h").agg(F.sum("y").alias("y"), F.sum("x").alias("x")).where("y > 1")
     y, x = F.col("y"), F.col("x")
     alpha = PRIOR * (y + x)
     odds = F.log((y + alpha) / (n1 + prior - y - alpha + 0.5)) - F.log((x + alpha) / (n0 + prior - x - alpha + 0.5))
     z = odds / F.sqrt(1 / (y + alpha) + 1 / (x + alpha))
-    best = summed.select("h", odds.alias("odds"), z.alias("z")).where((F.col("z") >= min(Z_GRID)) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("z"), "h").limit(FEATURES).collect()
+    best = summed.select("h", odds.alias("odds"), z.alias("z")).where((F.col("z") >= min(Z_GRID)) & (F.col("odds") >= LEAST_ODDS)).collect()
     if not best:
         return Model()
     h = np.array([r["h"] for r in best], np.int64).view(np.uint64)
@@ -223,44 +268,33 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     order = np.argsort(h)
     h, odds_of, z_of = h[order], odds_of[order], z_of[order]
     tried = [z for z in Z_GRID if (z_of >= z).sum() >= 2] or [min(Z_GRID)]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = [Model(h[z_of >= z], odds_of[z_of >= z]) for z in tried]
-        for batch in batches:
-            for part in K.slices(batch, "text"):
-                for level, model in enumerate(models):
-                    out = [(n, sorted((s for s, _, _ in spans), reverse=True)[:KEPT_PASSAGES], len(w), float(w.sum())) for n, spans, w in passages(model, part.column("text"))]
-                    if out:
-                        n, scores, hit, weight = zip(*out, strict=True)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([level] * len(n), pa.int32()), part.column("toxic"), pa.array(n, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(hit, pa.int64()), pa.array(weight, pa.float64())],
-                            ["level", "toxic", "n", "scores", "hits", "weight"],
-                        )
-
-    seen = rows.where("fold = 0").mapInArrow(scan, "level int, toxic int, n long, scores array<double>, hits long, weight double").collect()
-    tries = [_calibrated(h[z_of >= z], odds_of[z_of >= z], [r for r in seen if r["level"] == i]) for i, z in enumerate(tried)] if len({r["toxic"] for r in seen}) == 2 else []
-    if not tries:
+    models = [Model(h[z_of >= z], odds_of[z_of >= z]) for z in tried]
+    held = rows.where("fold = 0")
+    seen = held.mapInArrow(_measured(models), "level int, toxic int, n long, best double, hits long, weight double").collect()
+    if len({r["toxic"] for r in seen}) < 2:
         return Model(h, odds_of, 1.0, 1.0, 1.0, 0.0)
-    return min(tries, key=lambda t: t[0])[1]
+    seen.sort(key=tuple)
+    models = [_with_tail(m.keys, m.weights, [r for r in seen if r["level"] == i]) for i, m in enumerate(models)]
+    told = held.mapInArrow(_evidence(models), "level int, toxic int, evidence double").collect()
+    return min((_with_curve(m, [r for r in told if r["level"] == i]) for i, m in enumerate(models)), key=lambda t: t[0])[1]
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and its significant ``passages`` (byte offsets and p-value)."""
+    """``rest`` (all other columns of ``docs``), ``text``, ``score`` (0 to 1) and its significant ``passages`` (byte offsets and p-value)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    named = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double, passages array<struct<start:long,end:long,p:double>>"
+    rows = packed(docs, text)
+    spans_of = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for batch in batches:
-            for part in K.slices(batch, text):
+            for part in K.slices(batch, "text"):
                 scores, lists = [], []
-                for n, spans, _ in passages(own, part.column(text)):
+                for n, spans, _ in passages(own, part.column("text")):
                     floor = math.log(own.k * max(n, 1))
                     scores.append(own.score(own.evidence(n, [s for s, _, _ in spans])[0]))
                     ranked = ((1 - math.exp(-math.exp(min(50.0, floor - own.lam * s))), a, b) for s, a, b in spans)
                     lists.append([{"start": a, "end": b, "p": p} for p, a, b in ranked if p <= SIGNIFICANT])
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in named), pa.array(scores, pa.float64()), pa.array(lists, kind)], [*named, "score", "passages"])
+                yield pa.RecordBatch.from_arrays([part.column("rest"), part.column("text"), pa.array(scores, pa.float64()), pa.array(lists, spans_of)], ["rest", "text", "score", "passages"])
 
-    return docs.mapInArrow(apply, schema)
+    return rows.mapInArrow(apply, with_own(rows, ("score", "double"), ("passages", "array<struct<start:bigint,end:bigint,p:double>>")))

@@ -4,6 +4,9 @@ import collections
 import random
 import re
 
+import pytest
+
+from labelgrid.llm import near_dups
 from labelgrid.llm.components import components
 from labelgrid.llm.near_dups import near_duplicates
 
@@ -70,6 +73,50 @@ def test_hot_passage_links_nobody(spark):
     assert len({c for _, c in check(spark, rows).values()}) == 300
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_random_sets_around_the_threshold(spark, seed):
+    """Mixtures of common and own passages, chains of copies, sizes from one shingle to hundreds."""
+    r = random.Random(seed)
+    pool = [[f"p{k}w{i}" for i in range(r.choice([4, 9, 20, 33, 60]))] for k in range(14)]
+    rows = []
+    for i in range(500):
+        words = [w for k in r.sample(range(14), r.randrange(1, 4)) for w in pool[k]]
+        for _ in range(r.choice([0, 0, 1, 2, 4])):
+            words.insert(r.randrange(len(words) + 1), f"o{i}x{r.randrange(3)}")
+        if r.random() < 0.3:
+            words = words[r.randrange(4) :]
+        rows.append((r.randrange(10**9), " ".join(words)))
+    want = check(spark, rows)
+    assert len({c for _, c in want.values()}) < len(rows)
+
+
+def test_copies_that_differ_too_much_make_no_pairs(spark):
+    """One list with every document, and no link: the cells of the list cannot hold one, so no pair is ever formed."""
+    common = " ".join(f"c{i}" for i in range(21))
+    made = []
+
+    class Search(near_dups._Search):
+        def across(self, found):
+            made.append(super().across(found).count())
+            return super().across(found)
+
+    rows = [(i, f"{common} x{i} y{i} z{i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near_dups._Search, whole = Search, near_dups._Search
+    try:
+        got = near_duplicates(docs).collect()
+    finally:
+        near_dups._Search = whole
+    assert all(r["component_id"] == r["doc_id"] for r in got) and sum(made) == 0
+
+
+def test_ids_of_another_type(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [("b", text), ("a", text + " end"), ("c", "x"), (None, text), ("d", None)]
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a": ("a", True), "b": ("a", False), "c": ("c", True), "d": ("d", True), None: (None, True)}
+
+
 def test_odd_rows(spark):
     rows = [(1, None, 0), (2, "", 0), (3, " \t", 0), (4, "A b", 0), (5, "a  B\n", 0), (6, "a c", 0), (6, "a c", 0), (None, "a b", 0), (7, "a b c d e " * 3000, 0), (8, "a b c d e " * 3000, 0)]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
