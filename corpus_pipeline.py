@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelgrid.llm.common import WORD, files_for, keep, table
+from labelgrid.llm.common import WORD, files_for, forget, keep, table, unpacked
 from labelgrid.llm.mixing import mix
 from labelgrid.llm.near_dups import near_duplicates
 from labelgrid.llm.packing import pack
@@ -24,7 +24,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below one half; the model is learned from the labelled ones among them."""
-    return score(docs, learn(docs, table(spark, sf_dir, "labels"))).where("score < 0.5").select(*docs.columns)
+    return score(docs, learn(docs, table(spark, sf_dir, "labels"))).where("score < 0.5").select(*unpacked(docs, "text"))
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +47,10 @@ def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of windows that an earlier document has; ``n_chars`` follows the text."""
     left = remove_repeats(docs)
-    if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return left.select(*docs.columns)
+    columns = dict(zip(docs.columns, unpacked(docs, "text"), strict=True))
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(columns["n_chars"]).alias("n_chars")
+    return left.select(*columns.values())
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
