@@ -12,17 +12,20 @@ becomes ``ln g - r * floor(ln w / r + b)``: of terms of weight 1 the one with th
 
 A fingerprint is ``SAMPLES`` bytes in hex, one byte of each sample; the chance agreement of two bytes is taken out of the likeness.
 
-Neighbours: documents go to ranges of ids, compressed, once; each range is streamed in order, and ends with a copy of the first
-document of the following range, so no task sees more than its range and no text is sent a second time.
+Neighbours: documents go to ranges of (id, hash of the text), compressed, once; each range is streamed in order, and ends with a
+copy of the first document of the following range, so no task sees more than its range and no text is sent a second time. At most
+``MAX_RANGES`` ranges are made, from a sample of bounded size that only decides how even they are. Rows without an id, or that
+repeat one, are spread by their texts; those with the same text too are one row with a number until they are given back.
 
 Null text counts as empty; an empty weighted set has the fingerprint of all zeros, and is like another empty one only. A null id
-stands after all others. Rows that repeat an id stand in the order of their compressed texts. An empty table gives an empty
-result; extra columns are not read.
+stands after all others. Rows that repeat an id stand in the order of their texts' hashes. Ids are of any type that has an order.
+An empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import files_for, forget, keep
 
 SAMPLES = 64
 #: terms taken at a time
@@ -127,18 +131,40 @@ def likeness(x: bytes, y: bytes) -> float:
     return max(0.0, (share - 1 / 256) / (1 - 1 / 256))
 
 
-#: rows of a range, about
-RANGE_ROWS = 4096
-_LAST = -(2**63)
+#: ranges for each file of an intermediate table, and at most; rows of the sample for each range
+RANGES_PER_FILE = 4
+MAX_RANGES = 20_000
+SAMPLED = 32
+#: rows of a batch that repeats one row
+REPEATED = 10_000
 
 
-def _ranges(docs: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest id of each of the ranges into which the ids are cut; one pair per range reaches the driver."""
-    ids = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("k"))
-    parts = max(1, -(-ids.count() // RANGE_ROWS))
-    rows = ids.repartitionByRange(parts, "k").groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("a"), F.max("k").alias("b")).collect()
-    pairs = sorted((r["a"], r["b"]) for r in rows)
-    return np.array([a for a, _ in pairs], np.int64), np.array([b for _, b in pairs], np.int64)
+def _order(k, th: int) -> tuple:  # noqa: ANN001
+    """The place of a row among all: nulls are least."""
+    return (False, 0, th) if k is None else (True, k, th)
+
+
+def _ranges(narrow: DataFrame, ranges: int) -> tuple[list[tuple], dict[int, tuple]]:
+    """Where ranges of (``k``, ``th``) begin, and the greatest row of each range that has any; both bounded by ``ranges``."""
+    rows = narrow.count()
+    share = min(1.0, ranges * SAMPLED / max(1, rows))
+    seen = sorted(_order(r["k"], r["th"]) for r in narrow.sample(share, seed=7).collect())
+    bounds = sorted({seen[i * len(seen) // ranges] for i in range(1, ranges)}) if seen else []
+    kind = narrow.schema["k"].dataType.simpleString()
+
+    def greatest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best: dict[int, tuple] = {}
+            for k, th in zip(batch.column("k").to_pylist(), batch.column("th").to_pylist(), strict=True):
+                place = _order(k, th)
+                at = bisect_right(bounds, place)
+                if at not in best or best[at] < place:
+                    best[at] = place
+            ks = pa.array([p[1] if p[0] else None for p in best.values()], batch.column("k").type)
+            yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), ks, pa.array([p[2] for p in best.values()], pa.int64())], ["at", "k", "th"])
+
+    most = narrow.mapInArrow(greatest, f"at int, k {kind}, th long").groupBy("at").agg(F.max(F.struct("k", "th")).alias("m")).collect()
+    return bounds, {r["at"]: _order(r["m"]["k"], r["m"]["th"]) for r in most}
 
 
 def edited(text: str, following: str) -> str:
@@ -149,10 +175,17 @@ def edited(text: str, following: str) -> str:
 
 def fingerprint_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness to each other and to the following document."""
-    schema = f"{key} {docs.schema[key].dataType.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    least, greatest = _ranges(docs, key)
-    if not len(least):
+    kind = docs.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    rows = docs.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), F.coalesce(text, F.lit("")).alias("text"))
+    files = files_for(docs) or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    narrow = keep(rows.select("k", "th"), files)
+    bounds, greatest = _ranges(narrow, min(MAX_RANGES, RANGES_PER_FILE * files))
+    forget(narrow)
+    if not greatest:
         return docs.sparkSession.createDataFrame([], schema)
+    filled = sorted(greatest)
+    following = dict(zip(filled, filled[1:] + filled[:1], strict=True))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -160,47 +193,57 @@ def fingerprint_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for part in K.slices(batch, "text"):
-                rows = []
-                for k, t in zip(part.column("k").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    z = pack((t or "").encode())
-                    at = int(np.searchsorted(least, k, "right")) - 1
-                    rows.append((at, 0, k, z))
-                    if k == greatest[at]:
-                        rows.append(((at + 1) % len(least), 1, k, z))
-                at, copy, k, z = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(copy, pa.int32()), pa.array(k, pa.int64()), pa.array(z, pa.binary())], ["at", "copy", "k", "z"])
+                alike: dict[tuple, int] = {}
+                for row in zip(*(part.column(c).to_pylist() for c in ("k", "th", "text")), strict=True):
+                    alike[row] = alike.get(row, 0) + 1
+                out = []
+                for (k, th, t), n in alike.items():
+                    z, place = pack(t.encode()), _order(k, th)
+                    at = bisect_right(bounds, place)
+                    out.append((at, 0, k, th, n, z))
+                    if place == greatest[at]:
+                        out.append((following[at], 1, k, th, 1, z))
+                kinds = [pa.int32(), pa.int32(), part.column("k").type, pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["at", "copy", "k", "th", "n", "z"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-
-        def run(keys: list[int], texts: list[str]) -> pa.RecordBatch:
-            """Rows for ``keys``; ``texts`` has one text more."""
-            changed = [edited(a, b) for a, b in zip(texts[:-1], texts[1:], strict=True)]
-            own, new = fingerprints(pa.array(texts, pa.large_string())), fingerprints(pa.array(changed, pa.large_string()))
-            kind = pa.int64()
-            ids = pa.array([None if k == _LAST else k for k in keys], kind)
-            return pa.RecordBatch.from_arrays(
-                [
-                    ids,
-                    pa.array([len(t) for t in texts[:-1]], pa.int64()),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
-                    pa.array([x.hex() for x in own[:-1]]),
-                    pa.array([x.hex() for x in new]),
-                    pa.array([likeness(x, y) for x, y in zip(own[:-1], new, strict=True)]),
-                    pa.array([likeness(x, y) for x, y in zip(own[:-1], own[1:], strict=True)]),
-                ],
-                [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-            )
-
-        keys: list[int] = []
+        key_type = None
+
+        def told(keys: list, texts: list[str], nexts: list[str], own: list[bytes], theirs: list[bytes]) -> pa.RecordBatch:
+            changed = [edited(a, b) for a, b in zip(texts, nexts, strict=True)]
+            new = fingerprints(pa.array(changed, pa.large_string()))
+            columns = [
+                pa.array(keys, key_type),
+                pa.array([len(t) for t in texts], pa.int64()),
+                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
+                pa.array([x.hex() for x in own]),
+                pa.array([x.hex() for x in new]),
+                pa.array([likeness(x, y) for x, y in zip(own, new, strict=True)]),
+                pa.array([likeness(x, y) for x, y in zip(own, theirs, strict=True)]),
+            ]
+            return pa.RecordBatch.from_arrays(columns, [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+
+        def run(keys: list, counts: list[int], texts: list[str]) -> Iterator[pa.RecordBatch]:
+            """Rows for ``keys``, ``counts`` of each; ``texts`` has one text more."""
+            own = fingerprints(pa.array(texts, pa.large_string()))
+            yield told(keys, texts[:-1], texts[1:], own[:-1], own[1:])
+            for i in [i for i, n in enumerate(counts) if n > 1]:  # all but the last of equal rows are followed by one like them
+                one = told(keys[i : i + 1], texts[i : i + 1], texts[i : i + 1], own[i : i + 1], own[i : i + 1])
+                for a in range(0, counts[i] - 1, REPEATED):
+                    yield one.take(pa.array(np.zeros(min(REPEATED, counts[i] - 1 - a), np.int32)))
+
+        keys: list = []
+        counts: list[int] = []
         texts: list[str] = []
         size, range_of, ended = 0, None, True
         for batch in batches:
-            for at, copy, k, z in zip(*(batch.column(c).to_pylist() for c in ("at", "copy", "k", "z")), strict=True):
+            key_type = batch.column("k").type
+            for at, copy, k, n, z in zip(*(batch.column(c).to_pylist() for c in ("at", "copy", "k", "n", "z")), strict=True):
                 if at != range_of:
-                    keys, texts, size, range_of, ended = [], [], 0, at, False
+                    keys, counts, texts, size, range_of, ended = [], [], [], 0, at, False
                 if ended:
                     continue
                 texts.append(unpack(z).decode("utf-8", "replace"))
@@ -209,12 +252,13 @@ def fingerprint_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text
                     ended = True
                 else:
                     keys.append(k)
+                    counts.append(n)
                 if keys and (ended or (size > 500_000 and len(keys) > 1)):
                     done = len(texts) - 1
-                    yield run(keys[:done], texts)
-                    keys, texts = keys[done:], texts[done:]
+                    yield from run(keys[:done], counts[:done], texts)
+                    keys, counts, texts = keys[done:], counts[done:], texts[done:]
                     size = len(texts[0])
 
-    dealt = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("k"), F.col(text).alias("text")).mapInArrow(deal, "at int, copy int, k long, z binary")
-    ordered = dealt.repartition("at").sortWithinPartitions("at", "copy", F.desc("k"), "z")
+    dealt = rows.mapInArrow(deal, f"at int, copy int, k {kind}, th long, n long, z binary")
+    ordered = dealt.repartition("at").sortWithinPartitions("at", "copy", F.desc_nulls_last("k"), F.desc("th"), "z")
     return ordered.mapInArrow(compare, schema)

@@ -6,11 +6,15 @@ boundary that its own share crosses. Documents stand in order of their size clas
 one large document of the target.
 
 The prefix sum needs no task that sees a whole source: ranks inside a source come from a histogram over (source, size class,
-bucket of ids), whose size is bounded by classes and buckets, plus a row number inside one bucket. The number of buckets
+bucket of ids and texts), whose size is bounded by classes and buckets, plus a row number inside one bucket. The number of buckets
 follows the square root of the number of rows, so neither the histogram of a source nor a bucket grows as fast as the rows.
 
+The targets of sources are prefix sums over one row per source, in one task that sorts (and spills) as many rows as there are
+sources.
+
 Null text has size 0. A source without words has target 0 and nothing is taken. A null source is a source of its own, last in
-order. An empty table gives an empty result. Rows that repeat a doc_id are sampled each, in a fixed order of their sizes.
+order. An empty table gives an empty result. Rows that repeat a doc_id are sampled each; they go to buckets by their texts too, so
+only rows that repeat both share one. Columns beside those named are not read.
 """
 
 from __future__ import annotations
@@ -60,16 +64,17 @@ def targets(sizes: DataFrame, source: str, *, weights: tuple = WEIGHTS, share: f
 def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, row: str | None = None, **rule) -> DataFrame:  # noqa: ANN003
     """``key``, ``source``, ``size``, ``source_size``, ``target`` and ``copies`` of every document, and its ``row`` if that column is named."""
     own = [row] if row else []
-    narrow = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), *own)
+    spread = hash32(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit("")))))
+    narrow = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), spread.alias("spread"), *own)
     sizes = keep(narrow.withColumn("class", F.when(F.col("size") > 0, F.floor(8 * F.log2(F.col("size").cast("double")))).otherwise(-1).cast("long")), files_for(docs))
     rates = targets(sizes, "source", **rule).select(F.col("source").alias("s"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
     buckets = max(1, math.ceil(math.sqrt(sizes.count()) / 8))
-    bucketed = sizes.withColumn("bucket", F.coalesce(hash32(F.col("id").cast("string")), F.lit(0)) % buckets)
+    bucketed = sizes.withColumn("bucket", F.col("spread") % buckets)
     cells = bucketed.groupBy("source", "class", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("source").orderBy("class", "bucket").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.select(F.col("source").alias("s"), F.col("class").alias("c"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     cells = cells.join(rates.withColumnRenamed("s", "r"), F.col("s").eqNullSafe(F.col("r"))).drop("r")
-    inside = W.partitionBy("source", "class", "bucket").orderBy(F.col("id").asc_nulls_last(), "size", *own)
+    inside = W.partitionBy("source", "class", "bucket").orderBy("spread", F.col("id").asc_nulls_last(), "size", *own)
     ranked = bucketed.withColumn("rank", F.row_number().over(inside))
     offset = hash32(F.coalesce(F.col("source"), F.lit("")), f"{seed}:") / F.lit(float(2**32))
     shared = F.floor(F.col("rate") * F.col("last") + F.col("u")) - F.floor(F.col("rate") * (F.col("last") - 1) + F.col("u"))
@@ -83,7 +88,8 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
 
 #: DuckDB, for the same rows as the query; ``{docs}`` names the input
 MIX_SQL = r"""
-sized AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size FROM {docs}),
+sized AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
+  ('0x' || substr(md5(concat(coalesce(doc_id::VARCHAR, ''), ':', md5(coalesce(text, '')))), 1, 8))::BIGINT AS spread FROM {docs}),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, ([3.0, 1.0, 2.0])[1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3]::DOUBLE AS w, 2.0::DOUBLE * source_size AS most FROM totals),
 leveled AS (
@@ -94,7 +100,7 @@ targets AS (SELECT source, source_size, CASE WHEN most <= w * level THEN most EL
 buckets AS (SELECT greatest(1, ceil(sqrt(count(*)) / 8)::BIGINT) AS b FROM sized),
 placed AS (
   SELECT s.*, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN size > 0 THEN floor(8 * log2(size::DOUBLE)) ELSE -1 END,
-    coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT, 0) % b, doc_id NULLS LAST, size)::DOUBLE AS last FROM sized s, buckets),
+    spread % b, spread, doc_id NULLS LAST, size)::DOUBLE AS last FROM sized s, buckets),
 rated AS (
   SELECT p.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
     ('0x' || substr(md5('17:' || coalesce(p.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u

@@ -62,10 +62,19 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    pages = sequences(text_pages(docs), key="doc_id", carry=("n_bytes",))
-    resolved = resolve(pages, read_back(store_texts(docs)), key="doc_id")
-    return resolved.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    media = read_back(store_texts(docs))
+    pages = sequences(text_pages(docs), key="page", carry=("doc_id", "n_bytes"))
+    # texts stay where they are: of them only sizes go along with the references
+    sizes = F.aggregate("items", F.lit(0), lambda n, x: n + F.coalesce(F.char_length(x["text"]), F.lit(0)))
+    slim = pages.select("page", "doc_id", "n_bytes", F.size("items").alias("n_items"), sizes.alias("text_chars"), F.filter("items", lambda x: x["digest"].isNotNull()).alias("items"))
+    found = resolve(slim, media, key="page")
+    own = [c for c in media.columns if c != "digest"]
+    one = found.groupBy("page", "doc_id", "n_bytes", "n_items", "text_chars").agg(
+        F.max(F.when(F.col("kind") == "image", F.struct(*own))).alias("image"),
+        F.array_sort(F.collect_list(F.struct("position", "kind", "caption", F.col("payload_bytes").alias("samples")))).alias("media"),
+    )
+    return one.select("doc_id", "n_bytes", "image.*", "n_items", "text_chars", "media")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-#: rows from which the frequent pre-tokens are learned; it decides which tier answers, never what is answered
+#: rows from which the frequent pre-tokens are learned, about, drawn from all partitions; it decides which tier answers, never
+#: what is answered, so a summary of the whole corpus would save next to nothing
 SAMPLE_ROWS = 2000
 SAMPLE_BYTES = 1 << 15
 FREQUENT = 1 << 16
@@ -151,8 +152,9 @@ class TwoTiers:
 
 
 def frequent(docs: DataFrame, text: str, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """The first tier, from at most ``SAMPLE_ROWS`` rows of at most ``SAMPLE_BYTES`` each; no row is shuffled for it."""
-    rows = docs.select(F.col(text).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).take(SAMPLE_ROWS)
+    """The first tier, from about ``SAMPLE_ROWS`` rows of at most ``SAMPLE_BYTES`` each; no row is shuffled for it."""
+    share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
+    rows = docs.select(F.col(text).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).sample(share, seed=11).collect()
     seen: Counter = Counter()
     spelled: dict[int, bytes] = {}
     for part in K.slices(pa.RecordBatch.from_arrays([pa.array([r["text"] for r in rows], pa.string())], ["text"]), "text"):
