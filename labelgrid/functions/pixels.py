@@ -59,14 +59,41 @@ def distorted(ordered: str, least: float = 8.0) -> str:
     return f"greatest({', '.join(gaps)}) >= {least}"
 
 
+#: least share of the image, weights of share and fill, confidence from which an image is cropped, margin around the packet
+PACKET_SHARE, PACKET_WEIGHTS, PACKET_SURE, PACKET_MARGIN = 0.15, (0.7, 0.3), 0.55, 0.03
+#: least share of the image of a quadrilateral by which it is straightened
+QUADRILATERAL_SHARE = 0.35
+
+
 def packet(contours: DataFrame) -> DataFrame:
-    """The best outline of each image (``image_id``, ``ord``, ``area``, ``w``, ``h``, ``image_area``): large and filled; and
-    whether it is sure enough to crop."""
-    some = contours.where("area >= image_area * 0.15 AND w * h > 0").withColumn("score", F.expr("area / image_area * 0.7D + area / (w * h) * 0.3D"))
+    """The best outline of each image (``image_id``, ``ord``, ``area``, ``w``, ``h``, ``image_area``): large and filled, the first among equals."""
+    some = contours.where(f"area >= image_area * {PACKET_SHARE} AND w * h > 0").withColumn("score", F.expr(f"area / image_area * {PACKET_WEIGHTS[0]}D + area / (w * h) * {PACKET_WEIGHTS[1]}D"))
     best = some.where("score > 0").groupBy("image_id").agg(F.max_by(F.struct("ord", "score"), F.struct("score", -F.col("ord"))).alias("b"))
     return best.select("image_id", "b.ord", "b.score")
 
 
+def packet_regions(contours: DataFrame, images: DataFrame) -> DataFrame:
+    """Where the packet is in every image: its outline with a margin if that is sure enough to ``crop``, else the whole image.
+
+    ``contours``: image_id, ord, x, y, w, h, area. ``images``: image_id, img_w, img_h. Without an outline the confidence is 0.
+    """
+    sized = contours.join(images.select("image_id", "img_w", "img_h"), "image_id").withColumn("image_area", (F.col("img_w") * F.col("img_h")).cast("double"))
+    best = packet(sized).join(contours.select("image_id", "ord", "x", "y", "w", "h"), ["image_id", "ord"])
+    page = images.select("image_id", "img_w", "img_h").join(best, "image_id", "left").withColumn("confidence", F.coalesce(F.least(F.lit(1.0), "score"), F.lit(0.0)))
+    page = page.withColumn("crop", F.col("confidence") >= PACKET_SURE).withColumns({f"m{c}": F.floor(F.col(c) * PACKET_MARGIN) for c in ("w", "h")})
+    low = lambda c, m: F.when(F.col("crop"), F.greatest(F.lit(0), F.col(c) - F.col(m))).otherwise(0).cast("int")
+    high = lambda c, s, m, most: F.when(F.col("crop"), F.least(F.col(most), F.col(c) + F.col(s) + F.col(m))).otherwise(F.col(most)).cast("int")
+    return page.select("image_id", low("x", "mw").alias("x1"), low("y", "mh").alias("y1"), high("x", "w", "mw", "img_w").alias("x2"), high("y", "h", "mh", "img_h").alias("y2"), "confidence", "crop")
+
+
+def quadrilaterals(contours: DataFrame) -> DataFrame:
+    """The largest outline with four points of each image, if it is large enough: ``image_id``, ``ord``, ``points``; the first among
+    equals. ``contours``: image_id, ord, area, image_area, points."""
+    some = contours.where(f"size(points) = 4 AND area >= image_area * {QUADRILATERAL_SHARE} AND area > 0")
+    best = some.groupBy("image_id").agg(F.max_by(F.struct("ord", "points"), F.struct("area", -F.col("ord"))).alias("b"))
+    return best.select("image_id", "b.ord", "b.points")
+
+
 def top_boxes(detections: DataFrame, least: float = 0.35) -> DataFrame:
     """The surest box of each class of a detector (``image_id``, ``class``, ``ord``, ``conf``), the first among equals."""
     sure = detections.where(F.col("conf") >= least)

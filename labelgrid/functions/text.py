@@ -71,17 +71,33 @@ def fuzzy(a: str, b: str) -> str:
     return f"greatest({ratio(a, b)}, {partial_ratio(a, b)})"
 
 
-def best_anchor(norm: str, anchors: list[str]) -> str:
-    """Struct ``score, anchor`` of the best match of a normalised text; the first of equals; anchor null if nothing scores."""
-    items = ", ".join(f"struct({quoted(n)} AS a, {i} AS i)" for i, n in enumerate(normalize_word(x) for x in anchors) if n)
-    score = f"CASE WHEN contains({norm}, x.a) OR contains(x.a, {norm}) THEN 100D ELSE {fuzzy(norm, 'x.a')} END"
-    best = f"array_max(transform(array({items}), x -> struct({score} AS score, -x.i AS i, x.a AS anchor)))"
-    return f"CASE WHEN {norm} = '' THEN struct(0D AS score, cast(null AS string) AS anchor) ELSE element_at(transform(array({best}), y -> struct(y.score AS score, CASE WHEN y.score > 0 THEN y.anchor END AS anchor)), 1) END"
+def pieces(word: str, least: float) -> list[str]:
+    """Stretches of a word, one of which any text holds that has it with a partial ratio of ``least`` or more: so few edits spare one."""
+    count = int((100 - least) / 100 * len(word) + 1e-9) + 1
+    edges = [len(word) * i // count for i in range(count + 1)]
+    return [word[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def matched_score(norm: str, anchors: list[str], least: float) -> str:
-    """The best score if it reaches ``least``, else 0."""
-    return f"element_at(transform(array({best_anchor(norm, anchors)}), z -> CASE WHEN z.score >= {least} THEN z.score ELSE 0D END), 1)"
+def best_anchor(norm: str, anchors: list[str], least: float | None = None) -> str:
+    """Struct ``score, anchor`` of the best match of a normalised text; the first of equals; anchor null if nothing scores.
+
+    With ``least``, scores below it count as 0. Then only anchors that can reach it are measured: those of about the text's length
+    or more, and those a piece of which it holds.
+    """
+    names = [n for n in (normalize_word(x) for x in anchors) if n]
+    measured = f"CASE WHEN contains({norm}, x.a) OR contains(x.a, {norm}) THEN 100D ELSE {fuzzy(norm, 'x.a')} END"
+    scored = f"x -> struct({measured} AS score, -x.i AS i, x.a AS anchor)"
+    if least is None:
+        items = "array(" + ", ".join(f"struct({quoted(n)} AS a, {i} AS i)" for i, n in enumerate(names)) + ")"
+        floor = "y.score > 0"
+    else:
+        items = "array(" + ", ".join(f"struct({quoted(n)} AS a, {i} AS i, {words(pieces(n, least))} AS p)" for i, n in enumerate(names)) + ")"
+        items = f"filter({items}, x -> length({norm}) * {least} <= length(x.a) * 100 OR exists(x.p, q -> contains({norm}, q)))"
+        floor = f"y.score >= {least}"
+    best = f"array_max(transform({items}, {scored}))"
+    score = "y.score" if least is None else f"CASE WHEN {floor} THEN y.score ELSE 0D END"
+    told = f"element_at(transform(array({best}), y -> struct({score} AS score, CASE WHEN {floor} THEN y.anchor END AS anchor)), 1)"
+    return f"CASE WHEN {norm} = '' THEN struct(0D AS score, cast(null AS string) AS anchor) ELSE {told} END"
 
 
 def regex(pattern: str) -> str:
@@ -104,9 +120,9 @@ def nutrition_row(norm: str) -> str:
     return f"struct({hits} AS hits, {unit} AS number_unit, CASE WHEN size({hits}) = 0 THEN false WHEN {unit} THEN ({near}) ELSE length({norm}) <= 24 AND {lead} END AS strong)"
 
 
-def section_boundary(norm: str) -> str:
-    """Struct ``is_stop, stop, score, reason``: whether a line begins another section."""
-    best = best_anchor(norm, V.SECTION_STOP_WORDS)
+def section_boundary(norm: str, best: str | None = None) -> str:
+    """Struct ``is_stop, stop, score, reason``: whether a line begins another section. ``best``: its best stop word, if known."""
+    best = best or best_anchor(norm, V.SECTION_STOP_WORDS)
     allergen = contains_any(norm, V.ALLERGEN_CONTEXT_WORDS)
     reason = f"""CASE WHEN b.score < {V.STOP_CONTEXT_SCORE} OR b.anchor IS NULL THEN 'no_match'
       WHEN b.anchor = 'contains' THEN CASE WHEN {allergen} THEN 'contains_with_allergen_context' ELSE 'contains_without_allergen_context' END
@@ -129,15 +145,5 @@ def garbage_share(text: str) -> str:
     return f"CASE WHEN {text} = '' THEN 1D ELSE regexp_count({text}, {quoted('(?U)' + V.GARBAGE)}) / cast(length({text}) AS double) END"
 
 
-def by_text(df: DataFrame, text: str, columns: dict[str, str]) -> DataFrame:
-    """``df`` with expressions of its text column, computed once for each distinct text.
-
-    Labels repeat their lines, so far fewer texts than lines are matched against the word lists.
-    """
-    distinct = df.select(F.col(text).alias("__t")).where(F.col("__t").isNotNull()).distinct()
-    scored = distinct.select("__t", *(F.expr(e.replace("{t}", "__t")).alias(n) for n, e in columns.items()))
-    return df.join(scored, df[text] == scored["__t"], "left").drop("__t")
-
-
 def column(expression: str) -> Column:
     return F.expr(expression)

@@ -16,31 +16,34 @@ def _clip3(expression: str) -> str:
     return f"bround(least(1D, greatest(0D, {expression})), 3)"
 
 
-def _headed(words: list[str], least: float = V.STOP_CONTEXT_SCORE) -> str:
-    return f"0.8D * {T.matched_score('{n}', words, least)} / 100D"
+def head_expressions() -> dict[str, str]:
+    """The best heading of each word list for a normal form ``n0``; scores that do not count are 0."""
+    lists = {"ingredients": (V.ALL_INGREDIENT_ANCHORS, V.ANCHOR_SCORE), "nutrition": (V.NUTRITION_ANCHORS, V.ANCHOR_SCORE), "stop": (V.SECTION_STOP_WORDS, V.STOP_CONTEXT_SCORE), "other": (V.OTHER_HEADINGS, V.STOP_CONTEXT_SCORE)}
+    lists |= {c: (words, V.STOP_CONTEXT_SCORE) for c, words in V.CLASS_WORDS.items()}
+    return {f"h_{k}": T.best_anchor("n0", words, least) for k, (words, least) in lists.items()}
 
 
 def score_expressions(vocabulary: list[str]) -> dict[str, str]:
-    """The nine scores and the score of other headings, over ``{t}`` (text) and ``{n}`` (normal form)."""
-    commas = "(length({t}) - length(replace({t}, ',', '')))"
+    """The nine scores and the score of other headings, over ``t0`` (text), ``n0`` (normal form) and the best headings."""
+    commas = "(length(t0) - length(replace(t0, ',', '')))"
     terms = [v.lower() for v in vocabulary if len(v) >= 4][:400]
-    hits = T.count_contained("{n}", terms) if terms else "0"
-    nutrients = T.count_contained("{n}", V.NUTRIENT_KEYWORDS)
-    numbers = f"regexp_count({{n}}, {T.regex(V.NUMERIC)})"
-    marketing = f"CASE WHEN {T.contains_any('{n}', V.MARKETING_WORDS)} THEN 0.3D ELSE 0D END"
+    hits = T.count_contained("n0", terms) if terms else "0"
+    nutrients = T.count_contained("n0", V.NUTRIENT_KEYWORDS)
+    numbers = f"regexp_count(n0, {T.regex(V.NUMERIC)})"
+    marketing = f"CASE WHEN {T.contains_any('n0', V.MARKETING_WORDS)} THEN 0.3D ELSE 0D END"
     out = {
-        "s_ingredients": f"""0.85D * {T.matched_score('{n}', V.ALL_INGREDIENT_ANCHORS, V.ANCHOR_SCORE)} / 100D
+        "s_ingredients": f"""0.85D * h_ingredients.score / 100D
           + CASE WHEN {commas} >= 2 THEN least(0.4D, 0.15D * {commas}) ELSE 0D END
-          + CASE WHEN {{t}} RLIKE {T.regex(V.PARENTHESIS)} THEN 0.15D ELSE 0D END + CASE WHEN {{n}} RLIKE {T.regex(V.PERCENTAGE)} THEN 0.2D ELSE 0D END
-          + CASE WHEN {{n}} RLIKE {T.regex(V.INS_NUMBER)} THEN 0.3D ELSE 0D END + least(0.35D, 0.1D * {hits})""",
-        "s_nutrition": f"""0.9D * {T.matched_score('{n}', V.NUTRITION_ANCHORS, V.ANCHOR_SCORE)} / 100D + least(0.45D, 0.15D * {nutrients})
-          + CASE WHEN {{n}} RLIKE {T.regex(V.NUMBER_UNIT)} THEN 0.35D ELSE 0D END + CASE WHEN {T.contains_any('{n}', V.SERVING_WORDS)} THEN 0.25D ELSE 0D END
+          + CASE WHEN t0 RLIKE {T.regex(V.PARENTHESIS)} THEN 0.15D ELSE 0D END + CASE WHEN n0 RLIKE {T.regex(V.PERCENTAGE)} THEN 0.2D ELSE 0D END
+          + CASE WHEN n0 RLIKE {T.regex(V.INS_NUMBER)} THEN 0.3D ELSE 0D END + least(0.35D, 0.1D * {hits})""",
+        "s_nutrition": f"""0.9D * h_nutrition.score / 100D + least(0.45D, 0.15D * {nutrients})
+          + CASE WHEN n0 RLIKE {T.regex(V.NUMBER_UNIT)} THEN 0.35D ELSE 0D END + CASE WHEN {T.contains_any('n0', V.SERVING_WORDS)} THEN 0.25D ELSE 0D END
           + CASE WHEN {numbers} >= 2 THEN least(0.2D, 0.08D * {numbers}) ELSE 0D END""",
     }
     for name, words in V.CLASS_WORDS.items():
-        out[f"s_{name}"] = f"{_headed(words)} + CASE WHEN {T.contains_any('{n}', words)} THEN 0.3D ELSE 0D END"
+        out[f"s_{name}"] = f"0.8D * h_{name}.score / 100D + CASE WHEN {T.contains_any('n0', words)} THEN 0.3D ELSE 0D END"
     out["s_other"] = marketing
-    out["other_score"] = f"{_headed(V.OTHER_HEADINGS)} + {marketing}"
+    out["other_score"] = f"0.8D * h_other.score / 100D + {marketing}"
     return {k: _clip3(e) for k, e in out.items()}
 
 
@@ -51,45 +54,31 @@ def _best(columns: list[str]) -> str:
     return f"CASE WHEN {top} = 0 THEN 'other' {cases} END"
 
 
-def on_texts(df: DataFrame, column: str, expressions: dict[str, str]) -> DataFrame:
+def on_texts(df: DataFrame, column: str, expressions: dict[str, str], first: dict[str, str] | None = None) -> DataFrame:
     """``df`` with expressions over a text column (``t0``) and its normal form (``n0``), each distinct text worked on once.
 
-    The exchange by text keeps the optimizer from working the normal form, or the results, into every place that reads them.
+    ``first`` are columns that the expressions use. The exchanges by text keep the optimizer from working the normal form, those
+    columns, or the results, into every place that reads them.
     """
     texts = df.select(F.coalesce(column, F.lit("")).alias("t0")).distinct().withColumn("n0", F.expr(T.normalize("t0"))).repartition("t0")
+    if first:
+        texts = texts.select("t0", "n0", *(F.expr(e).alias(k) for k, e in first.items())).repartition("t0")
     told = texts.select("t0", "n0", *(F.expr(e).alias(k) for k, e in expressions.items())).repartition("t0")
     return df.join(told, F.coalesce(df[column], F.lit("")) == told["t0"]).drop("t0").withColumnRenamed("n0", "norm_text")
 
 
-def _named(expressions: dict[str, str]) -> dict[str, str]:
-    return {k: e.replace("{t}", "t0").replace("{n}", "n0") for k, e in expressions.items()}
-
-
-def classify(lines: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Lines with nine scores, ``other_score`` and ``predicted_class``."""
-    return on_texts(lines, "text", _named(score_expressions(vocabulary))).withColumn("predicted_class", F.expr(_best(SCORES)))
-
-
-def signal_expressions(vocabulary: list[str]) -> dict[str, str]:
-    """Nutrition signals, section boundary, whether a vocabulary term is contained, and the scores as headings."""
+def describe(lines: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """Lines with nine scores, ``other_score`` and ``predicted_class``, and their signals: nutrition words, section boundary, whether
+    a vocabulary term is contained, the best ingredient and nutrition headings. One pass over the distinct texts."""
     terms = [v.lower() for v in vocabulary if len(v) >= 4]
-    return {
+    told = score_expressions(vocabulary) | {
         "row": T.nutrition_row("n0"),
-        "bound": T.section_boundary("n0"),
+        "bound": T.section_boundary("n0", "h_stop"),
         "has_term": T.contains_any("n0", terms) if terms else "false",
-        "ing_anchor": T.best_anchor("n0", V.ALL_INGREDIENT_ANCHORS),
-        "nut_anchor": T.best_anchor("n0", V.NUTRITION_ANCHORS),
+        "ing_anchor": "h_ingredients",
+        "nut_anchor": "h_nutrition",
     }
-
-
-def signals(lines: DataFrame, vocabulary: list[str]) -> DataFrame:
-    return on_texts(lines, "text", signal_expressions(vocabulary))
-
-
-def describe(lines: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Scores and signals together, in one pass over the distinct texts."""
-    both = _named(score_expressions(vocabulary)) | signal_expressions(vocabulary)
-    return on_texts(lines, "text", both).withColumn("predicted_class", F.expr(_best(SCORES)))
+    return on_texts(lines, "text", told, head_expressions()).withColumn("predicted_class", F.expr(_best(SCORES)))
 
 
 def block_type(norm: str, text: str, vocabulary: list[str]) -> str:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from labelgrid.functions import geometry as G
 from labelgrid.functions import vocab as V
-from labelgrid.plans.stage import stage
+from labelgrid.storage import stage
 
 from . import classify as C
 from . import lines as L
@@ -165,15 +167,33 @@ def candidates(clusters_of: DataFrame, blocks_of: DataFrame) -> DataFrame:
 
 
 class Layout:
-    """The layout of a set of pages; each part is a stage table."""
+    """The layout of a set of pages; each part is a stage table, made when it is first asked for."""
 
     def __init__(self, items: DataFrame, images: DataFrame, vocabulary: list[str]) -> None:
         self.images, self.vocabulary = images, vocabulary
         self.items = L.enrich(items)
-        self.unsplit = stage(L.reconstruct(self.items))
-        self.lines = stage(L.split_wide(self.unsplit, images))
-        described = C.describe(self.lines, vocabulary).withColumns({"hits": F.col("row.hits"), "unit": F.col("row.number_unit"), "ing_head": F.col("ing_anchor.score") >= V.ANCHOR_SCORE, "nut_head": F.col("nut_anchor.score") >= V.ANCHOR_SCORE})
-        self.classified = stage(columns(described, images))
-        self.blocks = blocks(self.classified, vocabulary)
-        self.clusters = clusters(self.classified)
-        self.candidates = stage(candidates(self.clusters, self.blocks))
+
+    @cached_property
+    def unsplit(self) -> DataFrame:
+        return stage(L.reconstruct(self.items))
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        return stage(L.split_wide(self.unsplit, self.images))
+
+    @cached_property
+    def classified(self) -> DataFrame:
+        described = C.describe(self.lines, self.vocabulary).withColumns({"hits": F.col("row.hits"), "unit": F.col("row.number_unit"), "ing_head": F.col("ing_anchor.score") >= V.ANCHOR_SCORE, "nut_head": F.col("nut_anchor.score") >= V.ANCHOR_SCORE})
+        return stage(columns(described, self.images))
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        return blocks(self.classified, self.vocabulary)
+
+    @cached_property
+    def clusters(self) -> DataFrame:
+        return clusters(self.classified)
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        return stage(candidates(self.clusters, self.blocks))

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from labelgrid.functions import geometry as G
 from labelgrid.functions import text as T
 from labelgrid.functions import vocab as V
-from labelgrid.plans.stage import stage
+from labelgrid.storage import stage
 
 PAGE = ["image_id"]
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from labelgrid.functions import text as T
 from labelgrid.functions import vocab as V
-from labelgrid.plans.stage import stage
+from labelgrid.storage import stage
 
 from . import lines as L
 
@@ -45,13 +45,23 @@ def match_terms(tokens: DataFrame, terms: DataFrame, token: str = "phrase", leas
     """``tokens`` with ``matched_name`` and ``similarity`` against ``terms`` (``ord``, ``canonical``, ``searchable``).
 
     An equal term scores 100, the first one. Else containment either way scores 85 for terms of more than three characters: the
-    last term longer than 85 % of the token if there is one, else the first term. Distinct tokens are matched once; the terms
-    are one array per knowledge base, whose size the caller bounds by giving one domain.
+    last term longer than 85 % of the token if there is one, else the first term. Distinct tokens are matched once. Candidates are
+    equi-joins: on the whole text, and on the first four characters of what is contained with the sequences of what contains it.
     """
     listed = terms.select(F.col("ord"), F.col("canonical"), F.lower("searchable").alias("s"))
     queries = tokens.select(F.col(token).alias("t0")).where(F.col("t0").isNotNull()).distinct().withColumn("q", F.lower(F.trim("t0")))
-    contained = (F.length("s") > 3) & (F.col("q").contains(F.col("s")) | F.col("s").contains(F.col("q")))
-    pairs = queries.where("q <> ''").join(listed, (F.col("q") == F.col("s")) | contained)
+    queries = queries.where("q <> ''").select("t0", "q")
+    grams = lambda c, n: F.expr(f"array_distinct(transform(sequence(1, length({c}) - {n} + 1), i -> substring({c}, i, {n})))")
+    long = listed.where(F.length("s") > 3)
+    # a term in a token: by the term's first four characters
+    inside = queries.where(F.length("q") > 3).select("t0", "q", F.explode(grams("q", 4)).alias("g")).join(long.withColumn("g", F.substring("s", 1, 4)), "g").where(F.col("q").contains(F.col("s")))
+    # a token in a term: by the token's first four characters, or all of a shorter one
+    starts = queries.withColumn("g", F.substring("q", 1, 4))
+    held = long.select("ord", "canonical", "s", F.explode(F.array_distinct(F.flatten(F.array(*[grams("s", n) for n in range(1, 5)])))).alias("g"))
+    around = starts.join(held, "g").where(F.col("s").contains(F.col("q")))
+    equal = queries.join(listed, F.col("q") == F.col("s"))
+    columns = ["t0", "q", "s", "ord", "canonical"]
+    pairs = equal.select(*columns).unionByName(inside.select(*columns)).unionByName(around.select(*columns))
     share = 100.0 * F.length("s") / F.greatest(F.length("q"), F.lit(1))
     best = pairs.groupBy("t0").agg(
         F.min(F.when(F.col("q") == F.col("s"), F.struct("ord", "canonical"))).alias("equal"),
@@ -117,25 +127,26 @@ def parse_strings(texts: DataFrame, key: str, text: str) -> DataFrame:
     return first.select(key, "nutrient", F.col("v.value").alias("value"), F.col("v.unit").alias("unit"))
 
 
-def cells(items: DataFrame) -> DataFrame:
-    """Table cells of each page: boxes of a line not further apart than the limit. ``items`` as from ``lines.enrich``."""
-    rows = L.with_median(L.reconstruct(items)).withColumn("limit", F.greatest(F.lit(25.0), F.col("med") * 1.5))
+def cells(lines: DataFrame) -> DataFrame:
+    """Table cells of each page, one row per line: boxes not further apart than the limit. ``lines`` as from ``lines.reconstruct``."""
+    rows = L.with_median(lines).withColumn("limit", F.greatest(F.lit(25.0), F.col("med") * 1.5))
     boxes = rows.select("image_id", "line_index", "limit", F.inline("items"))
-    parts = L.gap_parts(boxes, ["image_id", "line_index"], F.col("limit"))
-    return stage(L.assemble(parts, ["image_id", "line_index", "part"]).select("image_id", "line_index", "part", "text", F.lower("text").alias("low"), ((F.col("x1") + F.col("x2")) / 2.0).alias("cx")))
+    parts = L.assemble(L.gap_parts(boxes, ["image_id", "line_index"], F.col("limit")), ["image_id", "line_index", "part"])
+    cell = F.struct("part", F.lower("text").alias("low"), ((F.col("x1") + F.col("x2")) / 2.0).alias("cx"), "text")
+    by_line = parts.groupBy("image_id", "line_index").agg(F.array_sort(F.collect_list(cell)).alias("c"))
+    header = "exists(array({0}), h -> contains(line_text, h))".format(", ".join(T.quoted(h) for h in V.TABLE_HEADERS))
+    told = by_line.withColumn("line_text", F.expr("array_join(transform(c, x -> x.low), ' ')"))
+    return stage(told.select("image_id", "line_index", "c", F.expr(header).alias("is_header"), F.expr(nutrient_key("c[0].low")).alias("nutrient")))
 
 
-def table_columns(cells_of: DataFrame) -> DataFrame:
+def table_columns(rows: DataFrame) -> DataFrame:
     """``image_id``, ``x100``, ``xserving``: where the value columns stand, from headers or else the widest gap between values."""
-    header = "exists(array({0}), h -> contains(line_text, h))".format(", ".join(T.quoted(h) for h in V.TABLE_HEADERS))
-    rows = cells_of.groupBy("image_id", "line_index").agg(F.array_sort(F.collect_list(F.struct("part", "low", "cx"))).alias("c"))
-    rows = rows.withColumn("line_text", F.expr("array_join(transform(c, x -> x.low), ' ')")).withColumn("is_header", F.expr(header))
     per100 = "filter(c, x -> contains(x.low, '100'))"
     serving = "filter(c, x -> NOT contains(x.low, '100') AND exists(array('serving', 'serve', 'pkg', 'pack'), w -> contains(x.low, w)))"
     heads = rows.where("is_header").select("image_id", F.expr(f"transform({per100}, x -> x.cx)").alias("a"), F.expr(f"transform({serving}, x -> x.cx)").alias("b"))
     mean = "aggregate({0}, 0D, (s, x) -> s + x) / nullif(size({0}), 0)"
     heads = heads.groupBy("image_id").agg(F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("b")).alias("b")).select("image_id", F.expr(mean.format("a")).alias("h100"), F.expr(mean.format("b")).alias("hserving"))
-    values = rows.where(f"NOT is_header AND {nutrient_key('c[0].low')} IS NOT NULL AND size(c) > 1").select("image_id", F.explode(F.expr("transform(slice(c, 2, size(c)), x -> x.cx)")).alias("cx"))
+    values = rows.where("NOT is_header AND nutrient IS NOT NULL AND size(c) > 1").select("image_id", F.explode(F.expr("transform(slice(c, 2, size(c)), x -> x.cx)")).alias("cx"))
     order = W.partitionBy("image_id").orderBy("cx")
     ranked = values.withColumn("r", F.row_number().over(order)).withColumn("gap", F.lead("cx").over(order) - F.col("cx"))
     widest = F.max_by("r", F.struct("gap", -F.col("r"))).over(W.partitionBy("image_id"))
@@ -145,17 +156,14 @@ def table_columns(cells_of: DataFrame) -> DataFrame:
     return both.select("image_id", F.coalesce("h100", F.when(F.col("h100").isNull() | F.col("hserving").isNull(), F.col("v100"))).alias("x100"), F.coalesce("hserving", F.when(F.col("h100").isNull() | F.col("hserving").isNull(), F.col("vserving"))).alias("xserving"))
 
 
-def parse_tables(items: DataFrame) -> DataFrame:
+def parse_tables(lines: DataFrame) -> DataFrame:
     """Nutrients of each page's table: ``nutrient``, ``per_100g`` and ``per_serving`` (value, unit), and the leading value.
 
     A value goes to the nearer column (per 100 g if equally near); without both columns the first value is per 100 g, the second
     per serving. The last row of a nutrient counts, rows without a value cell do not.
     """
-    found = cells(items)
-    header = "exists(array({0}), h -> contains(line_text, h))".format(", ".join(T.quoted(h) for h in V.TABLE_HEADERS))
-    rows = found.groupBy("image_id", "line_index").agg(F.array_sort(F.collect_list(F.struct("part", "low", "cx", "text"))).alias("c"))
-    rows = rows.withColumn("line_text", F.expr("array_join(transform(c, x -> x.low), ' ')")).withColumn("nutrient", F.expr(nutrient_key("c[0].low")))
-    rows = rows.where(f"NOT {header} AND nutrient IS NOT NULL AND size(c) >= 2").join(table_columns(found), "image_id", "left")
+    found = cells(lines)
+    rows = found.where("NOT is_header AND nutrient IS NOT NULL AND size(c) >= 2").join(table_columns(found), "image_id", "left")
     values = rows.select("image_id", "line_index", "nutrient", "x100", "xserving", F.expr("size(c) > 2").alias("many"), F.expr("inline(slice(c, 2, size(c)))"))
     values = values.withColumns({"value": F.expr(_value("text")), "unit": F.expr(_unit("text"))}).where("value IS NOT NULL")
     near = "CASE WHEN x100 IS NOT NULL AND xserving IS NOT NULL THEN CASE WHEN abs(cx - xserving) < abs(cx - x100) THEN 'per_serving' ELSE 'per_100g' END WHEN many AND part = 2 THEN 'per_serving' ELSE 'per_100g' END"
@@ -170,9 +178,9 @@ def parse_tables(items: DataFrame) -> DataFrame:
     return last.select("image_id", "nutrient", F.col("r.per_100g").alias("per_100g"), F.col("r.per_serving").alias("per_serving"), lead.getField("value").alias("value"), lead.getField("unit").alias("unit"))
 
 
-def parse_nutrition(items: DataFrame, texts: DataFrame) -> DataFrame:
+def parse_nutrition(lines: DataFrame, texts: DataFrame) -> DataFrame:
     """Table mode, and string mode (``image_id``, ``text``) for pages where it finds nothing."""
-    table = stage(parse_tables(items))
+    table = stage(parse_tables(lines))
     rest = texts.join(table.select("image_id").distinct(), "image_id", "left_anti")
     cell = F.struct("value", "unit")
     told = parse_strings(rest, "image_id", "text").select("image_id", "nutrient", cell.alias("per_100g"), F.lit(None).cast("struct<value:double,unit:string>").alias("per_serving"), "value", "unit")

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 from labelgrid.functions import geometry as G
 from labelgrid.functions import vocab as V
-from labelgrid.plans.stage import stage
+from labelgrid.storage import stage
 
 from . import layout as Y
 from . import lines as L
@@ -151,7 +151,6 @@ REGION = ["image_id", "x1", "y1", "x2", "y2", "confidence", "anchor", "method",
 
 def _of_candidates(candidates: DataFrame, section: str) -> DataFrame:
     head = "ing_head" if section == "ingredients" else "nut_head"
-    first = f"CASE WHEN heading_score > 0 THEN element_at(transform(filter(lines, l -> l.{head}), l -> l.text), 1) END"
     first = f"CASE WHEN heading_score > 0 AND exists(lines, l -> l.{head}) THEN filter(lines, l -> l.{head})[0].text END"
     return candidates.where(F.col("type") == section).select("image_id", "x1", "y1", "x2", "y2", F.col("final_score").alias("confidence"), F.expr(first).alias("anchor"), "method", F.expr(_SCORED).alias("region"), "terms", "place")
 

@@ -476,3 +476,124 @@ kb AS ({P.TERMS_SQL}), food AS (SELECT ord, canonical, lower(searchable) AS s FR
 hit AS (SELECT q, ord, canonical, q = s AS same, 100.0 * length(s) / length(q) > 85 AS long FROM (SELECT DISTINCT phrase AS q FROM phrases) JOIN food ON q = s OR (length(s) > 3 AND (contains(q, s) OR contains(s, q)))),
 best AS (SELECT q, arg_min(canonical, ord) FILTER (WHERE same) AS e, arg_max(canonical, ord) FILTER (WHERE long AND NOT same) AS l, arg_min(canonical, ord) FILTER (WHERE NOT same) AS f FROM hit GROUP BY q)
 SELECT image_id, pos, phrase, {_norm('phrase')} AS normalized_text, coalesce(e, l, f) AS matched_name, CASE WHEN e IS NOT NULL THEN 1.0::DOUBLE WHEN f IS NOT NULL THEN 0.85::DOUBLE END AS confidence FROM phrases LEFT JOIN best ON phrase = q"""
+
+# regions made exclusive, plain tokens, packets
+
+_OVER_LINES = "SELECT i.image_id, img_w, img_h, seq, text, x1, y1, x2, y2, ((i.image_id * 3 + seq * 7) % 11)::DOUBLE / 10 AS ing, ((i.image_id * 5 + seq * 3) % 11)::DOUBLE / 10 AS nut, ((i.image_id + seq) % 9)::DOUBLE / 10 AS oth FROM items i JOIN images g ON g.image_id = i.image_id"
+_SAME = "a.image_id = b.image_id AND (a.text = b.text OR (a.x1 = b.x1 AND a.y1 = b.y1 AND a.x2 = b.x2 AND a.y2 = b.y2))"
+_TO_NUT = "(b.nut > a.ing OR (a.ing = b.nut AND length(a.text) <= 20))"
+
+
+def _foreign(x: str, own: str, other: str) -> str:
+    return f"(({x}.{other} > {x}.{own} + 0.3 AND {x}.{other} > 0.6) OR ({x}.oth > {x}.{own} + 0.3 AND {x}.oth > 0.7))"
+
+
+def _side(name: str, score: str, confidence: str) -> str:
+    """Box, confidence and lines of one side before and after."""
+    return f"""{name}_box AS (SELECT image_id, any_value(img_w) AS img_w, any_value(img_h) AS img_h, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, ({confidence})::DOUBLE / 100 AS confidence, string_agg(seq, ',' ORDER BY seq) AS lines FROM {name} GROUP BY image_id),
+{name}_mid AS (SELECT image_id, max({score}) >= 0.08 AS good, coalesce(median(y2 - y1) FILTER (WHERE y2 > y1), 20) AS h, string_agg(seq, ',' ORDER BY seq) AS lines FROM {name}_left GROUP BY image_id),
+{name}_tight AS (SELECT l.image_id, greatest(0, min(x1) - round_even(0.3::DOUBLE * any_value(h), 0)) AS x1, greatest(0, min(y1) - round_even(0.2::DOUBLE * any_value(h), 0)) AS y1, least(any_value(img_w), max(x2) + round_even(0.3::DOUBLE * any_value(h), 0)) AS x2, least(any_value(img_h), max(y2) + round_even(0.2::DOUBLE * any_value(h), 0)) AS y2, any_value(m.lines) AS lines
+  FROM {name}_left l JOIN {name}_mid m ON m.image_id = l.image_id WHERE NOT good OR {score} >= 0.08 GROUP BY l.image_id),
+{name}_end AS (SELECT b.image_id, CASE WHEN touched THEN coalesce(t.lines, '') ELSE b.lines END AS lines, CASE WHEN NOT touched THEN {_milli('b.confidence')} WHEN t.image_id IS NULL THEN 0 ELSE {_milli('greatest(0.05, b.confidence - 0.02)')} END AS confidence,
+  {', '.join(f'CASE WHEN touched THEN t.{c} ELSE b.{c} END::DOUBLE AS {c}' for c in ('x1', 'y1', 'x2', 'y2'))} FROM {name}_box b JOIN met USING (image_id) LEFT JOIN {name}_tight t ON t.image_id = b.image_id)"""
+
+
+SQL["o49_o101_reconciled"] = f"""WITH {ITEMS}, ing AS ({_OVER_LINES} WHERE seq >= 1 AND seq <= 3 + i.image_id % 7), nut AS ({_OVER_LINES} WHERE seq >= 1 AND seq >= 5 - i.image_id % 3 AND seq <= 9 + i.image_id % 7),
+ing_left AS (SELECT * FROM ing a WHERE NOT EXISTS (SELECT 1 FROM nut b WHERE {_SAME} AND {_TO_NUT}) AND NOT {_foreign('a', 'ing', 'nut')}),
+nut_left AS (SELECT * FROM nut b WHERE NOT EXISTS (SELECT 1 FROM ing a WHERE {_SAME} AND NOT {_TO_NUT}) AND NOT {_foreign('b', 'nut', 'ing')}),
+shared AS (SELECT DISTINCT a.image_id FROM ing a JOIN nut b ON {_SAME}),
+a AS (SELECT image_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM ing GROUP BY image_id), b AS (SELECT image_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM nut GROUP BY image_id),
+cut AS (SELECT a.image_id, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS s, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS u FROM a JOIN b ON a.image_id = b.image_id),
+met AS (SELECT c.image_id, s / (u - s) AS iou, s / (u - s) > {V.RECONCILE_IOU} OR h.image_id IS NOT NULL AS touched FROM cut c LEFT JOIN shared h ON h.image_id = c.image_id),
+{_side('ing', 'ing', '50 + image_id % 40')}, {_side('nut', 'nut', '1 + image_id % 80')}
+SELECT m.image_id, touched, {_milli('iou', 10**6)} AS iou, i.confidence AS ing_confidence, n.confidence AS nut_confidence, i.lines AS ing_lines, n.lines AS nut_lines, {', '.join(f'{s[0]}.{c} AS {s}_{c}' for s in ('ing', 'nut') for c in ('x1', 'y1', 'x2', 'y2'))}
+FROM met m JOIN ing_end i ON i.image_id = m.image_id JOIN nut_end n ON n.image_id = m.image_id"""
+
+_BARE = "lower(regexp_replace(trim(regexp_replace({0}, '\\s+', ' ', 'g')), '^[ .\\-]+|[ .\\-]+$', '', 'g'))"
+_RAW = "raw"
+for _pattern in ("\\([^)]*" + V.INS_CODE + "[^)]*\\)", V.PERCENT_TOKEN, V.INS_CODE, r"[()\[\]]"):
+    _RAW = f"regexp_replace({_RAW}, {_q(_pattern)}, ' ', 'gi')"
+SQL["o90_ingredient_tokens"] = f"""WITH RECURSIVE {SPLIT}, {_scored()},
+page AS (SELECT c.image_id, string_agg(c.text, ' ' ORDER BY c.line_id) AS t FROM cutlines c JOIN scored s ON {_norm('c.text')} = s.n WHERE {_TOP} > 0 AND s_ingredients = {_TOP} GROUP BY c.image_id),
+cut AS (SELECT image_id, unnest(p) AS raw, generate_subscripts(p, 1) AS i FROM (SELECT image_id, regexp_split_to_array(regexp_replace(trim(t), {_q(V.TOKEN_HEADING)}, '', 'gi'), '[;,]|\n+') AS p FROM page)),
+tokens AS (SELECT image_id, i, {_BARE.format(_RAW)} AS token FROM cut WHERE length(trim(raw)) > 0),
+good AS (SELECT * FROM tokens WHERE length(token) >= 2 AND NOT regexp_full_match(token, '[0-9.\\s]+')),
+words AS (SELECT DISTINCT {_norm('token')} AS n FROM good), {_best('halt', 'words', V.SECTION_STOP_WORDS)},
+firsts AS (SELECT image_id, token, min(i) AS spot FROM good JOIN halt ON {_norm('token')} = halt.n WHERE halt.score < {V.TOKEN_STOP_SCORE} GROUP BY image_id, token)
+SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY spot) - 1 AS pos, token FROM firsts"""
+
+_PACKETS = f"""raw_outlines AS (SELECT image_id, img_w, img_h, unnest(range(0, least(3, image_id % 4 + 1))) AS ord FROM images),
+outlines AS (SELECT *, 5 + image_id % 7 * 3 AS x, 4 + ord * 9 AS y, 300 + (image_id * 37 + ord * 91) % 700 AS w, 250 + (image_id * 53 + ord * 77) % 420 AS h FROM raw_outlines),
+rated AS (SELECT *, (w * h)::DOUBLE * (60 + (image_id + ord) % 5 * 10) / 100 AS area, (img_w * img_h)::DOUBLE AS image_area FROM outlines),
+ranked_outlines AS (SELECT *, area / image_area * 0.7::DOUBLE + area / (w * h) * 0.3::DOUBLE AS score, row_number() OVER (PARTITION BY image_id ORDER BY area / image_area * 0.7::DOUBLE + area / (w * h) * 0.3::DOUBLE DESC, ord) AS r FROM rated WHERE area >= image_area * 0.15::DOUBLE),
+packets AS (SELECT g.image_id, CASE WHEN sure THEN greatest(0, x - floor(w * 0.03::DOUBLE)) ELSE 0 END::INT AS x1, CASE WHEN sure THEN greatest(0, y - floor(h * 0.03::DOUBLE)) ELSE 0 END::INT AS y1, CASE WHEN sure THEN least(g.img_w, x + w + floor(w * 0.03::DOUBLE)) ELSE g.img_w END::INT AS x2,
+  CASE WHEN sure THEN least(g.img_h, y + h + floor(h * 0.03::DOUBLE)) ELSE g.img_h END::INT AS y2, conf, sure FROM images g LEFT JOIN ranked_outlines o ON o.image_id = g.image_id AND o.r = 1, LATERAL (SELECT coalesce(least(1, o.score), 0)::DOUBLE AS conf, coalesce(least(1, o.score), 0) >= 0.55 AS sure) z)"""
+SQL["p2_packet_regions"] = f"WITH {ITEMS}, {_PACKETS} SELECT image_id, x1, y1, x2, y2, {_milli('conf', 10**6)} AS confidence, sure AS crop FROM packets"
+SQL["p5_quadrilaterals"] = f"WITH {ITEMS}, r AS (SELECT image_id, seq AS ord, x2, row_number() OVER (PARTITION BY image_id ORDER BY (image_id * 7 + seq * 13) % 100 DESC, seq) AS k FROM items WHERE seq % 4 <> 1 AND (image_id * 7 + seq * 13) % 100 >= 35) SELECT image_id, ord, x2 AS right FROM r WHERE k = 1"
+
+# result documents: the regions above, the readings inside them, what is parsed from the best one
+
+_DOMAINS = f"domains AS (SELECT image_id, CASE WHEN {_count('t', V.PERSONAL_CARE_SIGNALS)} > {_count('t', V.FOOD_SIGNALS)} THEN 'personal_care' ELSE 'food' END AS domain FROM (SELECT image_id, string_agg({_norm('text')}, ' ' ORDER BY seq) AS t FROM items GROUP BY image_id))"
+_SCORING = _READ[_READ.index("joined AS") :]
+_READING_TEXT = "CASE WHEN variant = 'clahe' AND seq % 3 = 0 THEN replace(text, 'a', '#') WHEN variant = 'sharpened' AND seq % 5 = 0 THEN concat(text, ', salt 2 g') ELSE text END"
+_READING_CONFIDENCE = "confidence + 0.00037::DOUBLE + CASE variant WHEN 'original' THEN (i.image_id % 3) / 8 WHEN 'clahe' THEN (i.image_id % 5) / 16 ELSE 0 END + list_position(['original', 'clahe', 'sharpened', 'adaptive_threshold', 'denoised_clahe', 'sharpened_threshold'], variant) * 0.000113::DOUBLE"
+_NUTRIENT_TABLES = SQL["o71_o72_o92_nutrition_tables"].replace(ITEMS, "items AS (SELECT * FROM facts), images AS (SELECT * FROM pictures)").rsplit("SELECT image_id, nutrient, value_100g", 1)[0] + "SELECT * FROM tables"
+_NUTRIENT_STRINGS = SQL["o93_nutrition_strings"].replace(ITEMS, "items AS (SELECT * FROM facts)")
+assert _NUTRIENT_TABLES.count("FROM facts") == _NUTRIENT_STRINGS.count("FROM facts") == 1
+_RESULTS = f"""{ITEMS}, pictures AS (SELECT * FROM images), {_DOMAINS}, ing AS ({SQL['o28_o99_ingredient_regions']}), nut AS ({SQL['o100_nutrition_regions']}),
+regs AS (SELECT image_id, 'ingredient' AS section, x1, y1, x2, y2 FROM ing WHERE x1 IS NOT NULL UNION ALL SELECT image_id, 'nutrition', x1, y1, x2, y2 FROM nut WHERE x1 IS NOT NULL),
+variants AS (SELECT unnest(['original', 'clahe', 'sharpened', 'adaptive_threshold', 'denoised_clahe', 'sharpened_threshold']) AS variant),
+readings AS (SELECT i.image_id, section, variant, seq, {_READING_TEXT} AS text, {_READING_CONFIDENCE} AS confidence, i.x1, i.y1, i.x2, i.y2 FROM items i JOIN regs r ON r.image_id = i.image_id AND (i.x1 + i.x2) / 2 BETWEEN r.x1 AND r.x2 AND (i.y1 + i.y2) / 2 BETWEEN r.y1 AND r.y2, variants),
+{_SCORING},
+s AS (SELECT x.*, max(confidence) FILTER (WHERE variant = 'original') OVER (PARTITION BY image_id, section) AS own FROM scores x),
+turns AS (SELECT s.*, list_position({_TRIED}, variant) AS turn FROM s),
+chosen AS (SELECT r.image_id, r.section, r.variant, j.t FROM (SELECT *, row_number() OVER (PARTITION BY image_id, section ORDER BY score DESC, turn) AS r FROM turns WHERE turn > 0) r JOIN joined j USING (image_id, section, variant) WHERE r = 1),
+clean AS (SELECT image_id, {_STRIPPED} AS t FROM chosen WHERE section = 'ingredient'),
+chars AS (SELECT image_id, i, substr(t, i, 1) AS c FROM (SELECT image_id, t, unnest(range(1, length(t) + 1)) AS i FROM clean)),
+depth AS (SELECT *, sum(CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY image_id ORDER BY i) AS d FROM chars),
+piece AS (SELECT *, sum(CASE WHEN c IN (',', ';') AND d = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id ORDER BY i) AS p FROM depth),
+bare AS (SELECT image_id, p, trim(regexp_replace(regexp_replace(string_agg(c, '' ORDER BY i) FILTER (WHERE NOT (c IN (',', ';') AND d = 0)), '[.*:\\-\\s]+$', ''), '^[.*:\\-\\s]+', '')) AS phrase FROM piece GROUP BY image_id, p),
+phrases AS (SELECT b.image_id, p, phrase, domain FROM bare b JOIN domains d ON d.image_id = b.image_id WHERE length(phrase) >= 2),
+kb AS ({P.TERMS_SQL}), hit AS (SELECT q, t.domain, ord, canonical, q = s AS same, 100.0 * length(s) / length(q) > 85 AS long FROM (SELECT DISTINCT phrase AS q, domain FROM phrases) t JOIN (SELECT domain, ord, canonical, lower(searchable) AS s FROM kb) k ON k.domain = t.domain AND (q = s OR (length(s) > 3 AND (contains(q, s) OR contains(s, q))))),
+best AS (SELECT q, domain, arg_min(canonical, ord) FILTER (WHERE same) AS e, arg_max(canonical, ord) FILTER (WHERE long AND NOT same) AS l, arg_min(canonical, ord) FILTER (WHERE NOT same) AS f FROM hit GROUP BY q, domain),
+told AS (SELECT image_id, p, phrase, {_norm('phrase')} AS n, coalesce(e, l, f) AS name, CASE WHEN e IS NOT NULL THEN 1.0::DOUBLE WHEN f IS NOT NULL THEN 0.85::DOUBLE END AS confidence FROM phrases x LEFT JOIN best b ON phrase = q AND x.domain = b.domain),
+facts AS (SELECT r.image_id, seq, r.text, r.confidence, x1, y1, x2, y2 FROM readings r JOIN chosen c ON c.image_id = r.image_id AND c.section = r.section AND c.variant = r.variant WHERE r.section = 'nutrition'),
+in_tables AS ({_NUTRIENT_TABLES}), in_strings AS ({_NUTRIENT_STRINGS}),
+nutrients AS (SELECT image_id, nutrient, value_100g, unit_100g, value_serving, unit_serving FROM in_tables UNION ALL SELECT image_id, nutrient, value, unit, NULL, NULL FROM in_strings WHERE image_id NOT IN (SELECT image_id FROM in_tables)),
+quality AS ({SQL['o67_quality']}), {_PACKETS}"""
+
+
+def _cell(name: str, value: str, unit: str) -> str:
+    return f"""CASE WHEN {value} IS NULL THEN '' ELSE '"{name}":{{"value":' || {value}::VARCHAR || ',"unit":"' || {unit} || '"}},' END"""
+
+
+_LEAD_VALUE, _LEAD_UNIT = "coalesce(value_100g, value_serving)", "CASE WHEN value_100g IS NULL THEN unit_serving ELSE unit_100g END"
+_FACTS_JSON = f"""'{{' || string_agg('"' || nutrient || '":{{' || {_cell('per_100g', 'value_100g', 'unit_100g')} || {_cell('per_serving', 'value_serving', 'unit_serving')} || '"value":' || {_LEAD_VALUE}::VARCHAR || ',"unit":"' || {_LEAD_UNIT} || '"}}', ',' ORDER BY nutrient) || '}}'"""
+
+
+def _region_json(x: str) -> str:
+    return f"{{'bbox': CASE WHEN {x}.x1 IS NOT NULL THEN [{x}.x1, {x}.y1, {x}.x2, {x}.y2] END, 'confidence': {x}.confidence / 1000, 'anchor': {x}.anchor, 'method': {x}.method}}"
+
+
+_QUALITY_JSON = "{" + ", ".join(f"'{c}': q.{c} / 1000" for c in ("laplacian_variance", "brightness_mean", "contrast_std", "glare_ratio", "shadow_std")) + ", " + ", ".join(f"'{c}': q.{c}" for c in ("is_blurry", "is_too_dark", "is_too_bright")) + "}"
+SQL["o09_o103_result_json"] = f"""WITH RECURSIVE {_RESULTS},
+listed AS (SELECT image_id, list({{'ocr_text': phrase, 'normalized_text': n, 'matched_name': name, 'confidence': confidence}} ORDER BY p) AS l FROM told GROUP BY image_id),
+named AS (SELECT image_id, {_FACTS_JSON} AS j FROM nutrients GROUP BY image_id)
+SELECT d.image_id, left(head, -1) || ',"nutrition":' || CASE WHEN domain = 'food' AND cn.variant IS NOT NULL THEN coalesce(n.j, '{{}}') ELSE 'null' END || ',' || substr(tail, 2) AS value
+FROM domains d JOIN ing i ON i.image_id = d.image_id LEFT JOIN nut u ON u.image_id = d.image_id JOIN packets p ON p.image_id = d.image_id JOIN quality q ON q.image_id = d.image_id LEFT JOIN listed l ON l.image_id = d.image_id LEFT JOIN named n ON n.image_id = d.image_id
+LEFT JOIN chosen ci ON ci.image_id = d.image_id AND ci.section = 'ingredient' LEFT JOIN chosen cn ON cn.image_id = d.image_id AND cn.section = 'nutrition',
+LATERAL (SELECT to_json({{'image': concat('page_', d.image_id, '.png'), 'domain': domain, 'packet_detection': {{'bbox': [p.x1, p.y1, p.x2, p.y2], 'confidence': round(p.conf * 1000) / 1000}}, 'ingredients_region': {_region_json('i')},
+  'nutrition_region': CASE WHEN domain = 'food' THEN {_region_json('u')} END, 'ingredients': coalesce(l.l, [])}})::VARCHAR AS head, to_json({{'processing': {{'best_ingredient_variant': ci.variant, 'best_nutrition_variant': cn.variant}}, 'image_quality': {_QUALITY_JSON}}})::VARCHAR AS tail) z"""
+
+
+def _region_text(title: str, x: str) -> str:
+    box = f"CASE WHEN {x}.x1 IS NULL THEN 'None' ELSE concat('[', {x}.x1, ', ', {x}.y1, ', ', {x}.x2, ', ', {x}.y2, ']') END"
+    return f"concat('--- {title} Region ---', chr(10), 'bbox: ', {box}, chr(10), 'confidence: ', {x}.confidence / 1000, chr(10), 'anchor: ', coalesce({x}.anchor, 'None'), chr(10), 'method: ', {x}.method)"
+
+
+SQL["o10_result_text"] = f"""WITH RECURSIVE {_RESULTS},
+listed AS (SELECT image_id, string_agg(concat('  - ', phrase, '  ->  ', coalesce(name, '(no confident KB match)'), chr(10)), '' ORDER BY p) AS l FROM told GROUP BY image_id),
+named AS (SELECT image_id, string_agg(concat('  - ', nutrient, ': ', {_LEAD_VALUE}, ' ', {_LEAD_UNIT}, chr(10)), '' ORDER BY nutrient) AS l FROM nutrients GROUP BY image_id)
+SELECT d.image_id, concat('Result for: page_', d.image_id, '.png', chr(10), 'Domain: ', domain, chr(10), chr(10), {_region_text('Ingredients', 'i')}, chr(10), chr(10), 'Ingredients:', chr(10), coalesce(l.l, ''), chr(10),
+  CASE WHEN domain = 'food' THEN concat({_region_text('Nutrition', 'u')}, chr(10), chr(10), 'Nutrition facts:', chr(10), coalesce(n.l, concat('  (none extracted)', chr(10)))) ELSE concat('--- Nutrition Region ---', chr(10), '  skipped (personal_care domain)', chr(10)) END) AS value
+FROM domains d JOIN ing i ON i.image_id = d.image_id LEFT JOIN nut u ON u.image_id = d.image_id LEFT JOIN listed l ON l.image_id = d.image_id LEFT JOIN named n ON n.image_id = d.image_id"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from labelgrid import storage
 from labelgrid.functions import geometry as G
 from labelgrid.functions import pixels as X
 from labelgrid.functions import text as T
@@ -22,7 +23,7 @@ from labelgrid.operators import regions as R
 from labelgrid.sources import readers, writers
 
 from . import pages as P
-from .stage import stage
+from . import results as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _layouts: dict[tuple, Y.Layout] = {}
@@ -44,13 +45,20 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layout(spark: SparkSession, sf_dir: str) -> Y.Layout:
-    """The layout of all pages of a folder; its stage tables serve every query of a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The layout of all pages of a folder; its stage tables serve every query of a session, as long as the input is the same."""
+    key = (spark.sparkContext.applicationId, storage.signature(spark, f"{sf_dir}/part.parquet"))
     if key not in _layouts:
         _layouts[key] = Y.Layout(items(spark, sf_dir), images(spark, sf_dir), P.VOCABULARY)
     return _layouts[key]
 
 
+def forget(spark: SparkSession) -> None:
+    """Let go of all layouts and regions, and of their stage tables."""
+    _layouts.clear()
+    _regions.clear()
+    storage.clear(spark)
+
+
 def milli(c: F.Column | str, name: str, unit: int = 1000) -> F.Column:
     """A number as whole thousandths, so that engines agree on it."""
     return F.round((F.col(c) if isinstance(c, str) else c) * unit).cast("long").alias(name)
@@ -273,16 +281,18 @@ def o93_nutrition_strings(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @query
 def o71_o72_o92_nutrition_tables(spark, sf_dir):  # noqa: ANN001, ANN201
-    found = A.parse_nutrition(L.enrich(items(spark, sf_dir)), _page_text(spark, sf_dir))
+    found = A.parse_nutrition(layout(spark, sf_dir).unsplit, _page_text(spark, sf_dir))
     return found.select("image_id", "nutrient", F.col("per_100g.value").alias("value_100g"), F.col("per_100g.unit").alias("unit_100g"), F.col("per_serving.value").alias("value_serving"), "value", "unit")
 
 
+READ_AS = ["original", "clahe", "sharpened", "adaptive_threshold", "denoised_clahe", "sharpened_threshold"]
+READ_TEXT = "CASE WHEN variant = 'clahe' AND seq % 3 = 0 THEN replace(text, 'a', '#') WHEN variant = 'sharpened' AND seq % 5 = 0 THEN concat(text, ', salt 2 g') ELSE text END"
+READ_CONFIDENCE = "confidence + 0.00037D + CASE variant WHEN 'original' THEN (image_id % 3) / 8.0D WHEN 'clahe' THEN (image_id % 5) / 16.0D ELSE 0D END"
+
+
 def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    variants = "explode(array('original', 'clahe', 'sharpened', 'adaptive_threshold', 'denoised_clahe', 'sharpened_threshold'))"
-    i = items(spark, sf_dir).selectExpr("image_id", "seq", "text", "confidence", f"{variants} AS variant")
-    text = "CASE WHEN variant = 'clahe' AND seq % 3 = 0 THEN replace(text, 'a', '#') WHEN variant = 'sharpened' AND seq % 5 = 0 THEN concat(text, ', salt 2 g') ELSE text END"
-    confidence = "confidence + 0.00037D + CASE variant WHEN 'original' THEN (image_id % 3) / 8.0D WHEN 'clahe' THEN (image_id % 5) / 16.0D ELSE 0D END"
-    return i.selectExpr("image_id", "CASE image_id % 3 WHEN 0 THEN 'ingredient' WHEN 1 THEN 'nutrition' ELSE 'other' END AS section", "variant", "seq", f"{text} AS text", f"{confidence} AS confidence")
+    i = items(spark, sf_dir).selectExpr("image_id", "seq", "text", "confidence", f"explode(array({', '.join(map(T.quoted, READ_AS))})) AS variant")
+    return i.selectExpr("image_id", "CASE image_id % 3 WHEN 0 THEN 'ingredient' WHEN 1 THEN 'nutrition' ELSE 'other' END AS section", "variant", "seq", f"{READ_TEXT} AS text", f"{READ_CONFIDENCE} AS confidence")
 
 
 @query
@@ -331,11 +341,10 @@ _regions: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
 def regions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Both regions of every page, tight; nutrition is left out for personal care."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, storage.signature(spark, f"{sf_dir}/part.parquet"))
     if key not in _regions:
         y = layout(spark, sf_dir)
-        food = C.domain(y.items).where("domain = 'food'").select("image_id")
-        _regions[key] = stage(R.refine(R.detect_ingredients(y), "ingredients")), stage(R.refine(R.detect_nutrition(y).join(food, "image_id", "left_semi"), "nutrition"))
+        _regions[key] = S.tight_regions(y, S.domains_of(y))
     return _regions[key]
 
 
@@ -376,26 +385,60 @@ def o97_block_fallbacks(spark, sf_dir):  # noqa: ANN001, ANN201
     return both.select("image_id", "method", milli("confidence", "confidence"), "x1", "y1", "x2", "y2", F.size("region").cast("long").alias("lines"))
 
 
+def _overlapping(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Regions that meet: of every page the first boxes are ingredients and the later ones nutrition, with some in both."""
+    i = items(spark, sf_dir).where("seq >= 1").join(images(spark, sf_dir), "image_id")
+    line = "struct(y1, x1, seq AS line_id, text, x2, y2, y2 - y1 AS height, confidence, cast((image_id * 3 + seq * 7) % 11 AS double) / 10 AS ing, cast((image_id * 5 + seq * 3) % 11 AS double) / 10 AS nut, cast((image_id + seq) % 9 AS double) / 10 AS oth, cast(array() AS array<string>) AS hits, false AS has_term) AS line"
+    told = i.selectExpr("image_id", "img_w", "img_h", "seq", line)
+
+    def side(rows: DataFrame, confidence: str) -> DataFrame:
+        out = rows.groupBy("image_id", "img_w", "img_h").agg(F.array_sort(F.collect_list("line")).alias("region"))
+        box = [F.expr(f"{f}(transform(region, l -> l.{c}))").alias(c) for c, f in (("x1", "array_min"), ("y1", "array_min"), ("x2", "array_max"), ("y2", "array_max"))]
+        return out.select("image_id", "img_w", "img_h", *box, F.expr(confidence).alias("confidence"), "region")
+
+    shift = "image_id % 7"
+    return side(told.where(f"seq <= 3 + {shift}"), "cast(50 + image_id % 40 AS double) / 100"), side(told.where(f"seq >= 5 - image_id % 3 AND seq <= 9 + {shift}"), "cast(1 + image_id % 80 AS double) / 100")
+
+
 @query
 def o49_o101_reconciled(spark, sf_dir):  # noqa: ANN001, ANN201
-    i, n = regions(spark, sf_dir)
-    r = R.reconcile(i, n)
-    return r.select("image_id", "touched", "iou", F.col("ing.confidence").alias("ing_confidence"), F.col("nut.confidence").alias("nut_confidence"), F.size("ing.lines").alias("ing_lines"), F.size("nut.lines").alias("nut_lines"), F.col("ing.box.x1").alias("ing_x1"), F.col("nut.box.x1").alias("nut_x1"))
+    r = R.reconcile(*_overlapping(spark, sf_dir))
+    left = lambda n: F.array_join(F.transform(F.array_sort(F.transform(f"{n}.lines", lambda l: l["line_id"])), lambda x: x.cast("string")), ",").alias(f"{n}_lines")
+    box = [F.col(f"{n}.box.{c}").alias(f"{n}_{c}") for n in ("ing", "nut") for c in ("x1", "y1", "x2", "y2")]
+    return r.select("image_id", "touched", milli("iou", "iou", 10**6), milli("ing.confidence", "ing_confidence"), milli("nut.confidence", "nut_confidence"), left("ing"), left("nut"), *box)
+
+
+def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = images(spark, sf_dir).selectExpr("image_id", "explode(sequence(0, cast(image_id % 4 AS int))) AS ord").where("ord < 3")
+    sized = c.selectExpr("image_id", "ord", "5 + image_id % 7 * 3 AS x", "4 + ord * 9 AS y", "300 + (image_id * 37 + ord * 91) % 700 AS w", "250 + (image_id * 53 + ord * 77) % 420 AS h")
+    return X.packet_regions(sized.selectExpr("*", "cast(w * h AS double) * (60 + (image_id + ord) % 5 * 10) / 100 AS area"), images(spark, sf_dir))
+
+
+@query
+def p2_packet_regions(spark, sf_dir):  # noqa: ANN001, ANN201
+    return _packets(spark, sf_dir).select("image_id", "x1", "y1", "x2", "y2", milli("confidence", "confidence", 10**6), "crop")
+
+
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS image_id", "explode(sequence(0, 63)) AS i")
+    return X.quality(grid.selectExpr("image_id", "i div 8 AS y", "i % 8 AS x", "cast((image_id * 7 + (i div 8) * 31 * (image_id % 3) + (i % 8) * 17) % 256 AS int) AS v"))
+
+
+def _read_again(inside: DataFrame) -> DataFrame:
+    """Readings of the boxes of each region: what a recogniser would make of its enhanced images, no two of them equally sure."""
+    sure = f"{READ_CONFIDENCE} + array_position(array({', '.join(map(T.quoted, READ_AS))}), variant) * 0.000113D"
+    more = inside.selectExpr("image_id", "section", "seq", "text", "confidence", "x1", "y1", "x2", "y2", f"explode(array({', '.join(map(T.quoted, READ_AS))})) AS variant")
+    return more.selectExpr("image_id", "section", "variant", "seq", f"{READ_TEXT} AS text", f"{sure} AS confidence", "x1", "y1", "x2", "y2")
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pipeline: result documents of every page."""
     y = layout(spark, sf_dir)
-    domains = C.domain(y.items)
-    i, n = regions(spark, sf_dir)
-    merged = R.reconcile(i, n)
-    alone = i.join(n.select("image_id"), "image_id", "left_anti").select("image_id", F.struct(F.struct("x1", "y1", "x2", "y2").alias("box"), "confidence", F.col("region").alias("lines")).alias("ing"))
-    pages = merged.select("image_id", "ing", "nut").unionByName(alone, allowMissingColumns=True)
-    lines = pages.select("image_id", F.array_join(F.transform("ing.lines", lambda l: l["text"]), " ").alias("text"))
-    terms = spark.sql(P.TERMS_SQL)
-    told = [A.correct(lines.join(domains.where(F.col("domain") == d), "image_id", "left_semi"), terms.where(F.col("domain") == d), "image_id", "text") for d in ("food", "personal_care")]
-    nutrients = A.parse_nutrition(y.items, _page_text(spark, sf_dir))
-    return writers.documents(pages, domains, told[0].unionByName(told[1]), nutrients)
+    marks = images(spark, sf_dir).selectExpr("image_id", "explode(array('ingredient', 'nutrition')) AS section").selectExpr("image_id", "section", "image_id % 7 = 0 AS is_blurry", "image_id % 4 = 0 AS is_too_dark", "cast(30 + image_id % 40 AS double) AS contrast_std")
+    names = images(spark, sf_dir).selectExpr("image_id", "concat('page_', image_id, '.png') AS image")
+    measured = _quality(spark, sf_dir)
+    shown = measured.select("image_id", *((F.round(F.col(c) * 1000) / 1000).alias(c) for c in ("laplacian_variance", "brightness_mean", "contrast_std", "glare_ratio", "shadow_std")), "is_blurry", "is_too_dark", "is_too_bright")
+    return S.documents(y, S.domains_of(y), spark.sql(P.TERMS_SQL), names, regions=regions(spark, sf_dir), read=_read_again, reading_quality=marks, packets=_packets(spark, sf_dir), quality=shown)
 
 
 @query
@@ -442,9 +485,7 @@ def p1_working_sizes(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @query
 def o67_quality(spark, sf_dir):  # noqa: ANN001, ANN201
-    grid = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS image_id", "explode(sequence(0, 63)) AS i")
-    px = grid.selectExpr("image_id", "i div 8 AS y", "i % 8 AS x", "cast((image_id * 7 + (i div 8) * 31 * (image_id % 3) + (i % 8) * 17) % 256 AS int) AS v")
-    q = X.quality(px)
+    q = _quality(spark, sf_dir)
     return q.select("image_id", *(milli(c, c) for c in ("laplacian_variance", "brightness_mean", "contrast_std", "glare_ratio", "shadow_std")), "is_blurry", "is_too_dark", "is_too_bright")
 
 
@@ -461,3 +502,11 @@ def p5_corners(spark, sf_dir):  # noqa: ANN001, ANN201
     p = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey", f"CASE WHEN p_partkey % 2 = 0 THEN {pts} ELSE reverse({pts}) END AS pts")
     o = p.select("p_partkey", F.expr(X.corners("pts")).alias("o")).withColumn("warp", F.expr(X.distorted("o")))
     return o.select("p_partkey", F.expr("o.tl[0]").alias("tl_x"), F.expr("o.tr[1]").alias("tr_y"), F.expr("o.br[0]").alias("br_x"), F.expr("o.bl[1]").alias("bl_y"), "warp")
+
+
+@query
+def p5_quadrilaterals(spark, sf_dir):  # noqa: ANN001, ANN201
+    i = items(spark, sf_dir).selectExpr("image_id", "seq AS ord", "cast((image_id * 7 + seq * 13) % 100 AS double) AS area", "100D AS image_area", "x1", "y1", "x2", "y2", "seq % 4 = 1 AS five")
+    four = "array(x1, y1), array(x2, y1), array(x2, y2), array(x1, y2)"
+    c = i.selectExpr("image_id", "ord", "area", "image_area", f"CASE WHEN five THEN array({four}, array(x1, y1)) ELSE array({four}) END AS points")
+    return X.quadrilaterals(c).select("image_id", "ord", F.expr("points[2][0]").alias("right"))
