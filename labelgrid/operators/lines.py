@@ -42,10 +42,10 @@ def components(nodes: DataFrame, near: Column, keys: list[str], columns: list[st
     """``nodes`` (with ``i``) and ``root``, the smallest ``i`` of the connected component under the symmetric predicate ``near``.
 
     ``near`` speaks of two rows as ``a`` and ``b``. Pairs are an equi-join on the keys with ``near`` as its condition; the
-    links of a page are folded over an array of labels, which stays in the JVM.
+    links of a page are folded over an array of labels, which stays in the JVM; labels are rewritten once for each box at most.
+    Only the columns that ``near`` needs are staged; ``i`` must be the same whenever ``nodes`` is worked out.
     """
-    nodes = stage(nodes)
-    slim = nodes.select(*keys, "i", *columns)
+    slim = stage(nodes.select(*keys, "i", *columns))
     a, b = slim.alias("a"), slim.alias("b")
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
     links = a.join(b, [*same, F.col("a.i") < F.col("b.i"), near]).select(*(F.col(f"a.{k}").alias(k) for k in keys), F.struct(F.col("a.i").alias("a"), F.col("b.i").alias("b")).alias("link"))

@@ -173,7 +173,7 @@ def detect_ingredients(layout: Y.Layout) -> DataFrame:
     found = stage(_of_candidates(layout.candidates, "ingredients"))
     primary = found.where((F.col("place") == 0) & (F.col("confidence") >= V.PRIMARY))
     open_ = layout.classified.join(primary.select("image_id"), PAGE, "left_anti")
-    legacy = expand_ingredients(stage(open_), layout.images).withColumn("method", F.lit("anchor_expansion"))
+    legacy = expand_ingredients(open_, layout.images).withColumn("method", F.lit("anchor_expansion"))
     weak = found.join(primary.select("image_id"), PAGE, "left_anti").withColumn("anchor", F.lit(None).cast("string"))
     return stage(_ranked([(primary, F.col("place")), (legacy, F.col("anchor_no")), (weak, F.col("place"))], layout.images))
 
@@ -182,7 +182,7 @@ def detect_nutrition(layout: Y.Layout) -> DataFrame:
     """As ``detect_ingredients``, with headings, blocks and rows as fallbacks."""
     found = stage(_of_candidates(layout.candidates, "nutrition"))
     primary = found.where((F.col("place") == 0) & (F.col("confidence") >= V.PRIMARY))
-    open_ = stage(layout.classified.join(primary.select("image_id"), PAGE, "left_anti"))
+    open_ = layout.classified.join(primary.select("image_id"), PAGE, "left_anti")
     legacy = expand_nutrition(open_).withColumn("method", F.lit("anchor_expansion"))
     rows = nutrition_rows(open_).withColumns({"method": F.lit("table_geometry_fallback"), "anchor": F.lit(None).cast("string")})
     return stage(_ranked([(primary, F.col("place")), (legacy, F.col("anchor_no")), (block_fallback(layout.blocks).join(primary.select("image_id"), PAGE, "left_anti"), F.lit(0)), (rows, F.lit(0))], layout.images))
