@@ -51,6 +51,7 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the added one; rows that the table itself has for conv_id -7 are turns of it."""
     told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], told.schema)

@@ -270,7 +270,8 @@ class _Search:
     def spans(self, found: DataFrame, level: int = 0) -> DataFrame:
         """``p``, ``q``, ``id``, ``start``, ``end`` of what goes from the parents of the segments ``found``."""
         first = self.keep(found.groupBy("anchor", "segment").agg(F.min("id").alias("low"), F.max("n").alias("size")))
-        rivals = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("rivals"), F.sum(F.col("size") + WINDOW - 1).alias("total")).where("rivals > 1")
+        # kept by itself, so that the join's sides are plain exchanges and the segments of a hot anchor can be split among tasks
+        rivals = self.keep(first.groupBy("anchor").agg(F.count(F.lit(1)).alias("rivals"), F.sum(F.col("size") + WINDOW - 1).alias("total")).where("rivals > 1"))
         first = first.drop("size").join(rivals, "anchor", "left")
         # segments that an earlier document has whole
         same = found.drop("words").join(first, ["anchor", "segment"])
