@@ -4,9 +4,7 @@ Fixed values: results depend on each of them, and on their order.
 """
 
 INGREDIENT_ANCHORS = ["ingredients", "ingredient", "ingredients:", "ingredient:", "composition", "contents", "made from", "made with", "contains"]
-INGREDIENT_ANCHORS_HI = ["सामग्री", "सामग्रियां", "घटक"]
-PERSONAL_CARE_ANCHORS = ["ingredients", "composition", "key ingredients", "active ingredients", "other ingredients", "contains"]
-ALL_INGREDIENT_ANCHORS = list(dict.fromkeys(INGREDIENT_ANCHORS + INGREDIENT_ANCHORS_HI + PERSONAL_CARE_ANCHORS))
+ALL_INGREDIENT_ANCHORS = ["ingredients", "ingredient", "ingredients:", "ingredient:", "composition", "contents", "made from", "made with", "contains", "सामग्री", "सामग्रियां", "घटक", "key ingredients", "active ingredients", "other ingredients"]
 NUTRITION_ANCHORS = ["nutrition information", "nutritional information", "nutrition facts", "nutritional facts", "nutrition", "nutrient information", "nutrition facts panel"]
 NUTRIENT_KEYWORDS = [
     "energy", "calories", "protein", "total protein", "carbohydrate", "total carbohydrate", "total carbohydrates", "sugar", "total sugar", "total sugars",
@@ -106,17 +104,3 @@ RECONCILE_IOU = 0.15
 PADDING = 0.015
 SHORT_CIRCUIT = 0.88
 PRIMARY = 0.70
-
-# boxes of ten labelled images: ingredients, nutrition (None: the image has none)
-GROUND_TRUTH = {
-    "product.png": ([375, 541, 865, 634], [70, 559, 957, 1278]),
-    "product1.jpeg": ([56, 241, 281, 410], [56, 418, 281, 677]),
-    "product2.png": ([67, 340, 536, 464], None),
-    "product3.jpg": ([197, 578, 1056, 870], [10, 589, 794, 889]),
-    "product4.png": ([364, 483, 662, 723], [361, 292, 663, 569]),
-    "product5.jpg": ([535, 70, 902, 377], [75, 476, 919, 615]),
-    "product6.jpg": ([43, 18, 609, 243], None),
-    "product7.jpg": ([69, 124, 498, 301], [70, 312, 536, 403]),
-    "product8.jpg": ([115, 264, 567, 489], [129, 511, 559, 881]),
-    "product9.jpg": ([358, 336, 657, 447], None),
-}

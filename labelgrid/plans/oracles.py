@@ -218,7 +218,7 @@ SELECT image_id, section, variant, {_milli('score', 10**6)} AS score FROM ranked
 SQL["o104_full_page_readings"] = f"""WITH {_READ}, m AS (SELECT image_id, avg(confidence) FILTER (WHERE variant = 'original') AS own, avg(confidence) FILTER (WHERE variant = 'clahe') AS other, count(*) FILTER (WHERE variant = 'original') AS boxes FROM readings GROUP BY image_id)
 SELECT image_id, CASE WHEN own < 0.82 AND (image_id % 4 = 0 OR 30 + image_id % 40 < 35) AND other > own THEN 'clahe' ELSE 'original' END AS variant, boxes FROM m"""
 
-_TRUTH = ", ".join(f"({_q(k)}, {[float(x) for x in a]}, {'NULL' if b is None else [float(x) for x in b]})" for k, (a, b) in V.GROUND_TRUTH.items())
+_TRUTH = ", ".join(f"({_q(k)}, {[float(x) for x in v['ingredients']]}, {'NULL' if v['nutrition'] is None else [float(x) for x in v['nutrition']]})" for k, v in P.ground_truth().items())
 
 
 def _iou(f: str, t: str) -> str:
@@ -597,3 +597,13 @@ named AS (SELECT image_id, string_agg(concat('  - ', nutrient, ': ', {_LEAD_VALU
 SELECT d.image_id, concat('Result for: page_', d.image_id, '.png', chr(10), 'Domain: ', domain, chr(10), chr(10), {_region_text('Ingredients', 'i')}, chr(10), chr(10), 'Ingredients:', chr(10), coalesce(l.l, ''), chr(10),
   CASE WHEN domain = 'food' THEN concat({_region_text('Nutrition', 'u')}, chr(10), chr(10), 'Nutrition facts:', chr(10), coalesce(n.l, concat('  (none extracted)', chr(10)))) ELSE concat('--- Nutrition Region ---', chr(10), '  skipped (personal_care domain)', chr(10)) END) AS value
 FROM domains d JOIN ing i ON i.image_id = d.image_id LEFT JOIN nut u ON u.image_id = d.image_id LEFT JOIN listed l ON l.image_id = d.image_id LEFT JOIN named n ON n.image_id = d.image_id"""
+
+# files written from tables and read again
+
+_KB_ROWS = "SELECT p_partkey AS k, trim(p_name) AS canonical, concat(p_brand, '; ', p_type, ' / x', p_partkey % 7, CASE WHEN p_partkey % 5 = 0 THEN ' | |' ELSE '' END) AS alt FROM part WHERE p_partkey % 11 <> 3"
+SQL["o02_o53_kb_csv"] = f"""WITH kb AS ({_KB_ROWS}), alts AS (SELECT k, canonical, trim(a) AS a, i FROM (SELECT k, canonical, unnest(regexp_split_to_array(alt, '[;,/|]')) AS a, generate_subscripts(regexp_split_to_array(alt, '[;,/|]'), 1) AS i FROM kb) WHERE trim(a) <> ''),
+terms AS (SELECT k, 0 AS i, canonical, canonical AS searchable FROM kb UNION ALL SELECT k, i, canonical, a FROM alts)
+SELECT 'food' AS domain, row_number() OVER (ORDER BY k, i) - 1 AS ord, canonical, searchable FROM terms"""
+SQL["o03_o04_kb_xlsx"] = """WITH t AS (SELECT n_nationkey AS k, 0 AS i, n_name AS canonical, n_name AS searchable FROM nation UNION ALL SELECT n_nationkey, 1, n_name, concat('nation ', n_nationkey) FROM nation)
+SELECT 'personal_care' AS domain, row_number() OVER (ORDER BY k, i) - 1 AS ord, canonical, searchable FROM t"""
+SQL["o05_ground_truth"] = "SELECT concat(n_name, '.png') AS image, n_nationkey::DOUBLE AS left_, (n_nationkey + 7)::DOUBLE AS bottom, n_regionkey <> 2 AS has_nutrition FROM nation"

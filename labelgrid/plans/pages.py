@@ -6,6 +6,9 @@ misread, by integer arithmetic on the key. Only the input is shared between the
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 _INGREDIENTS = [
     "Ingredients: Wheat Flour (65%), Sugar,",
     "Palm Oil, Citric Acid (INS 330),",
@@ -104,3 +107,8 @@ TERMS = [
 ]
 VOCABULARY = [t for d, _, _, t in TERMS if d == "food"]
 TERMS_SQL = f"SELECT * FROM (VALUES {_values(TERMS)}) AS k(domain, ord, canonical, searchable)"
+
+
+def ground_truth() -> dict:
+    """Boxes of ten labelled images, by image: ``ingredients`` and ``nutrition`` (None: the image has none)."""
+    return json.loads(Path(__file__).with_name("ground_truth.json").read_text(encoding="utf-8"))

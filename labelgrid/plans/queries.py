@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -315,8 +316,15 @@ def o104_full_page_readings(spark, sf_dir):  # noqa: ANN001, ANN201
     return chosen.groupBy("image_id", "variant").agg(F.count(F.lit(1)).alias("boxes"))
 
 
+def _truth(spark: SparkSession, boxes: dict) -> DataFrame:
+    """Labelled boxes, written as one JSON object and read again."""
+    path = storage.fresh(spark)
+    spark.createDataFrame([(json.dumps(boxes),)], "value string").coalesce(1).write.text(path)
+    return readers.ground_truth(spark, path)
+
+
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    truth = Q.truth(spark)
+    truth = _truth(spark, P.ground_truth())
     moved = lambda c, d: F.transform(F.col(c), lambda x: x + d)
     runs = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("run"))
     return runs.crossJoin(F.broadcast(truth)).select(F.concat_ws("#", "image", F.col("run").cast("string")).alias("image"), "ingredients", "nutrition", moved("ingredients", F.col("run") % 50).alias("fi"), F.when(F.col("run") % 4 != 0, moved("nutrition", F.lit(-1) * (F.col("run") % 30))).alias("fn"))
@@ -510,3 +518,28 @@ def p5_quadrilaterals(spark, sf_dir):  # noqa: ANN001, ANN201
     four = "array(x1, y1), array(x2, y1), array(x2, y2), array(x1, y2)"
     c = i.selectExpr("image_id", "ord", "area", "image_area", f"CASE WHEN five THEN array({four}, array(x1, y1)) ELSE array({four}) END AS points")
     return X.quadrilaterals(c).select("image_id", "ord", F.expr("points[2][0]").alias("right"))
+
+
+@query
+def o02_o53_kb_csv(spark, sf_dir):  # noqa: ANN001, ANN201
+    path = storage.fresh(spark)
+    alt = "concat(p_brand, '; ', p_type, ' / x', p_partkey % 7, CASE WHEN p_partkey % 5 = 0 THEN ' | |' ELSE '' END)"
+    kb = spark.read.parquet(f"{sf_dir}/part.parquet").orderBy("p_partkey").selectExpr("p_partkey AS code", "CASE p_partkey % 11 WHEN 3 THEN 'NaN' ELSE concat(' ', p_name) END AS `Primary Name (EN)`", f"{alt} AS alt_names")
+    kb.coalesce(1).write.csv(path, header=True)
+    return readers.KnowledgeBase(spark, food_csv=path).terms("food")
+
+
+@query
+def o03_o04_kb_xlsx(spark, sf_dir):  # noqa: ANN001, ANN201
+    rows = [("ingredient", "alternate names"), *((r["n_name"], f"nation {r['n_nationkey']}") for r in spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect())]
+    book = storage.fresh(spark)
+    spark.createDataFrame([(writers.workbook(rows),)], "content binary").coalesce(1).write.parquet(book)
+    path = writers.write_bytes(spark.read.parquet(book), storage.fresh(spark), "kb.xlsx")
+    return readers.KnowledgeBase(spark, personal_care_xlsx=path).terms("personal_care")
+
+
+@query
+def o05_ground_truth(spark, sf_dir):  # noqa: ANN001, ANN201
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").collect()
+    boxes = {f"{r['n_name']}.png": {"ingredients": [r["n_nationkey"], 1, 2, r["n_nationkey"] + 7], "nutrition": None if r["n_regionkey"] == 2 else [0, 0, 1, 1]} for r in nations}
+    return _truth(spark, boxes).select("image", F.expr("ingredients[0]").alias("left_"), F.expr("ingredients[3]").alias("bottom"), F.col("nutrition").isNotNull().alias("has_nutrition"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,3 +86,29 @@ def write_debug(regions: DataFrame, path: str) -> None:
     """What each region was found by (anchor, method, its lines and terms), one JSON object per page and section."""
     wanted = [c for c in ("image_id", "section", "anchor", "method", "confidence", "region", "terms", "x1", "y1", "x2", "y2") if c in regions.columns]
     regions.select(F.to_json(F.struct(*wanted), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+
+
+def write_bytes(rows: DataFrame, folder: str, name: str) -> str:
+    """The one ``content`` of a table as a file, whose path is returned (crops and workbooks: small, and few)."""
+    spark = rows.sparkSession
+    path = f"{folder}/{name}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(rows.select("content").first()[0]))
+    finally:
+        out.close()
+    return path
+
+
+def workbook(rows: list[tuple]) -> bytes:
+    """A workbook of one sheet with texts."""
+    sheet = "".join("<row>" + "".join(f'<c r="{chr(65 + i)}{n}" t="inlineStr"><is><t>{escape(str(v))}</t></is></c>' for i, v in enumerate(row)) + "</row>" for n, row in enumerate(rows, 1))
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    links = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{links}"><sheets><sheet name="kb" sheetId="1" r:id="rId7"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId7" Type="{links}/worksheet" Target="worksheets/first.xml"/></Relationships>')
+        book.writestr("xl/worksheets/first.xml", f'<worksheet xmlns="{main}"><sheetData>{sheet}</sheetData></worksheet>')
+    return out.getvalue()
