@@ -59,10 +59,10 @@ def blocks(lines: DataFrame, vocabulary: list[str]) -> DataFrame:
     nodes = L.numbered(L.with_median(lines, COLUMN), COLUMN, "place")
     near = _close(F.col("a.med") * V.BLOCK_GAP, F.col("a.med") * V.BAND, V.BLOCK_OVERLAP)
     grouped = L.components(nodes, near, COLUMN, ["x1", "y1", "x2", "y2", "med"])
-    out = grouped.groupBy(*COLUMN, "root").agg(F.array_sort(F.collect_list(F.expr(LINE))).alias("lines"))
-    rect = [F.expr(f"{f}(transform(lines, l -> l.{c}))").alias(c) for c, f in (("x1", "array_min"), ("y1", "array_min"), ("x2", "array_max"), ("y2", "array_max"))]
+    rect = [F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2")]
+    out = grouped.groupBy(*COLUMN, "root").agg(F.array_sort(F.collect_list(F.expr(LINE))).alias("lines"), *rect)
     mean = [F.expr(f"bround(aggregate(lines, 0D, (s, l) -> s + l.{c}) / size(lines), 3)").alias(c) for c in C.SCORES]
-    out = out.select(*COLUMN, "root", "lines", *rect, F.expr("array_join(transform(lines, l -> l.text), ' ')").alias("text"), *mean)
+    out = out.select(*COLUMN, "root", "lines", "x1", "y1", "x2", "y2", F.expr("array_join(transform(lines, l -> l.text), ' ')").alias("text"), *mean)
     out = C.on_texts(out, "text", {"type": C.block_type("n0", "t0", vocabulary)}).withColumn("predicted_class", F.expr(C._best(C.SCORES)))
     order = W.partitionBy("image_id").orderBy("column_id", "y1", "x1", "root")
     return stage(out.withColumn("block_id", F.row_number().over(order) - 1).drop("root", "norm_text"))

@@ -69,31 +69,33 @@ def same_line(med: Column) -> Column:
     return level & alike & (G.horizontal_distance(a, b) <= med * V.LINE_H)
 
 
-MEMBERS = "struct(x1, seq, text, confidence, y1, x2, y2, height, polygon)"
-
-
-def assemble(members: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per group of boxes, from left to right: text, rectangle, mean confidence, outline."""
-    out = members.groupBy(*keys).agg(F.array_sort(F.collect_list(F.expr(MEMBERS))).alias("items"))
-    out = out.select(
-        *keys, "items", F.expr("array_join(transform(items, m -> m.text), ' ')").alias("text"),
-        *(F.expr(f"{f}(transform(items, m -> m.{c}))").alias(c) for c, f in (("x1", "array_min"), ("y1", "array_min"), ("x2", "array_max"), ("y2", "array_max"))),
-        F.expr("aggregate(items, 0D, (s, m) -> s + m.confidence) / size(items)").alias("mean_confidence"),
-        F.expr("array_min(transform(items, m -> m.seq))").alias("first_seq"),
-    )
-    outline = """CASE WHEN exists(items, m -> size(m.polygon) >= 4) THEN concat(
+MEMBERS = "x1, seq, text, confidence, y1, x2, y2, height"
+OUTLINE = """CASE WHEN exists(items, m -> size(m.polygon) >= 4) THEN concat(
         flatten(transform(filter(items, m -> size(m.polygon) >= 4), m -> array(m.polygon[0], m.polygon[1]))),
         flatten(transform(reverse(filter(items, m -> size(m.polygon) >= 4)), m -> array(m.polygon[2], m.polygon[3]))))
       ELSE array(array(x1, y1), array(x2, y1), array(x2, y2), array(x1, y2)) END"""
+
+
+def assemble(members: DataFrame, keys: list[str], outlines: bool = False) -> DataFrame:
+    """One row per group of boxes, from left to right: text, rectangle, mean confidence; with ``outlines`` the ``polygon`` around
+    them too (only who asks for it pays for carrying every corner)."""
+    one = F.expr(f"struct({MEMBERS}{', polygon' if outlines else ''})")
+    rect = [F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.min("seq").alias("first_seq")]
+    out = members.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("items"), *rect)
     r = G.rect()
-    return out.withColumns({"polygon": F.expr(outline), "cx": G.center_x(r), "cy": G.center_y(r), "width": G.width(r), "height": G.height(r)})
+    out = out.withColumns({
+        "text": F.expr("array_join(transform(items, m -> m.text), ' ')"),
+        "mean_confidence": F.expr("aggregate(items, 0D, (s, m) -> s + m.confidence) / size(items)"),
+        "cx": G.center_x(r), "cy": G.center_y(r), "width": G.width(r), "height": G.height(r),
+    })
+    return out.withColumn("polygon", F.expr(OUTLINE)) if outlines else out
 
 
-def reconstruct(items: DataFrame) -> DataFrame:
+def reconstruct(items: DataFrame, outlines: bool = False) -> DataFrame:
     """Lines of each page in reading order, with ``line_index``. ``items`` as from ``enrich``."""
     nodes = with_median(numbered(items, PAGE, "seq"), default=15.0)
     grouped = components(nodes, same_line(F.col("a.med")), PAGE, ["x1", "y1", "x2", "y2", "cy", "height", "med"])
-    lines = assemble(grouped, ["image_id", "root"]).drop("root")
+    lines = assemble(grouped, ["image_id", "root"], outlines).drop("root")
     banded = lines.withColumn("band", F.greatest(F.median("height").over(W.partitionBy("image_id")) * 0.5, F.lit(5.0)))
     order = W.partitionBy("image_id").orderBy(F.bround(F.col("y1") / F.col("band")), "x1", "first_seq")
     return banded.withColumn("line_index", F.row_number().over(order) - 1).drop("band")

@@ -163,7 +163,8 @@ def o34_line_classes(spark, sf_dir):  # noqa: ANN001, ANN201
 
 @query
 def o41_o58_lines(spark, sf_dir):  # noqa: ANN001, ANN201
-    return layout(spark, sf_dir).unsplit.select("image_id", "line_index", "text", "x1", "y1", "x2", "y2", F.size("items").cast("long").alias("boxes"), milli("mean_confidence", "mean_confidence", 10**6), F.size("polygon").cast("long").alias("corners"))
+    lines = L.reconstruct(L.enrich(items(spark, sf_dir)), outlines=True)
+    return lines.select("image_id", "line_index", "text", "x1", "y1", "x2", "y2", F.size("items").cast("long").alias("boxes"), milli("mean_confidence", "mean_confidence", 10**6), F.size("polygon").cast("long").alias("corners"))
 
 
 @query
