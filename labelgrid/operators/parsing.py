@@ -92,7 +92,7 @@ def ingredient_tokens(texts: DataFrame, key: str, text: str) -> DataFrame:
         token = f"regexp_replace({token}, {T.quoted('(?iU)' + pattern)}, ' ')"
     token = f"lower(regexp_replace(trim(regexp_replace({token}, '(?U)\\\\s+', ' ')), '^[ .\\\\-]+|[ .\\\\-]+$', ''))"
     clean = pieces.select(key, "pos", F.expr(token).alias("token")).where("length(token) >= 2 AND NOT token RLIKE '^[0-9.\\\\s]+$'")
-    stop = T.best_anchor("n0", V.SECTION_STOP_WORDS)
+    stop = T.best_anchor("n0", V.SECTION_STOP_WORDS, V.TOKEN_STOP_SCORE)
     from .classify import on_texts
 
     kept = on_texts(clean, "token", {"stop": stop}).where(F.col("stop.score") < V.TOKEN_STOP_SCORE)

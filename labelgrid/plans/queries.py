@@ -345,30 +345,34 @@ def o66_evaluation_means(spark, sf_dir):  # noqa: ANN001, ANN201
     return Q.summary(scored).select("images", milli("ingredients_iou", "ingredients_iou", 10**6), milli("nutrition_iou", "nutrition_iou", 10**6), milli("overall_iou", "overall_iou", 10**6))
 
 
-_regions: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+_regions: dict[tuple, DataFrame] = {}
 
 
-def regions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Both regions of every page, tight; nutrition is left out for personal care."""
-    key = (spark.sparkContext.applicationId, storage.signature(spark, f"{sf_dir}/part.parquet"))
+def region(spark: SparkSession, sf_dir: str, section: str) -> DataFrame:
+    """The region of a section of every page, tight; nutrition is left out for personal care."""
+    key = (spark.sparkContext.applicationId, storage.signature(spark, f"{sf_dir}/part.parquet"), section)
     if key not in _regions:
         y = layout(spark, sf_dir)
-        _regions[key] = S.tight_regions(y, S.domains_of(y))
+        _regions[key] = S.tight_ingredients(y) if section == "ingredients" else S.tight_nutrition(y, S.domains_of(y))
     return _regions[key]
 
 
+def regions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return region(spark, sf_dir, "ingredients"), region(spark, sf_dir, "nutrition")
+
+
 def _shown(df: DataFrame) -> DataFrame:
     return df.select("image_id", "x1", "y1", "x2", "y2", milli("confidence", "confidence"), "anchor", "method", F.size("region").cast("long").alias("lines"), F.array_join("terms", ",").alias("terms"), "refinement", "changed")
 
 
 @query
 def o28_o99_ingredient_regions(spark, sf_dir):  # noqa: ANN001, ANN201
-    return _shown(regions(spark, sf_dir)[0])
+    return _shown(region(spark, sf_dir, "ingredients"))
 
 
 @query
 def o100_nutrition_regions(spark, sf_dir):  # noqa: ANN001, ANN201
-    return _shown(regions(spark, sf_dir)[1])
+    return _shown(region(spark, sf_dir, "nutrition"))
 
 
 @query

@@ -27,10 +27,19 @@ def domains_of(layout: Y.Layout, forced: str = "auto") -> DataFrame:
     return found if forced == "auto" else found.withColumn("domain", F.lit(forced))
 
 
-def tight_regions(layout: Y.Layout, domains: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both regions of every page with their tight boxes; nutrition is left out for personal care."""
+def tight_ingredients(layout: Y.Layout) -> DataFrame:
+    """The ingredients region of every page with its tight box."""
+    return stage(R.refine(R.detect_ingredients(layout), "ingredients"))
+
+
+def tight_nutrition(layout: Y.Layout, domains: DataFrame) -> DataFrame:
+    """The nutrition region of every page with its tight box; personal care is left out."""
     food = domains.where(F.col("domain") == FOOD).select("image_id")
-    return stage(R.refine(R.detect_ingredients(layout), "ingredients")), stage(R.refine(R.detect_nutrition(layout).join(food, PAGE, "left_semi"), "nutrition"))
+    return stage(R.refine(R.detect_nutrition(layout).join(food, PAGE, "left_semi"), "nutrition"))
+
+
+def tight_regions(layout: Y.Layout, domains: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return tight_ingredients(layout), tight_nutrition(layout, domains)
 
 
 def final_regions(ingredients: DataFrame, nutrition: DataFrame) -> DataFrame:

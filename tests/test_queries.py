@@ -1,4 +1,4 @@
-"""Every query that has SQL gives the rows that DuckDB gives; the others run and give rows."""
+"""Every query gives the rows that DuckDB gives for its SQL."""
 
 import math
 import os
@@ -35,9 +35,8 @@ def test_against_sql(spark, db, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry(spark):
