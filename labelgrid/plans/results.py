@@ -23,8 +23,9 @@ FOOD, CARE = "food", "personal_care"
 
 def domains_of(layout: Y.Layout, forced: str = "auto") -> DataFrame:
     """``image_id``, ``domain``: as classified, or the one that is forced."""
-    found = C.domain(layout.items).select("image_id", "domain")
-    return found if forced == "auto" else found.withColumn("domain", F.lit(forced))
+    if forced != "auto":
+        return layout.items.select("image_id").distinct().withColumn("domain", F.lit(forced))
+    return stage(C.domain(layout.items).select("image_id", "domain"))
 
 
 def tight_ingredients(layout: Y.Layout) -> DataFrame:
