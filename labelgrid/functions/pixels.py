@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from labelgrid.storage import wide
+
 MIN_HEIGHT, MAX_SIDE = 1000, 2800
 VARIANTS = ["original", "gray", "clahe", "sharpened", "otsu", "adaptive_threshold", "denoised_clahe", "sharpened_threshold"]
 
@@ -26,7 +28,7 @@ def quality(pixels: DataFrame) -> DataFrame:
     """Quality of each image from its gray values (``image_id``, ``y``, ``x``, ``v``): blur from the Laplacian's variance with
     mirrored edges, brightness, contrast, glare, shadow from 4 x 4 block means, and the flags."""
     size = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    p = pixels.join(size, "image_id")
+    p = pixels.join(wide(size), "image_id")
     row, col = W.partitionBy("image_id", "y").orderBy("x"), W.partitionBy("image_id", "x").orderBy("y")
     near = lambda o: (F.coalesce(F.lag("v").over(o), F.lead("v").over(o), F.col("v")) + F.coalesce(F.lead("v").over(o), F.lag("v").over(o), F.col("v")))
     p = p.withColumn("lap", (near(row) + near(col) - 4 * F.col("v")).cast("double"))
@@ -35,7 +37,7 @@ def quality(pixels: DataFrame) -> DataFrame:
     blocks = p.where("br < 4 AND bc < 4").groupBy("image_id", "br", "bc").agg(F.avg("v").alias("m")).groupBy("image_id").agg(F.stddev_pop("m").alias("shadow_std"))
     told = p.groupBy("image_id").agg(F.var_pop("lap").alias("laplacian_variance"), F.avg("v").alias("brightness_mean"), F.stddev_pop("v").alias("contrast_std"), F.avg((F.col("v") > 250).cast("int")).alias("glare_ratio"))
     flags = {"is_blurry": F.col("laplacian_variance") < 60, "is_too_dark": F.col("brightness_mean") < 40, "is_too_bright": F.col("brightness_mean") > 235}
-    return told.join(blocks, "image_id", "left").withColumns(flags)
+    return told.join(wide(blocks), "image_id", "left").withColumns(flags)
 
 
 def skew(hough_angle: Column, hough_conf: Column, rect_angle: Column, rect_conf: Column) -> tuple[Column, Column, Column]:
@@ -77,9 +79,9 @@ def packet_regions(contours: DataFrame, images: DataFrame) -> DataFrame:
 
     ``contours``: image_id, ord, x, y, w, h, area. ``images``: image_id, img_w, img_h. Without an outline the confidence is 0.
     """
-    sized = contours.join(images.select("image_id", "img_w", "img_h"), "image_id").withColumn("image_area", (F.col("img_w") * F.col("img_h")).cast("double"))
-    best = packet(sized).join(contours.select("image_id", "ord", "x", "y", "w", "h"), ["image_id", "ord"])
-    page = images.select("image_id", "img_w", "img_h").join(best, "image_id", "left").withColumn("confidence", F.coalesce(F.least(F.lit(1.0), "score"), F.lit(0.0)))
+    sized = contours.join(wide(images.select("image_id", "img_w", "img_h")), "image_id").withColumn("image_area", (F.col("img_w") * F.col("img_h")).cast("double"))
+    best = packet(sized).join(wide(contours.select("image_id", "ord", "x", "y", "w", "h")), ["image_id", "ord"])
+    page = images.select("image_id", "img_w", "img_h").join(wide(best), "image_id", "left").withColumn("confidence", F.coalesce(F.least(F.lit(1.0), "score"), F.lit(0.0)))
     page = page.withColumn("crop", F.col("confidence") >= PACKET_SURE).withColumns({f"m{c}": F.floor(F.col(c) * PACKET_MARGIN) for c in ("w", "h")})
     low = lambda c, m: F.when(F.col("crop"), F.greatest(F.lit(0), F.col(c) - F.col(m))).otherwise(0).cast("int")
     high = lambda c, s, m, most: F.when(F.col("crop"), F.least(F.col(most), F.col(c) + F.col(s) + F.col(m))).otherwise(F.col(most)).cast("int")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labelgrid.functions import text as T
 from labelgrid.functions import vocab as V
+from labelgrid.storage import looked_up
 
 SCORES = [f"s_{c}" for c in V.CLASSES]
 
@@ -57,13 +58,13 @@ def _best(columns: list[str]) -> str:
 def on_texts(df: DataFrame, column: str, expressions: dict[str, str], first: dict[str, str] | None = None) -> DataFrame:
     """``df`` with expressions over a text column (``t0``) and its normal form (``n0``), each distinct text worked on once.
 
-    ``first`` are columns that the expressions use. The exchanges by text keep the optimizer from working the normal form, those
-    columns, or the results, into every place that reads them.
+    ``first`` are columns that the expressions use. The exchanges by text keep the optimizer from working the normal form or those
+    columns into every place that reads them, and the results are a stage table.
     """
     texts = df.select(F.coalesce(column, F.lit("")).alias("t0")).distinct().withColumn("n0", F.expr(T.normalize("t0"))).repartition("t0")
     if first:
         texts = texts.select("t0", "n0", *(F.expr(e).alias(k) for k, e in first.items())).repartition("t0")
-    told = texts.select("t0", "n0", *(F.expr(e).alias(k) for k, e in expressions.items())).repartition("t0")
+    told = looked_up(texts.select("t0", "n0", *(F.expr(e).alias(k) for k, e in expressions.items())))
     return df.join(told, F.coalesce(df[column], F.lit("")) == told["t0"]).drop("t0").withColumnRenamed("n0", "norm_text")
 
 

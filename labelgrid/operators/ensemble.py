@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labelgrid.functions import text as T
 from labelgrid.functions import vocab as V
+from labelgrid.storage import wide
 
 KEYS = ["image_id", "section", "variant"]
 
@@ -44,7 +45,7 @@ def choose(scored: DataFrame, quality: DataFrame) -> DataFrame:
       ELSE array('original', 'clahe', 'sharpened', 'adaptive_threshold') END""")
     every = F.array(*[F.lit(v) for v in ("original", "gray", "clahe", "sharpened", "otsu", "adaptive_threshold", "denoised_clahe", "sharpened_threshold")])
     sure = scored.where(F.col("variant") == "original").select("image_id", "section", (F.col("confidence") >= V.SHORT_CIRCUIT).alias("sure"))
-    plan = scored.join(quality, ["image_id", "section"], "left").join(sure, ["image_id", "section"], "left")
+    plan = scored.join(wide(quality), ["image_id", "section"], "left").join(wide(sure), ["image_id", "section"], "left")
     plan = plan.withColumn("tried", F.when(F.coalesce("sure", F.lit(False)), F.array(F.lit("original"))).otherwise(F.coalesce(wanted, every)))
     ran = plan.withColumn("turn", F.array_position("tried", F.col("variant"))).where("turn > 0")
     best = ran.groupBy("image_id", "section").agg(F.max_by(F.struct("variant", "score", "text", "confidence"), F.struct("score", -F.col("turn"))).alias("b"), F.count(F.lit(1)).alias("readings"))

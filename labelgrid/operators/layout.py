@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from labelgrid.functions import geometry as G
 from labelgrid.functions import vocab as V
-from labelgrid.storage import stage
+from labelgrid.storage import stage, wide
 
 from . import classify as C
 from . import lines as L
@@ -36,7 +36,7 @@ def split_columns(lines: DataFrame, keys: list[str] = PAGE, tie: str = "line_id"
 
 def with_gap(lines: DataFrame, images: DataFrame) -> DataFrame:
     """``lines`` with ``page_med`` and ``min_gap``, the width of white that separates columns."""
-    measured = L.with_median(lines, name="page_med").join(images.select("image_id", "img_w"), PAGE)
+    measured = L.with_median(lines, name="page_med").join(wide(images.select("image_id", "img_w")), PAGE)
     return measured.withColumn("min_gap", F.col("img_w") * F.least(F.lit(V.COLUMN_GAP), F.col("page_med") * 0.8 / F.col("img_w"))).drop("img_w")
 
 
@@ -81,7 +81,7 @@ def clusters(lines: DataFrame) -> DataFrame:
     grouped = L.components(L.numbered(long, keys, "place"), near, keys, ["x1", "y1", "x2", "y2", "page_med"])
     spans = grouped.groupBy(*keys, "root").agg(F.min("y1").alias("top"), F.max_by("y2", F.struct("y1", "x1", "place")).alias("bottom"))
     inside = (G.center_y(G.rect("l.")) >= F.col("s.top") - 2.0) & (G.center_y(G.rect("l.")) <= F.col("s.bottom") + 2.0)
-    pairs = spans.alias("s").join(scored.alias("l"), [F.col("s.image_id") == F.col("l.image_id"), F.col("s.column_id") == F.col("l.column_id")])
+    pairs = spans.alias("s").join(wide(scored.alias("l")), [F.col("s.image_id") == F.col("l.image_id"), F.col("s.column_id") == F.col("l.column_id")])
     filled = pairs.where(inside).select("s.image_id", "s.column_id", "s.class", "s.root", F.struct("l.*").alias("l"))
     flat = filled.select("image_id", "column_id", "class", "root", *(F.col(f"l.{c}").alias(c) for c in [*CARRIED, "page_med"]))
     out = flat.groupBy(*keys, "root").agg(
@@ -94,9 +94,9 @@ def clusters(lines: DataFrame) -> DataFrame:
     held = F.expr("exists(c.lines, x -> x.x1 = l.x1 AND x.y1 = l.y1 AND x.x2 = l.x2 AND x.y2 = l.y2)")
     best = F.when(F.col("c.class") == "ingredients", F.col("l.ing_anchor.score")).otherwise(F.col("l.nut_anchor.score"))
     score = F.when(best >= V.ANCHOR_SCORE, best).otherwise(0.0)
-    near_lines = out.alias("c").join(scored.alias("l"), [F.col("c.image_id") == F.col("l.image_id"), F.col("c.column_id") == F.col("l.column_id")]).where(held | above)
+    near_lines = out.alias("c").join(wide(scored.alias("l")), [F.col("c.image_id") == F.col("l.image_id"), F.col("c.column_id") == F.col("l.column_id")]).where(held | above)
     heading = near_lines.groupBy("c.image_id", "c.column_id", "c.class", "c.root").agg((F.max(score) / 100.0).alias("heading"))
-    out = out.join(heading, [*keys, "root"], "left").withColumn("heading", F.coalesce("heading", F.lit(0.0)))
+    out = out.join(wide(heading), [*keys, "root"], "left").withColumn("heading", F.coalesce("heading", F.lit(0.0)))
     semantic = "CASE class " + " ".join(f"WHEN '{c}' THEN aggregate(lines, 0D, (s, l) -> s + l.s_{c}) / size(lines)" for c in V.CLUSTERED) + " END"
     mean = "(aggregate(lines, 0D, (s, l) -> s + l.height) / size(lines))"
     spread = f"sqrt(aggregate(lines, 0D, (s, l) -> s + (l.height - {mean}) * (l.height - {mean})) / size(lines))"

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from labelgrid.functions import geometry as G
 from labelgrid.functions import text as T
 from labelgrid.functions import vocab as V
-from labelgrid.storage import stage
+from labelgrid.storage import stage, wide
 
 PAGE = ["image_id"]
 
@@ -48,12 +48,12 @@ def components(nodes: DataFrame, near: Column, keys: list[str], columns: list[st
     slim = stage(nodes.select(*keys, "i", *columns))
     a, b = slim.alias("a"), slim.alias("b")
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    links = a.join(b, [*same, F.col("a.i") < F.col("b.i"), near]).select(*(F.col(f"a.{k}").alias(k) for k in keys), F.struct(F.col("a.i").alias("a"), F.col("b.i").alias("b")).alias("link"))
+    links = a.join(wide(b), [*same, F.col("a.i") < F.col("b.i"), near]).select(*(F.col(f"a.{k}").alias(k) for k in keys), F.struct(F.col("a.i").alias("a"), F.col("b.i").alias("b")).alias("link"))
     sizes = slim.groupBy(*keys).agg(F.max("i").alias("last"))
-    folded = sizes.join(links.groupBy(*keys).agg(F.array_sort(F.collect_list("link")).alias("links")), keys, "left")
+    folded = sizes.join(wide(links.groupBy(*keys).agg(F.array_sort(F.collect_list("link")).alias("links"))), keys, "left")
     label = """aggregate(coalesce(links, cast(array() AS array<struct<a:int,b:int>>)), sequence(0, last), (l, e) ->
         CASE WHEN l[e.a] = l[e.b] THEN l ELSE transform(l, x -> CASE WHEN x = greatest(l[e.a], l[e.b]) THEN least(l[e.a], l[e.b]) ELSE x END) END)"""
-    return nodes.join(folded.select(*keys, F.posexplode(F.expr(label)).alias("i", "root")), [*keys, "i"])
+    return nodes.join(wide(folded.select(*keys, F.posexplode(F.expr(label)).alias("i", "root"))), [*keys, "i"])
 
 
 def _pair(prefix: str) -> tuple:
@@ -103,7 +103,7 @@ def reconstruct(items: DataFrame, outlines: bool = False) -> DataFrame:
 
 def group_boxes(items: DataFrame, images: DataFrame) -> DataFrame:
     """Simpler lines: boxes that overlap vertically and stand close, in (y, x) order."""
-    nodes = with_median(numbered(items, PAGE, "seq")).join(images.select("image_id", "img_w"), PAGE)
+    nodes = with_median(numbered(items, PAGE, "seq")).join(wide(images.select("image_id", "img_w")), PAGE)
     nodes = nodes.withColumn("gap", F.least(F.col("med") * V.GROUP_H, F.col("img_w") * V.GROUP_WIDTH))
     near = (G.vertical_overlap_ratio(_pair("a"), _pair("b")) >= V.LINE_OVERLAP) & (G.horizontal_distance(_pair("a"), _pair("b")) <= F.col("a.gap"))
     lines = assemble(components(nodes, near, PAGE, ["x1", "y1", "x2", "y2", "gap"]), ["image_id", "root"]).drop("root")
@@ -126,7 +126,7 @@ def gap_parts(members: DataFrame, keys: list[str], limit: Column) -> DataFrame:
 
 def split_wide(lines: DataFrame, images: DataFrame) -> DataFrame:
     """Lines cut at wide gaps. Only the parts of a cut line have ``confidence``; ``line_id`` is the new order."""
-    measured = with_median(lines).join(images.select("image_id", "img_w"), PAGE)
+    measured = with_median(lines).join(wide(images.select("image_id", "img_w")), PAGE)
     limit = F.greatest(F.lit(25.0), F.least(F.col("img_w") * 0.05, F.col("med") * 1.2))
     boxes = measured.select("image_id", "line_index", "med", "img_w", F.inline("items"))
     parts = gap_parts(boxes, ["image_id", "line_index"], limit)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from labelgrid.functions import text as T
 from labelgrid.functions import vocab as V
-from labelgrid.storage import stage
+from labelgrid.storage import looked_up, stage, wide
 
 from . import lines as L
 
@@ -70,7 +70,7 @@ def match_terms(tokens: DataFrame, terms: DataFrame, token: str = "phrase", leas
     )
     score = F.when(F.col("equal").isNotNull(), 100.0).when(F.col("any_").isNotNull(), 85.0).otherwise(0.0)
     name = F.coalesce("equal.canonical", "long.canonical", "any_.canonical")
-    told = best.select("t0", F.when(score >= max(least, V.KB_FLOOR), name).alias("matched_name"), score.alias("similarity"))
+    told = looked_up(best.select("t0", F.when(score >= max(least, V.KB_FLOOR), name).alias("matched_name"), score.alias("similarity")))
     return tokens.join(told, tokens[token] == told["t0"], "left").drop("t0").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
 
 
@@ -152,7 +152,7 @@ def table_columns(rows: DataFrame) -> DataFrame:
     widest = F.max_by("r", F.struct("gap", -F.col("r"))).over(W.partitionBy("image_id"))
     widths = F.max("gap").over(W.partitionBy("image_id"))
     split = ranked.withColumn("at", widest).withColumn("wide", widths).where("wide > 30").groupBy("image_id").agg(F.avg(F.when(F.col("r") <= F.col("at"), F.col("cx"))).alias("v100"), F.avg(F.when(F.col("r") > F.col("at"), F.col("cx"))).alias("vserving"))
-    both = heads.join(split, "image_id", "full")
+    both = heads.join(wide(split), "image_id", "full")
     return both.select("image_id", F.coalesce("h100", F.when(F.col("h100").isNull() | F.col("hserving").isNull(), F.col("v100"))).alias("x100"), F.coalesce("hserving", F.when(F.col("h100").isNull() | F.col("hserving").isNull(), F.col("vserving"))).alias("xserving"))
 
 
@@ -163,7 +163,7 @@ def parse_tables(lines: DataFrame) -> DataFrame:
     per serving. The last row of a nutrient counts, rows without a value cell do not.
     """
     found = cells(lines)
-    rows = found.where("NOT is_header AND nutrient IS NOT NULL AND size(c) >= 2").join(table_columns(found), "image_id", "left")
+    rows = found.where("NOT is_header AND nutrient IS NOT NULL AND size(c) >= 2").join(wide(table_columns(found)), "image_id", "left")
     values = rows.select("image_id", "line_index", "nutrient", "x100", "xserving", F.expr("size(c) > 2").alias("many"), F.expr("inline(slice(c, 2, size(c)))"))
     values = values.withColumns({"value": F.expr(_value("text")), "unit": F.expr(_unit("text"))}).where("value IS NOT NULL")
     near = "CASE WHEN x100 IS NOT NULL AND xserving IS NOT NULL THEN CASE WHEN abs(cx - xserving) < abs(cx - x100) THEN 'per_serving' ELSE 'per_100g' END WHEN many AND part = 2 THEN 'per_serving' ELSE 'per_100g' END"
@@ -181,7 +181,7 @@ def parse_tables(lines: DataFrame) -> DataFrame:
 def parse_nutrition(lines: DataFrame, texts: DataFrame) -> DataFrame:
     """Table mode, and string mode (``image_id``, ``text``) for pages where it finds nothing."""
     table = stage(parse_tables(lines))
-    rest = texts.join(table.select("image_id").distinct(), "image_id", "left_anti")
+    rest = texts.join(wide(table.select("image_id").distinct()), "image_id", "left_anti")
     cell = F.struct("value", "unit")
     told = parse_strings(rest, "image_id", "text").select("image_id", "nutrient", cell.alias("per_100g"), F.lit(None).cast("struct<value:double,unit:string>").alias("per_serving"), "value", "unit")
     return table.unionByName(told)

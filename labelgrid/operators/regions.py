@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 from labelgrid.functions import geometry as G
 from labelgrid.functions import vocab as V
-from labelgrid.storage import stage
+from labelgrid.storage import stage, wide
 
 from . import layout as Y
 from . import lines as L
@@ -68,10 +68,10 @@ def anchors(lines: DataFrame, column: str, weak: str | None = None) -> DataFrame
 
 def _walk(seeds: DataFrame, lines: DataFrame, keep: Column, gap: str, *, reverse: bool = False, keys: list[str] = ANCHOR, skip_above: bool = False, stop_at_rows: bool = False, name: str = "walk") -> DataFrame:
     """``seeds`` with ``name``, the expansion over the page's lines that ``keep`` holds for, without the seed itself."""
-    others = seeds.join(lines.select("image_id", "line_id", "text", "x1", "y1", "x2", "y2", "height", "confidence", "hits", "has_term", F.col("row.strong").alias("strong"), "bound"), PAGE)
+    others = seeds.join(wide(lines.select("image_id", "line_id", "text", "x1", "y1", "x2", "y2", "height", "confidence", "hits", "has_term", F.col("row.strong").alias("strong"), "bound")), PAGE)
     others = Y.reading_order(others.where((F.col("line_id") != F.col("seed_id")) & keep), keys, "line_id")
     listed = others.groupBy(*keys).agg(F.array_sort(F.collect_list(F.expr(_PLAIN))).alias("others"))
-    walked = seeds.join(listed, keys, "left").withColumn("others", F.coalesce("others", F.expr(f"filter(array({_EMPTY}), x -> false)")))
+    walked = seeds.join(wide(listed), keys, "left").withColumn("others", F.coalesce("others", F.expr(f"filter(array({_EMPTY}), x -> false)")))
     order = "reverse(others)" if reverse else "others"
     return walked.withColumn(name, F.expr(expansion(order, gap, skip_above=skip_above, stop_at_rows=stop_at_rows))).drop("others")
 
@@ -85,13 +85,13 @@ _TERMS = "sort_array(array_distinct(flatten(transform(region, l -> l.hits))))"
 def expand_ingredients(lines: DataFrame, images: DataFrame) -> DataFrame:
     """Expansions from the ingredient headings of each page, inside the heading's column, with their confidence."""
     seeds = anchors(lines, "ing_anchor", weak="contains")
-    window = seeds.join(lines.select("image_id", "line_id", "x1", "x2", "y1"), PAGE).where("y1 >= sy1 - med * 0.5 AND y1 <= sy1 + med * 6.0")
+    window = seeds.join(wide(lines.select("image_id", "line_id", "x1", "x2", "y1")), PAGE).where("y1 >= sy1 - med * 0.5 AND y1 <= sy1 + med * 6.0")
     gap = F.col("img_w") * F.least(F.lit(V.COLUMN_GAP), F.col("med") * 0.8 / F.col("img_w"))
-    window = window.join(images.select("image_id", "img_w"), PAGE).withColumn("min_gap", gap)
+    window = window.join(wide(images.select("image_id", "img_w")), PAGE).withColumn("min_gap", gap)
     cut = Y.split_columns(window, ANCHOR)
     own = F.max(F.when(F.col("line_id") == F.col("seed_id"), F.col("column_id"))).over(W.partitionBy(*ANCHOR))
     column = cut.withColumn("own", own).where("column_id = own").groupBy(*ANCHOR).agg(F.min("x1").alias("left"), F.max("x2").alias("right"))
-    seeds = stage(seeds.join(column, ANCHOR))
+    seeds = stage(seeds.join(wide(column), ANCHOR))
     inside = F.expr("(x1 + x2) / 2.0 BETWEEN left - 10 AND right + 10")
     walked = _walk(seeds, lines, inside, f"med * {V.EXPAND_GAP}D", skip_above=True, stop_at_rows=True)
     out = walked.withColumn("region", F.expr(f"concat(array({_SEED}), walk.taken)")).withColumn("stop", F.coalesce("walk.stop", F.lit("exhausted_candidate_lines")))
@@ -125,11 +125,11 @@ def nutrition_rows(lines: DataFrame) -> DataFrame:
     members = members.withColumn("terms", F.expr("sort_array(array_distinct(flatten(transform(m, x -> x.hits))))")).where(F.size("terms") >= V.TABLE_TERMS)
     scored = members.withColumn("score", F.expr(f"0.55D * least(1D, size(terms) / 8D) + 0.45D * {table_geometry('m')}"))
     best = scored.withColumn("r", F.row_number().over(W.partitionBy("image_id").orderBy(F.desc("score"), "cluster"))).where("r = 1 AND score > 0")
-    seeds = Y.reading_order(near.join(best.select("image_id", "cluster", F.col("terms").alias("best_terms"), "score", "med"), ["image_id", "cluster"]), PAGE, "line_id").where("place = 0")
+    seeds = Y.reading_order(near.join(wide(best.select("image_id", "cluster", F.col("terms").alias("best_terms"), "score", "med")), ["image_id", "cluster"]), PAGE, "line_id").where("place = 0")
     seeds = stage(seeds.select("image_id", F.lit(0).alias("anchor_no"), F.col("line_id").alias("seed_id"), F.col("text").alias("seed_text"), F.col("x1").alias("sx1"), F.col("y1").alias("sy1"), F.col("x2").alias("sx2"), F.col("y2").alias("sy2"), F.col("confidence").alias("seed_conf"), F.col("height").alias("seed_height"), F.col("hits").alias("seed_hits"), F.col("has_term").alias("seed_term"), "best_terms", "score", "med"))
     down = _walk(seeds, lines, F.expr("y1 >= sy1 - 1e-6D"), f"med * {V.EXPAND_GAP}D", name="down")
     up = _walk(seeds, lines, F.expr("y1 < sy1 - 1e-6D"), f"med * {V.HEADER_GAP}D", reverse=True, name="up")
-    both = down.join(up.select("image_id", "up"), PAGE).withColumn("region", F.expr(f"concat(reverse(up.taken), array({_SEED}), down.taken)"))
+    both = down.join(wide(up.select("image_id", "up")), PAGE).withColumn("region", F.expr(f"concat(reverse(up.taken), array({_SEED}), down.taken)"))
     box = [F.expr(f"{f}(transform(region, l -> l.{c}))").alias(c) for c, f in (("x1", "array_min"), ("y1", "array_min"), ("x2", "array_max"), ("y2", "array_max"))]
     return both.select("image_id", "region", F.col("best_terms").alias("terms"), *box, F.bround(F.least(F.lit(0.9), F.col("score")), 3).alias("confidence"), F.coalesce("down.stop", F.lit("exhausted_candidate_lines")).alias("stop"))
 
@@ -163,7 +163,7 @@ def _ranked(parts: list[tuple[DataFrame, Column]], images: DataFrame) -> DataFra
         out = one if out is None else out.unionByName(one)
     order = W.partitionBy("image_id").orderBy(F.desc("confidence"), "part", "tie")
     best = out.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r", "part", "tie")
-    pages = images.select("image_id", "img_w", "img_h").join(best, PAGE, "left")
+    pages = images.select("image_id", "img_w", "img_h").join(wide(best), PAGE, "left")
     box = G.valid(G.rect(), F.col("img_w"), F.col("img_h"))
     return pages.select("image_id", "img_w", "img_h", *box, F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "anchor", F.coalesce("method", F.lit("none")).alias("method"), F.coalesce("region", F.expr(f"cast(array() AS array<{REGION_LINE}>)")).alias("region"), F.coalesce("terms", F.expr("cast(array() AS array<string>)")).alias("terms"))
 
@@ -172,9 +172,9 @@ def detect_ingredients(layout: Y.Layout) -> DataFrame:
     """One row per page: the first candidate of at least ``PRIMARY``, else the best of expansions and weaker candidates."""
     found = stage(_of_candidates(layout.candidates, "ingredients"))
     primary = found.where((F.col("place") == 0) & (F.col("confidence") >= V.PRIMARY))
-    open_ = layout.classified.join(primary.select("image_id"), PAGE, "left_anti")
+    open_ = layout.classified.join(wide(primary.select("image_id")), PAGE, "left_anti")
     legacy = expand_ingredients(open_, layout.images).withColumn("method", F.lit("anchor_expansion"))
-    weak = found.join(primary.select("image_id"), PAGE, "left_anti").withColumn("anchor", F.lit(None).cast("string"))
+    weak = found.join(wide(primary.select("image_id")), PAGE, "left_anti").withColumn("anchor", F.lit(None).cast("string"))
     return stage(_ranked([(primary, F.col("place")), (legacy, F.col("anchor_no")), (weak, F.col("place"))], layout.images))
 
 
@@ -182,10 +182,10 @@ def detect_nutrition(layout: Y.Layout) -> DataFrame:
     """As ``detect_ingredients``, with headings, blocks and rows as fallbacks."""
     found = stage(_of_candidates(layout.candidates, "nutrition"))
     primary = found.where((F.col("place") == 0) & (F.col("confidence") >= V.PRIMARY))
-    open_ = layout.classified.join(primary.select("image_id"), PAGE, "left_anti")
+    open_ = layout.classified.join(wide(primary.select("image_id")), PAGE, "left_anti")
     legacy = expand_nutrition(open_).withColumn("method", F.lit("anchor_expansion"))
     rows = nutrition_rows(open_).withColumns({"method": F.lit("table_geometry_fallback"), "anchor": F.lit(None).cast("string")})
-    return stage(_ranked([(primary, F.col("place")), (legacy, F.col("anchor_no")), (block_fallback(layout.blocks).join(primary.select("image_id"), PAGE, "left_anti"), F.lit(0)), (rows, F.lit(0))], layout.images))
+    return stage(_ranked([(primary, F.col("place")), (legacy, F.col("anchor_no")), (block_fallback(layout.blocks).join(wide(primary.select("image_id")), PAGE, "left_anti"), F.lit(0)), (rows, F.lit(0))], layout.images))
 
 
 def block_fallback(blocks: DataFrame, kind: str = "NUTRITION_TABLE_BLOCK", score: str = "s_nutrition") -> DataFrame:
@@ -226,7 +226,7 @@ def reconcile(ingredients: DataFrame, nutrition: DataFrame) -> DataFrame:
     Structs ``ing`` and ``nut`` (box, confidence, lines), ``iou`` before, and ``touched``.
     """
     side = lambda df, n: df.select("image_id", *([F.col("img_w"), F.col("img_h")] if n == "i" else []), *(F.col(c).alias(f"{n}_{c}") for c in ("x1", "y1", "x2", "y2", "confidence", "region")))
-    both = side(ingredients, "i").join(side(nutrition, "n"), PAGE)
+    both = side(ingredients, "i").join(wide(side(nutrition, "n")), PAGE)
     both = both.withColumn("iou", G.iou(G.rect("i_"), G.rect("n_")))
     same = "(a.text = b.text OR (a.x1 = b.x1 AND a.y1 = b.y1 AND a.x2 = b.x2 AND a.y2 = b.y2))"
     both = both.withColumn("shared", F.expr(f"exists(i_region, a -> exists(n_region, b -> {same}))"))

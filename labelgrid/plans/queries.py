@@ -244,7 +244,7 @@ def o82_o85_sets(spark, sf_dir):  # noqa: ANN001, ANN201
     both = y.blocks.select("image_id", "text", F.lit(1).alias("src")).unionByName(y.lines.select("image_id", "text", F.lit(0).alias("src")))
     first = both.groupBy("image_id", "text").agg(F.min("src").alias("src"))
     anchored = y.classified.where("nut_anchor.score >= 78").select("image_id", "text")
-    return first.join(anchored, ["image_id", "text"], "left_anti").select("image_id", "text", F.col("src").cast("long").alias("src"))
+    return first.join(storage.wide(anchored), ["image_id", "text"], "left_anti").select("image_id", "text", F.col("src").cast("long").alias("src"))
 
 
 @query

@@ -15,7 +15,7 @@ from labelgrid.operators import lines as L
 from labelgrid.operators import parsing as A
 from labelgrid.operators import regions as R
 from labelgrid.sources import writers
-from labelgrid.storage import stage
+from labelgrid.storage import stage, wide
 
 PAGE = ["image_id"]
 FOOD, CARE = "food", "personal_care"
@@ -36,7 +36,7 @@ def tight_ingredients(layout: Y.Layout) -> DataFrame:
 def tight_nutrition(layout: Y.Layout, domains: DataFrame) -> DataFrame:
     """The nutrition region of every page with its tight box; personal care is left out."""
     food = domains.where(F.col("domain") == FOOD).select("image_id")
-    return stage(R.refine(R.detect_nutrition(layout).join(food, PAGE, "left_semi"), "nutrition"))
+    return stage(R.refine(R.detect_nutrition(layout).join(wide(food), PAGE, "left_semi"), "nutrition"))
 
 
 def tight_regions(layout: Y.Layout, domains: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -49,7 +49,7 @@ def final_regions(ingredients: DataFrame, nutrition: DataFrame) -> DataFrame:
 
     def side(found: DataFrame, column: str, section: str) -> DataFrame:
         told = found.select("image_id", "anchor", "method", *(F.col(c).alias(f"own_{c}") for c in ("x1", "y1", "x2", "y2", "confidence")))
-        both = told.join(merged.select("image_id", F.col(column).alias("m")), PAGE, "left")
+        both = told.join(wide(merged.select("image_id", F.col(column).alias("m"))), PAGE, "left")
         apart = F.col("m").isNull()  # a page without the other section
         box = [F.when(apart, F.col(f"own_{c}")).otherwise(F.col(f"m.box.{c}")).alias(c) for c in ("x1", "y1", "x2", "y2")]
         return both.select("image_id", F.lit(section).alias("section"), *box, F.when(apart, F.col("own_confidence")).otherwise(F.col("m.confidence")).alias("confidence"), "anchor", "method")
@@ -60,7 +60,7 @@ def final_regions(ingredients: DataFrame, nutrition: DataFrame) -> DataFrame:
 def boxes_inside(items: DataFrame, regions: DataFrame) -> DataFrame:
     """The boxes of a page whose centre lies in the box of a region, with its ``section``."""
     box = regions.where("x1 IS NOT NULL").select("image_id", "section", *(F.col(c).alias(f"r_{c}") for c in ("x1", "y1", "x2", "y2")))
-    inside = items.join(box, PAGE).where(G.center_inside(G.rect(), G.rect("r_")))
+    inside = items.join(wide(box), PAGE).where(G.center_inside(G.rect(), G.rect("r_")))
     return inside.select("image_id", "section", "seq", "text", "confidence", "x1", "y1", "x2", "y2")
 
 
@@ -82,7 +82,7 @@ def documents(layout: Y.Layout, domains: DataFrame, terms: DataFrame, names: Dat
         reading_quality = readings.select("image_id", "section").distinct().selectExpr("image_id", "section", "cast(null AS boolean) AS is_blurry", "cast(null AS boolean) AS is_too_dark", "cast(null AS double) AS contrast_std")
     best = stage(E.choose(E.score(readings), reading_quality))
     of = lambda section: best.where(F.col("section") == section)
-    told = [A.correct(of("ingredient").join(domains.where(F.col("domain") == d), PAGE, "left_semi"), terms.where(F.col("domain") == d), "image_id", "text") for d in (FOOD, CARE)]
-    facts = readings.join(of("nutrition").select("image_id", "section", "variant"), ["image_id", "section", "variant"], "left_semi")
+    told = [A.correct(of("ingredient").join(wide(domains.where(F.col("domain") == d)), PAGE, "left_semi"), terms.where(F.col("domain") == d), "image_id", "text") for d in (FOOD, CARE)]
+    facts = readings.join(wide(of("nutrition").select("image_id", "section", "variant")), ["image_id", "section", "variant"], "left_semi")
     nutrients = A.parse_nutrition(L.reconstruct(L.enrich(facts.drop("section", "variant"))), of("nutrition").select("image_id", "text"))
     return writers.documents(names, domains, found, best, told[0].unionByName(told[1]), nutrients, packets, quality)

@@ -9,6 +9,8 @@ from xml.sax.saxutils import escape
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelgrid.storage import wide
+
 PAGE = ["image_id"]
 
 
@@ -23,7 +25,7 @@ def documents(names: DataFrame, domains: DataFrame, regions: DataFrame, best: Da
     region = F.struct(box.alias("bbox"), "confidence", "anchor", "method")
     parts = regions.groupBy("image_id").agg(*(F.max(F.when(F.col("section") == s, region)).alias(f"{s}_region") for s in ("ingredient", "nutrition")))
     read = best.groupBy("image_id").agg(*(F.max(F.when(F.col("section") == s, F.col("variant"))).alias(f"best_{s}_variant") for s in ("ingredient", "nutrition")))
-    page = names.join(domains.select("image_id", "domain"), PAGE)
+    page = names.join(wide(domains.select("image_id", "domain")), PAGE)
     packed = page.select("image_id", F.lit(None).cast("struct<bbox:array<int>,confidence:double>").alias("packet_detection"))
     if packets is not None:
         packed = packets.select("image_id", F.struct(F.array("x1", "y1", "x2", "y2").alias("bbox"), (F.round(F.col("confidence") * 1000) / 1000).alias("confidence")).alias("packet_detection"))
@@ -31,7 +33,7 @@ def documents(names: DataFrame, domains: DataFrame, regions: DataFrame, best: Da
     if quality is not None:
         measured = quality.select("image_id", F.struct(*(c for c in quality.columns if c != "image_id")).alias("image_quality"))
     for part in (packed, parts, read, listed, named, measured):
-        page = page.join(part, PAGE, "left")
+        page = page.join(wide(part), PAGE, "left")
     food = F.col("domain") == "food"
     empty = F.col("ingredient_region").isNotNull() & F.col("ingredients").isNull()
     facts = F.when(food & F.col("best_nutrition_variant").isNotNull(), F.coalesce("facts", F.expr("cast(map() AS map<string,struct<per_100g:struct<value:double,unit:string>,per_serving:struct<value:double,unit:string>,value:double,unit:string>>)")))

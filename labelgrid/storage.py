@@ -10,6 +10,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: what a table may have at most to be broadcast: rows, and characters of its text columns
+LOOKUP_ROWS, LOOKUP_CHARS = 10_000, 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +54,24 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def wide(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join of tables that both grow with the pages: sorted and merged, never gathered by the driver.
+
+    The optimizer takes a table to be as small as its compressed file, and an exploded one as small as what it was made of; by such a
+    guess it broadcasts millions of rows.
+    """
+    return df.hint("merge")
+
+
+def looked_up(df: DataFrame) -> DataFrame:
+    """``df`` staged, as a side of a join by a key that very many rows may share: broadcast where its rows, as counted, are few and
+    short, else merged, where Spark can split what is common."""
+    told = stage(df)
+    texts = [c for c, kind in told.dtypes if kind == "string"]
+    rows, chars = told.agg(F.count(F.lit(1)), F.sum(sum((F.coalesce(F.length(c), F.lit(0)) for c in texts), F.lit(0)))).first()
+    return F.broadcast(told) if rows <= LOOKUP_ROWS and (chars or 0) <= LOOKUP_CHARS else wide(told)
+
+
 def clear(spark: SparkSession) -> None:
     """Remove all stage tables of this application: for the caller, when no result of it will be read any more."""
     target, system = _path(spark, _folder(spark))
