@@ -12,6 +12,7 @@ SF = "/root/testdata/sf0.001"
 #: queries that once did
 CURED = [
     "o09_o103_result_json",
+    "o34_line_classes",
 ]
 
 
