@@ -13,6 +13,7 @@ SF = "/root/testdata/sf0.001"
 CURED = [
     "o09_o103_result_json",
     "o34_line_classes",
+    "o42_o59_o35_blocks",
 ]
 
 
