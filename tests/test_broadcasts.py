@@ -14,6 +14,7 @@ CURED = [
     "o09_o103_result_json",
     "o34_line_classes",
     "o42_o59_o35_blocks",
+    "o46_o78_anchors",
 ]
 
 
