@@ -15,6 +15,7 @@ CURED = [
     "o34_line_classes",
     "o42_o59_o35_blocks",
     "o46_o78_anchors",
+    "o61_o77_candidates",
 ]
 
 
