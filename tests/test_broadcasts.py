@@ -16,6 +16,7 @@ CURED = [
     "o42_o59_o35_blocks",
     "o46_o78_anchors",
     "o61_o77_candidates",
+    "o63_o95_nutrition_expansions",
 ]
 
 
