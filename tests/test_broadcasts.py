@@ -17,6 +17,7 @@ CURED = [
     "o46_o78_anchors",
     "o61_o77_candidates",
     "o63_o95_nutrition_expansions",
+    "o90_ingredient_tokens",
 ]
 
 
