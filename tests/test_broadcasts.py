@@ -18,6 +18,7 @@ CURED = [
     "o61_o77_candidates",
     "o63_o95_nutrition_expansions",
     "o90_ingredient_tokens",
+    "o100_nutrition_regions",
 ]
 
 
