@@ -19,6 +19,7 @@ CURED = [
     "o63_o95_nutrition_expansions",
     "o90_ingredient_tokens",
     "o100_nutrition_regions",
+    "o10_result_text",
 ]
 
 
