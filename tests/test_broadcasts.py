@@ -20,6 +20,7 @@ CURED = [
     "o90_ingredient_tokens",
     "o100_nutrition_regions",
     "o10_result_text",
+    "o28_o99_ingredient_regions",
 ]
 
 
