@@ -21,6 +21,7 @@ CURED = [
     "o100_nutrition_regions",
     "o10_result_text",
     "o28_o99_ingredient_regions",
+    "o43_o60_clusters",
 ]
 
 
