@@ -22,6 +22,7 @@ CURED = [
     "o10_result_text",
     "o28_o99_ingredient_regions",
     "o43_o60_clusters",
+    "o48_o65_terms_per_page",
 ]
 
 
