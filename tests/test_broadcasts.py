@@ -23,6 +23,7 @@ CURED = [
     "o28_o99_ingredient_regions",
     "o43_o60_clusters",
     "o48_o65_terms_per_page",
+    "o62_o94_ingredient_expansions",
 ]
 
 
