@@ -24,6 +24,7 @@ CURED = [
     "o43_o60_clusters",
     "o48_o65_terms_per_page",
     "o62_o94_ingredient_expansions",
+    "o64_o96_nutrition_row_tables",
 ]
 
 
