@@ -25,6 +25,7 @@ CURED = [
     "o48_o65_terms_per_page",
     "o62_o94_ingredient_expansions",
     "o64_o96_nutrition_row_tables",
+    "o67_quality",
 ]
 
 
