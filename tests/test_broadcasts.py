@@ -26,6 +26,7 @@ CURED = [
     "o62_o94_ingredient_expansions",
     "o64_o96_nutrition_row_tables",
     "o67_quality",
+    "o69_o73_columns",
 ]
 
 
