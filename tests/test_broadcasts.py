@@ -27,6 +27,7 @@ CURED = [
     "o64_o96_nutrition_row_tables",
     "o67_quality",
     "o69_o73_columns",
+    "o82_o85_sets",
 ]
 
 
