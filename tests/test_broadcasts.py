@@ -28,6 +28,7 @@ CURED = [
     "o67_quality",
     "o69_o73_columns",
     "o82_o85_sets",
+    "o88_corrected",
 ]
 
 
