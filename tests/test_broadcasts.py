@@ -29,6 +29,7 @@ CURED = [
     "o69_o73_columns",
     "o82_o85_sets",
     "o88_corrected",
+    "o97_block_fallbacks",
 ]
 
 
