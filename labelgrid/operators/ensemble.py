@@ -55,9 +55,11 @@ def choose(scored: DataFrame, quality: DataFrame) -> DataFrame:
 def full_page(items: DataFrame, quality: DataFrame, least: float = 0.82) -> DataFrame:
     """The reading of each whole page: another one only where the original is unsure and the page is poor, and only if surer.
 
-    Of the other readings only ``clahe`` can be chosen. ``items``: image_id, variant, seq, text, confidence.
+    Of the other readings only ``clahe`` can be chosen. Confidences are added by size, so readings with the same ones are equally
+    sure in whatever order their boxes come. ``items``: image_id, variant, seq, text, confidence.
     """
-    mean = items.groupBy("image_id", "variant").agg(F.avg("confidence").alias("mean"))
+    sure = items.groupBy("image_id", "variant").agg(F.array_sort(F.collect_list("confidence")).alias("c"))
+    mean = sure.select("image_id", "variant", F.expr("aggregate(c, 0D, (s, x) -> s + x) / nullif(size(c), 0)").alias("mean"))
     plain = mean.where("variant = 'original'").select("image_id", F.col("mean").alias("own"))
     other = mean.where("variant = 'clahe'").select("image_id", F.col("mean").alias("theirs"))
     poor = F.col("is_too_dark") | (F.col("contrast_std") < 35)
