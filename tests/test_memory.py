@@ -3,6 +3,7 @@
 import pytest
 
 from labelgrid import storage
+from labelgrid.llm import common
 from labelgrid.operators import parsing as A
 
 
@@ -22,7 +23,7 @@ def executed(spark, run):
     return [made.apply(i).physicalPlanDescription() for i in range(made.size())]
 
 
-@pytest.mark.parametrize(("module", "step"), [(storage, storage.stage)])
+@pytest.mark.parametrize(("module", "step"), [(storage, storage.stage), (common, common.keep)])
 def test_finished_steps_leave_no_garbage(spark, monkeypatch, module, step):
     for share, collected in ((1.0, False), (0.0, True)):
         monkeypatch.setattr(module, "HEAP_SHARE", share)
